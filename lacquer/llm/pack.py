@@ -150,9 +150,9 @@ def packed(documents: DataFrame, tokenizer: str, end_id: int = 2, keeps_blanks:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
         held = 0
-        for batch in blocks(batches, "text", 2_000_000):
+        for batch in blocks(batches, "text", 8_000_000):
             docs.extend(batch.column(0).to_pylist())
-            new = encoder.encode(batch.column(1).to_pylist())
+            new = encoder.encode(batch.column(1))
             tokens.extend(t + end for t in new)
             held += sum(len(t) // 4 + 1 for t in new)
             if held >= pool_tokens:

@@ -156,8 +156,8 @@ def write(documents: DataFrame, path: str, tokenizer: str, keeps_blanks: bool =
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((part, segment, len(doc_ids), held, data), kinds, strict=True)], ["part", "segment", "n_docs", "n_tokens", "data"])
 
-        for batch in blocks(batches, "text", 2_000_000):
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
+        for batch in blocks(batches, "text", 8_000_000):
+            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), strict=True):
                 doc_ids.append(doc)
                 tokens.append(ids + end)
                 held += len(ids) // 4 + 1

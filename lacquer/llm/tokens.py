@@ -1,71 +1,145 @@
 """Token ids of whole texts by a tokenizers file, with each distinct chunk of text encoded once per worker.
 
-Both vocabularies split a text into pieces before any merge, and a piece never
-spans a space that follows a visible character. So a text's ids are the ids of
-its chunks, cut before such spaces, one after another.
+Both kinds of vocabulary split a text into pieces before any merge, and a piece
+never spans a space that follows a visible character, nor the change from a
+letter to punctuation. So a text's ids are the ids of its chunks, one after
+another, and those of a word with punctuation behind it are two chunks' ids.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Chunks that one worker remembers before it starts anew.
-REMEMBERED = 400_000
-_AFTER_BLANK = re.compile("[\\s\u180e] ")
-_CUT = re.compile("(?<=[^\\s\u180e])(?= )")
-_NEXT_LINE = str.maketrans("\n\r\t", "   ")
+REMEMBERED = 1_000_000
+#: A space behind another blank, of any kind in Unicode.
+AFTER_BLANK = "[\\s\\v\x1c-\x1f\x85\\p{Z}\\x{180e}] "
+_CUT = re.compile("(?<=[^\\s\\u180e]) ")
+#: What may stand before a line's end for it to be cut there; then ASCII punctuation but the apostrophe, which contractions have.
+_ENDS = ".,;:!?)"
+_BEHIND = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class Chunks(dict):
-    """Chunk of text -> its ids as little-endian unsigned 32-bit bytes."""
+    """Chunk of text -> its ids as little-endian unsigned 32-bit bytes.
+
+    With keeps_blanks a chunk stands for itself behind a space, and `heads` has
+    the chunks that begin a text.
+    """
 
     def __init__(self, path: str, keeps_blanks: bool):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keeps_blanks = Tokenizer.from_file(path), keeps_blanks
+        self.tokenizer, self.before = Tokenizer.from_file(path), " " if keeps_blanks else ""
+        self.heads: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
         # between joined chunks stands a mark that is one token and merges with nothing
         self.mark = "\n" if keeps_blanks else " \x01 "
-        (self.mark_id,) = self.ids(self.mark)
-
-    def ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def __missing__(self, chunk: str) -> bytes:
-        return np.array(self.ids(chunk), "<u4").tobytes()
-
-    def split(self, text: str) -> list[str]:
-        if not self.keeps_blanks:
-            return text.translate(_NEXT_LINE).split(" ")
-        if "  " in text or "\n " in text or _AFTER_BLANK.search(text):
-            return _CUT.split(text)
-        head, *rest = text.split(" ")
-        return [head, *map(" ".__add__, rest)]
-
-    def learn(self, chunks: Iterable[str]) -> None:
-        """Encode the chunks that are new, many at a time."""
-        if len(self) > REMEMBERED:
-            self.clear()
-        new = [c for c in set(chunks).difference(self) if self.mark.strip(" ") not in c and c]
-        self[""] = b""
-        for lo in range(0, len(new), 64):
-            part = new[lo : lo + 64]
-            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, "<u4")
+        self.line = self.ids("\n")
+        (self.mark_id,) = np.frombuffer(self.ids(self.mark), "<u4")
+
+    def ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def kept(self, which: dict[str, bytes], text: str) -> bytes:
+        """The ids of a text that needs no space before it."""
+        got = which.get(text)
+        if got is None:
+            if len(which) > REMEMBERED // 4:
+                which.clear()
+            got = which[text] = self.ids(text)
+        return got
+
+    def many(self, texts: list[str], before: str) -> Iterator[tuple[str, bytes]]:
+        """Each text and its ids with `before` in front of it, from joined texts."""
+        mark = self.mark.strip(" ")
+        alone = [t for t in texts if mark in t or not t]
+        rest = [t for t in texts if mark not in t and t] if alone else texts
+        for lo in range(0, len(rest), 256):
+            part = rest[lo : lo + 256]
+            text = self.mark.join([before + c for c in part])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             cut = np.flatnonzero(ids == self.mark_id)
             if len(cut) == len(part) - 1:
-                self.update(zip(part, (x.tobytes() for x in np.split(ids, cut)), strict=True) if not len(cut) else zip(part, (ids[a + 1 : b].tobytes() for a, b in zip([-1, *cut], [*cut, len(ids)], strict=True)), strict=True))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text; null is an empty text."""
-        split = [self.split(t) if t else [] for t in texts]
-        self.learn(c for cs in split for c in cs)
-        at = self.__getitem__
-        return [b"".join(map(at, cs)) for cs in split]
+                raw, edges = ids.tobytes(), (4 * cut).tolist()
+                yield from ((c, raw[a:b]) for c, a, b in zip(part, [0, *(e + 4 for e in edges)], [*edges, len(raw)], strict=True))
+            else:
+                alone += part
+        yield from ((c, self.ids(before + c)) for c in alone)
+
+    def learn(self, chunks: set[str]) -> None:
+        """Encode chunks that are new, many at a time; lines and punctuation behind words are put together from their parts."""
+        lines: list[tuple[str, str, str]] = []
+        behind: list[tuple[str, str, str]] = []
+        new = set()
+        for c in chunks:
+            if self.before and "\n" in c:
+                left, _, right = c.partition("\n")
+                if left[-1:].isalnum() or left[-1:] in _ENDS and left:
+                    if right[:1].isalnum():
+                        lines.append((c, left, right))
+                        if left in self or left in chunks:
+                            continue
+                        c = left
+            word = c.rstrip(_BEHIND)
+            if word != c and word and "a" <= word[-1] <= "z" and "<|" not in c:
+                behind.append((c, word, c[len(word) :]))
+                if word not in self:
+                    new.add(word)
+            else:
+                new.add(c)
+        self.update(self.many(list(new), self.before))
+        if len(self.heads) > REMEMBERED // 4:
+            self.heads.clear()
+        self.heads.update(self.many([h for h in {r for _, _, r in lines} if h not in self.heads], ""))
+        for c, word, tail in behind:
+            self[c] = self[word] + self.kept(self.tails, tail)
+        for c, left, right in lines:
+            self[c] = self[left] + self.line + self.heads[right]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text; null is an empty text. Chunks are looked up once per call, however often they stand in it."""
+        texts = texts.fill_null("")
+        if not self.before:
+            for blank in "\n\r\t":
+                texts = pc.replace_substring(texts, blank, " ")
+        rows = pc.split_pattern(texts, " ")
+        if self.before and (odd := np.flatnonzero(pc.match_substring_regex(texts, AFTER_BLANK))).size:
+            lists = rows.to_pylist()
+            for i in odd.tolist():
+                lists[i] = _CUT.split(texts[i].as_py())
+            rows = pa.array(lists, rows.type)
+        offsets = rows.offsets.to_numpy() - rows.offsets[0].as_py()
+        flat = rows.flatten().dictionary_encode()
+        at = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        chunks = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
+        heads = [b""] * len(rows)
+        if self.before:
+            heads = [self.kept(self.heads, chunks[i]) for i in at[offsets[:-1]].tolist()]
+            at[offsets[:-1]] = len(chunks)
+        if len(self) > REMEMBERED:
+            self.clear()
+        found = list(map(self.get, chunks))
+        if None in found:
+            self.learn({c for c, f in zip(chunks, found, strict=True) if f is None})
+            found = list(map(self.__getitem__, chunks))
+        found.append(b"")  # of the heads
+        ids = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts = np.cumsum(sizes) - sizes
+        n = sizes[at]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        raw = ids[np.repeat(starts[at] - upto[:-1], n) + np.arange(upto[-1])].tobytes()
+        edges = (4 * upto[offsets]).tolist()
+        return [head + raw[a:b] for head, a, b in zip(heads, edges[:-1], edges[1:], strict=True)]
 
 
 _made: dict[str, Chunks] = {}
