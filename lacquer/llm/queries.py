@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import decontaminate, media, pack, pii, quality, secrets, simhash, substrings, tokenfile, warc
+from .oracle import oracle_sql as oracle_sql
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,7 +64,3 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_substrings, op4_quality, op5_secrets, op6_media, op7_packing, op8_pii, op9_simhash, op10_warc)}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
