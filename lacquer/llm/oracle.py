@@ -24,7 +24,7 @@ SQL = {
     "op10_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), f AS (SELECT h, min(page_id) AS first_id FROM p GROUP BY h),
         d AS (SELECT page_id, strlen(h) AS n, first_id, sha1(h) AS x FROM p JOIN f USING (h))
-        SELECT page_id, n AS payload_bytes, array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(x, (5 * (i // 4) + 1)::BIGINT, 5))::BIGINT >> (15 - 5 * (i % 4))::BIGINT) & 31) + 1, 1)), '') AS payload_digest,
+        SELECT page_id, n AS payload_bytes, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(x, (5 * (i // 4) + 1)::BIGINT, 5))::BIGINT >> (15 - 5 * (i % 4))::BIGINT) & 31) + 1, 1) FOR i IN range(0, 32)], '') AS payload_digest,
         CASE WHEN first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first_id < page_id THEN first_id END AS refers_to FROM d""",
 }
 

@@ -67,7 +67,7 @@ def encode_block(slots: np.ndarray, freq: np.ndarray, base: np.ndarray) -> tuple
 
 
 def decode_block(words: np.ndarray, state: np.ndarray, n: int, freq: np.ndarray, base: np.ndarray, slot_of: np.ndarray) -> np.ndarray:
-    """The table positions of n tokens."""
+    """The table positions of n tokens. Raises ValueError if the lanes don't end where coding began."""
     lanes, at = len(state), 0
     state = state.astype(np.uint64)
     out = np.empty(n, np.uint32)
@@ -79,9 +79,13 @@ def decode_block(words: np.ndarray, state: np.ndarray, n: int, freq: np.ndarray,
         out[lo:hi] = s
         x = freq[s] * (x >> np.uint64(BITS)) + low - base[s]
         need = np.flatnonzero(x < LOW)
+        if at + len(need) > len(words):
+            raise ValueError("a block is damaged")
         x[need] = (x[need] << np.uint64(16)) | words[at : at + len(need)]
         at += len(need)
         state[: hi - lo] = x
+    if at != len(words) or (state != LOW).any():
+        raise ValueError("a block is damaged")
     return out
 
 
