@@ -23,12 +23,13 @@ def write_stream(stream: DataFrame, path: str, checkpoint: str, sink: str = "par
     return stream.writeStream.format(sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(path)
 
 
-def stream_batch_items(stream: DataFrame, batch: str, index: str, policy: Policy, op: str = "op", name: str = "name", value: str = "value", idle: int = 3_600_000) -> DataFrame:
+def stream_batch_items(stream: DataFrame, batch: str, index: str, policy: Policy, op: str = "op", name: str = "name", value: str = "value", idle: int | None = None) -> DataFrame:
     """batch_items over a stream: the budget left is the state of a batch.
 
     Items of one micro-batch are taken in index order, later micro-batches go
-    on where it stopped; a batch without items for `idle` milliseconds is
-    forgotten, and begins anew if it appears again.
+    on where it stopped. With `idle`, a batch without items for so many
+    milliseconds is forgotten, and begins anew if it appears again; such a
+    stream runs on for its timeouts, so that write_stream() would not end.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -42,8 +43,9 @@ def stream_batch_items(stream: DataFrame, batch: str, index: str, policy: Policy
             text, completion, reasons, left = spend(policy, o, n, v, left)
             out.append((key[0], i, text, completion, reasons))
         state.update((left,))
-        state.setTimeoutDuration(idle)
+        if idle is not None:
+            state.setTimeoutDuration(idle)
         yield pd.DataFrame(out, columns=[batch, index, "text", "completion", "reasons"])
 
     kinds = ", ".join(f"`{c}` {stream.schema[c].dataType.simpleString()}" for c in (batch, index))
-    return stream.groupBy(batch).applyInPandasWithState(run, f"{kinds}, {BATCH}", "left long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy(batch).applyInPandasWithState(run, f"{kinds}, {BATCH}", "left long", "append", GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout)
