@@ -2,6 +2,28 @@
 
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+RUN = "[A-Za-z0-9+/_=-]{20,}"
+SECRETS = rf"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    p AS (SELECT * FROM (VALUES ('assign', 0), ('access', 1), ('hex', 2), ('entropy', 3)) v(kind, rank)),
+    f AS (SELECT doc_id, kind, rank,
+            CASE rank WHEN 0 THEN regexp_split_to_array(t, '{ASSIGN}') WHEN 1 THEN regexp_split_to_array(t, 'AKIA[A-Z0-9]{{16,}}') WHEN 2 THEN regexp_split_to_array(t, '[0-9a-f]{{24,}}') ELSE regexp_split_to_array(t, '{RUN}') END AS gaps,
+            CASE rank WHEN 0 THEN regexp_extract_all(t, '{ASSIGN}') WHEN 1 THEN regexp_extract_all(t, 'AKIA[A-Z0-9]{{16,}}') WHEN 2 THEN regexp_extract_all(t, '[0-9a-f]{{24,}}') ELSE regexp_extract_all(t, '{RUN}') END AS found,
+            CASE rank WHEN 0 THEN regexp_extract_all(t, '{ASSIGN}', 1) END AS val FROM d, p),
+    s AS (SELECT doc_id, kind, rank, found[k] AS hit, val[k] AS v, (list_sum([length(x) FOR x IN gaps[1 : k]]) + coalesce(list_sum([length(x) FOR x IN found[1 : k - 1]]), 0))::BIGINT AS a FROM f, unnest(range(1, len(found) + 1)) u(k)),
+    b AS (SELECT doc_id, kind, rank, a, a + length(hit) AS z FROM s WHERE rank = 0 AND length(v) >= 6 OR rank IN (1, 2)),
+    w AS (SELECT doc_id, a, hit, i, CASE WHEN regexp_full_match(hit, '[0-9a-f]+|[0-9A-F]+') THEN 3.0 WHEN regexp_full_match(hit, '[A-Z0-9+/_=-]+') THEN 3.4 ELSE 3.7 END AS bits, substr(hit, i, 20) AS x
+          FROM s, unnest(range(1, length(hit) - 18)) u(i)
+          WHERE rank = 3 AND regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]') AND NOT regexp_matches(hit, '(?i)^[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}$')
+          AND NOT regexp_matches(hit, '(?i)example|sample|placeholder|xxxx') AND NOT regexp_matches(hit, '^sha(1|256|384|512)-') AND NOT regexp_matches(hit, '^[0-9/_+=-]*[A-Za-z]{{1,3}}[0-9/_+=-]*$')),
+    h AS (SELECT *, log2(20) - list_avg([log2(20 - length(replace(x, c, ''))) FOR c IN string_split(x, '')]) AS e FROM w),
+    e AS (SELECT doc_id, 'entropy' AS kind, 3 AS rank, a + min(i) - 1 AS a, a + max(i) + 19 AS z FROM h WHERE e >= bits GROUP BY doc_id, h.a, hit),
+    n AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = e.doc_id AND b.a <= e.a AND e.z <= b.z)),
+    g AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n0, count(*) FILTER (rank = 1) AS n1, count(*) FILTER (rank = 2) AS n2, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, rank) AS spans FROM b GROUP BY doc_id),
+    y AS (SELECT doc_id, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, rank) AS spans FROM (SELECT * FROM b UNION ALL SELECT * FROM n) GROUP BY doc_id)
+    SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(g.spans, '')) AS base_sha256, coalesce(y.spans, '') AS spans FROM d LEFT JOIN g USING (doc_id) LEFT JOIN y USING (doc_id)"""
+
 SQL = {
     "op1_decontamination": f"""
         WITH d AS (SELECT doc_id, {WORDS} AS ws FROM documents), b AS (SELECT item_id, {WORDS} AS ws FROM benchmark),
@@ -21,6 +43,7 @@ SQL = {
         p AS (SELECT doc_id, i, ws[i] AS word FROM w, unnest(range(1, len(ws) + 1)) t(i)),
         q AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM p ANTI JOIN c USING (doc_id, i) GROUP BY doc_id)
         SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN q USING (doc_id)""",
+    "op5_secrets": SECRETS,
     "op10_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), f AS (SELECT h, min(page_id) AS first_id FROM p GROUP BY h),
         d AS (SELECT page_id, strlen(h) AS n, first_id, sha1(h) AS x FROM p JOIN f USING (h))

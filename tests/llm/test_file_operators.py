@@ -218,7 +218,7 @@ def test_pipeline(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
-@pytest.mark.parametrize("name", ["op1_decontamination", "op3_substrings", "op10_warc"])
+@pytest.mark.parametrize("name", ["op1_decontamination", "op3_substrings", "op5_secrets", "op10_warc"])
 def test_sql_twins(spark, name):
     import duckdb
 
