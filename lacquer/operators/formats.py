@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from ..functions.policy import SECRET, Policy
+from ..functions.ship import ship
 from . import parsers as P
 from .results import BIT, COMPLETE, EXHAUSTED, INSPECTION, RESULT, TRUNCATED
 
@@ -99,6 +100,7 @@ def _udf(policy: Policy, how: Render, inspecting: bool):
         frame["usage"] = frame["usage"].astype(object)
         return frame
 
+    ship()
     kind = INSPECTION if inspecting else RESULT
     if how is body_text:
 

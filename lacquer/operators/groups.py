@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.masks import escaped
 from ..functions.policy import Policy
+from ..functions.ship import ship
 from .fields import _field_level, field_text
 from .formats import body_text, json_text, render, uri_text, url_text
 from .results import BIT, COMPLETE, EXHAUSTED
@@ -80,6 +81,7 @@ def batch_items(df: DataFrame, batch: str, index: str, policy: Policy, op: str =
     sorted by batch and stream through the task with the running budget alone,
     so that a batch of any length needs no more memory.
     """
+    ship(df.sparkSession)
     columns = [batch, index, op, name, value]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

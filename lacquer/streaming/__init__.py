@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.policy import Policy
+from ..functions.ship import ship
 from ..operators.frames import redact_columns
 from ..operators.groups import BATCH, spend
 
@@ -32,6 +33,8 @@ def stream_batch_items(stream: DataFrame, batch: str, index: str, policy: Policy
     stream runs on for its timeouts, so that write_stream() would not end.
     """
 
+    ship(stream.sparkSession)
+
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
