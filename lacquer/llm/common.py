@@ -5,31 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, as a user's zip would be."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    name = os.path.join(tempfile.mkdtemp(prefix="lacquer-"), "lacquer.zip")
-    with zipfile.ZipFile(name, "w") as z:
-        for folder, _, files in os.walk(os.path.join(top, "lacquer")):
-            for f in files:
-                if f.endswith(".py"):
-                    full = os.path.join(folder, f)
-                    z.write(full, os.path.relpath(full, top))
-    sc.addPyFile(name)
-    _shipped.add(sc.applicationId)
+from ..functions.ship import ship as ship
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
@@ -118,7 +100,7 @@ def words(data: np.ndarray, at: np.ndarray, flags: np.ndarray) -> tuple[np.ndarr
 
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(int(_MULT), -1, 1 << 64))
+_BACK = pow(int(_MULT), -1, 1 << 64)
 _BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, np.uint64)
 _powers: dict[int, np.ndarray] = {}
 
@@ -130,7 +112,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
         step = np.full(max(n, 1 << 16), base, np.uint64)
         step[0] = 1
         have = np.cumprod(step, dtype=np.uint64)
-        if n <= 1 << 24:
+        if len(have) <= 1 << 20:  # larger ones would stay in every worker
             _powers[int(base)] = have
     return have[:n]
 
@@ -147,9 +129,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def rolling(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """A 64-bit hash of values[lo:hi] for every pair, by one running sum of a polynomial."""
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(_MULT, len(values)), dtype=np.uint64, out=total[1:])
-    return mix((total[hi] - total[lo]) * powers(_BACK, len(values) + 1)[lo])
+    n = len(values)
+    rising = powers(_MULT, n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(values * rising[:n], dtype=np.uint64, out=total[1:])
+    # dividing by the power at lo is multiplying by that at n - lo and dividing by that at n
+    return mix((total[hi] - total[lo]) * rising[n - lo] * np.uint64(pow(_BACK, n, 1 << 64)))
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -113,7 +113,7 @@ def benchmark_blocks(benchmark: DataFrame, most_bytes: int) -> Iterator[list[tup
         yield [(r.item_id, r.text) for r in part.collect()]
 
 
-def matches(documents: DataFrame, benchmark: DataFrame, window: int = 10, shard_bytes: int = 6_000_000, block_bytes: int = 32_000_000) -> DataFrame:
+def matches(documents: DataFrame, benchmark: DataFrame, window: int = 10, shard_bytes: int = 4_000_000, block_bytes: int = 32_000_000) -> DataFrame:
     """Per document: n_words, covered word ranges (starts, ends), ids of the items found, longest match in words.
 
     Null and empty texts have no words. An item without words is never found.
@@ -165,7 +165,7 @@ def report(documents: DataFrame, benchmark: DataFrame, window: int = 10, **sizes
     )
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10, shard_bytes: int = 6_000_000, block_bytes: int = 32_000_000) -> DataFrame:
+def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10, shard_bytes: int = 4_000_000, block_bytes: int = 32_000_000) -> DataFrame:
     """The documents, all columns, without those that hold a window of any item. Rows stay in their tasks."""
     spark = documents.sparkSession
     ship(spark)

@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks that one worker remembers before it starts anew.
-REMEMBERED = 1_000_000
+#: New chunks after which a worker forgets those that it has not met among as many.
+REMEMBERED = 350_000
 #: A space behind another blank, of any kind in Unicode.
 AFTER_BLANK = "[\\s\\v\x1c-\x1f\x85\\p{Z}\\x{180e}] "
 _CUT = re.compile("(?<=[^\\s\\u180e]) ")
@@ -39,6 +39,7 @@ class Chunks(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.before = Tokenizer.from_file(path), " " if keeps_blanks else ""
+        self.old: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         # between joined chunks stands a mark that is one token and merges with nothing
@@ -80,7 +81,8 @@ class Chunks(dict):
         lines: list[tuple[str, str, str]] = []
         behind: list[tuple[str, str, str]] = []
         new = set()
-        for c in chunks:
+        self.update((c, self.old[c]) for c in chunks & self.old.keys())
+        for c in chunks - self.keys():
             if self.before and "\n" in c:
                 left, _, right = c.partition("\n")
                 if left[-1:].isalnum() or left[-1:] in _ENDS and left:
@@ -93,7 +95,10 @@ class Chunks(dict):
             if word != c and word and "a" <= word[-1] <= "z" and "<|" not in c:
                 behind.append((c, word, c[len(word) :]))
                 if word not in self:
-                    new.add(word)
+                    if word in self.old:
+                        self[word] = self.old[word]
+                    else:
+                        new.add(word)
             else:
                 new.add(c)
         self.update(self.many(list(new), self.before))
@@ -126,6 +131,7 @@ class Chunks(dict):
             heads = [self.kept(self.heads, chunks[i]) for i in at[offsets[:-1]].tolist()]
             at[offsets[:-1]] = len(chunks)
         if len(self) > REMEMBERED:
+            self.old = dict(self)
             self.clear()
         found = list(map(self.get, chunks))
         if None in found:
