@@ -55,9 +55,16 @@ def record_id(page_id: Column) -> Column:
 
 
 def records(pages: DataFrame, least: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """One WARC record text for each page, without the blank lines that end it."""
-    decided = headers(pages, least).drop("url", "payload_bytes").dropDuplicates(["page_id"])
-    full = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).join(decided, "page_id")
+    """One WARC record text for each page, without the blank lines that end it.
+
+    A page without page_id is a response with an empty X-Page-Id that nothing refers to.
+    Rows that repeat a page_id with other payloads each have the record of their own payload.
+    """
+    key = ["page_id", "payload_digest"]
+    decided = headers(pages, least).drop("url", "payload_bytes").dropDuplicates(key).withColumnsRenamed({k: f"decided_{k}" for k in key})
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    own = own.withColumn("payload_digest", base32_sha1(F.col("html").cast("binary")))
+    full = own.join(decided, F.col("page_id").eqNullSafe(F.col("decided_page_id")) & (F.col("payload_digest") == F.col("decided_payload_digest")))
     length = F.octet_length("html")
     # a line break in a URL would end its header
     clean = lambda c: F.regexp_replace(c, r"[\r\n]", "")
@@ -67,10 +74,10 @@ def records(pages: DataFrame, least: int = 0, date: str = "2024-01-01T00:00:00Z"
     return full.select(
         F.concat(
             F.lit("WARC/1.1\r\nWARC-Type: "), F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")),
-            F.lit("\r\nWARC-Record-ID: "), record_id(F.col("page_id")),
+            F.lit("\r\nWARC-Record-ID: "), F.coalesce(record_id(F.col("page_id")), record_id(F.concat_ws(":", "payload_digest", "url"))),
             F.lit(f"\r\nWARC-Date: {date}\r\nWARC-Target-URI: "), clean(F.col("url")),
             F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("payload_digest"),
-            F.lit("\r\nX-Page-Id: "), F.col("page_id").cast("string"),
+            F.lit("\r\nX-Page-Id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")),
             F.when(revisit, F.concat(F.lit(f"\r\nWARC-Profile: {PROFILE}\r\nWARC-Refers-To: "), record_id(F.col("refers_to")), F.lit("\r\nWARC-Refers-To-Target-URI: "), clean(F.coalesce("refers_url", F.lit(""))), F.lit(f"\r\nWARC-Refers-To-Date: {date}\r\nX-Refers-To-Page-Id: "), F.col("refers_to").cast("string"))).otherwise(F.lit("")),
             F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"),
             F.lit(END), block,
@@ -115,7 +122,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     size = int(re.search(rb"Content-Length: ([0-9]+)", bytes(block[:cut]))[1])
                     ok = kind != "response" or (len(block) - cut == size and base64.b32encode(hashlib.sha1(block[cut:]).digest()).decode() == digest)
                     refers = head.get("x-refers-to-page-id")
-                    rows.append((int(head["x-page-id"]), head["warc-target-uri"], size, digest, kind, None if refers is None else int(refers), ok))
+                    rows.append((int(head["x-page-id"]) if head["x-page-id"] else None, head["warc-target-uri"], size, digest, kind, None if refers is None else int(refers), ok))
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_()]
                 names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload_ok"]
                 columns = list(zip(*rows, strict=True)) if rows else [()] * 7

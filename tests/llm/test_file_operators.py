@@ -158,6 +158,15 @@ def test_archives(spark, tmp_path):
     assert warc.archived(pages.limit(0)).count() == 0
 
 
+def test_archives_of_nameless_and_repeated_pages(spark):
+    rows = [(None, "http://n", "<p>n</p>"), (None, "http://m", "<p>x</p>"), (None, None, None), (1, "http://a", "<p>x</p>"), (2, "http://b", "<p>x</p>"), (2, "http://b", "other"), (2, "http://c", "third"), (3, "http://d", "other")]
+    got = warc.archived(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    sha1 = lambda h: base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode()
+    refers = {(2, "<p>x</p>"): 1, (3, "other"): 2}
+    want = [(p, u or "", len(h or ""), sha1(h), "revisit" if (p, h) in refers else "response", refers.get((p, h)), True) for p, u, h in rows]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def labelled(n, seed):
     r = random.Random(seed)
     rows = []
