@@ -128,10 +128,10 @@ def packed(documents: DataFrame, tokenizer: str, end_id: int = 2, keeps_blanks:
     ship(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = chunks(tokenizer, keeps_blanks), np.array([end_id], "<u4").tobytes()
+        encoder = chunks(tokenizer, keeps_blanks)
         first_sequence = first_group = TaskContext.get().partitionId() << 40
         docs: list[int | None] = []
-        tokens: list[bytes] = []
+        tokens: list[memoryview] = []
 
         def rows() -> pa.RecordBatch:
             nonlocal first_sequence, first_group
@@ -141,7 +141,7 @@ def packed(documents: DataFrame, tokenizer: str, end_id: int = 2, keeps_blanks:
             for i, row in enumerate(sequences):
                 offset = 0
                 for d, s, n in row:
-                    out.append((docs[d], s, n, zlib.crc32(memoryview(tokens[d])[4 * s : 4 * (s + n)]), len(tokens[d]) // 4, first_sequence + i, offset, tier[i], first_group + group[i]))
+                    out.append((docs[d], s, n, zlib.crc32(tokens[d][4 * s : 4 * (s + n)]), len(tokens[d]) // 4, first_sequence + i, offset, tier[i], first_group + group[i]))
                     offset += n
             first_sequence += len(sequences)
             first_group += max(group, default=-1) + 1
@@ -152,9 +152,10 @@ def packed(documents: DataFrame, tokenizer: str, end_id: int = 2, keeps_blanks:
         held = 0
         for batch in blocks(batches, "text", 8_000_000):
             docs.extend(batch.column(0).to_pylist())
-            new = encoder.encode(batch.column(1))
-            tokens.extend(t + end for t in new)
-            held += sum(len(t) // 4 + 1 for t in new)
+            ids, at = encoder.encode(batch.column(1), end_id)
+            raw, edges = memoryview(ids.astype("<u4").tobytes()), (4 * at).tolist()
+            tokens.extend(raw[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True))
+            held += len(ids)
             if held >= pool_tokens:
                 yield rows()
                 docs, tokens, held = [], [], 0

@@ -25,7 +25,9 @@ from .tokens import chunks
 MAGIC, VERSION, BITS = b"RTOK", 1, 16
 BLOCK, LANES = 1 << 18, 1024
 HEAD = struct.Struct("<4sHHIIIIII")
-POINT = struct.Struct("<IIQII")
+POINT = struct.Struct("<IIQIII")
+#: Stands for all ids beyond the most frequent 2 ** 16 - 1 of a segment; they follow their block's words as they are.
+RARE = np.uint32(0xFFFFFFFF)
 LOW = np.uint64(1 << BITS)
 
 
@@ -33,7 +35,9 @@ def table_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct ids and their frequencies, each 1 at least, that add up to 2 ** 16."""
     symbols, counts = np.unique(ids, return_counts=True)
     if len(symbols) > 1 << BITS:
-        raise ValueError("more than 65,536 distinct ids in a segment")
+        by = np.argsort(-counts, kind="stable")
+        kept, rest = np.sort(by[: (1 << BITS) - 1]), by[(1 << BITS) - 1 :]
+        symbols, counts = np.append(symbols[kept], RARE), np.append(counts[kept], counts[rest].sum())
     freq = np.maximum(1, (counts.astype(np.int64) << BITS) // max(1, counts.sum()))
     by = np.argsort(-freq, kind="stable")
     spare = (1 << BITS) - int(freq.sum())
@@ -89,22 +93,25 @@ def decode_block(words: np.ndarray, state: np.ndarray, n: int, freq: np.ndarray,
     return out
 
 
-def encode_segment(doc_ids: list[int | None], tokens: list[bytes]) -> bytes:
-    """One segment of whole documents; tokens are little-endian unsigned 32-bit ids."""
-    ids = np.frombuffer(b"".join(tokens), "<u4")
+def encode_segment(doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray) -> bytes:
+    """One segment of whole documents with so many ids each."""
     symbols, freq = table_of(ids)
     f, base = freq.astype(np.uint64), (np.cumsum(freq) - freq).astype(np.uint64)
-    slots = np.searchsorted(symbols, ids)
+    slots = np.searchsorted(symbols, ids).clip(max=max(0, len(symbols) - 1))
+    rare = symbols[slots] != ids
+    slots[rare] = len(symbols) - 1
     points, body, at = [], [], 0
     for lo in range(0, len(ids), BLOCK):
-        words, state = encode_block(slots[lo : lo + BLOCK], f, base)
-        part = state.tobytes() + words
-        points.append(POINT.pack(len(slots[lo : lo + BLOCK]), len(state), at, len(part), zlib.crc32(ids[lo : lo + BLOCK].tobytes())))
+        own = slice(lo, min(lo + BLOCK, len(ids)))
+        words, state = encode_block(slots[own], f, base)
+        plain = ids[own][rare[own]].astype("<u4").tobytes()
+        part = state.tobytes() + words + plain
+        points.append(POINT.pack(own.stop - lo, len(state), at, len(part), len(plain) // 4, zlib.crc32(ids[own].astype("<u4").tobytes())))
         body.append(part)
         at += len(part)
     table = zlib.compress(np.diff(symbols, prepend=np.uint32(0)).astype("<u4").tobytes() + freq.astype("<u4").tobytes())
     directory = zlib.compress(
-        np.array([d is not None for d in doc_ids], "u1").tobytes() + np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.array([len(t) // 4 for t in tokens], "<u4").tobytes()
+        np.array([d is not None for d in doc_ids], "u1").tobytes() + np.array([d or 0 for d in doc_ids], "<i8").tobytes() + sizes.astype("<u4").tobytes()
     )
     head = HEAD.pack(MAGIC, VERSION, BITS, len(doc_ids), len(symbols), len(table), len(directory), len(points), zlib.crc32(table + directory + b"".join(points)))
     return b"".join((head, table, directory, *points, *body))
@@ -128,10 +135,15 @@ def decode_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarra
     sizes = np.frombuffer(raw, "<u4", n_docs, 9 * n_docs)
     ids = [np.zeros(0, np.uint32)]
     for k in range(n_points):
-        n, lanes, at, length, crc = POINT.unpack_from(data, c + k * POINT.size)
+        n, lanes, at, length, n_rare, crc = POINT.unpack_from(data, c + k * POINT.size)
         state = np.frombuffer(data, "<u4", lanes, d + at)
-        words = np.frombuffer(data, "<u2", (length - 4 * lanes) // 2, d + at + 4 * lanes).astype(np.uint64)
+        words = np.frombuffer(data, "<u2", (length - 4 * lanes - 4 * n_rare) // 2, d + at + 4 * lanes).astype(np.uint64)
         part = symbols[decode_block(words, state, n, freq, base, slot_of)]
+        if n_rare:
+            place = np.flatnonzero(part == RARE)
+            if len(place) != n_rare:
+                raise ValueError(f"block {k} is damaged")
+            part[place] = np.frombuffer(data, "<u4", n_rare, d + at + length - 4 * n_rare)
         if zlib.crc32(part.astype("<u4").tobytes()) != crc:
             raise ValueError(f"block {k} is damaged")
         ids.append(part)
@@ -145,29 +157,31 @@ def write(documents: DataFrame, path: str, tokenizer: str, keeps_blanks: bool =
     """Write the ids of all texts, end_id after each document, in ascending doc_id order.
 
     Null texts are empty; a null doc_id comes first; documents of equal doc_id
-    follow one another. Other columns are ignored.
+    follow one another, and repeated rows are each written. Other columns are
+    ignored. A segment closes at the first batch that brings it to segment_tokens.
     """
     ship(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = chunks(tokenizer, keeps_blanks), np.array([end_id], "<u4").tobytes()
-        part, segment, held = TaskContext.get().partitionId(), 0, 0
+        encoder, part, segment, held = chunks(tokenizer, keeps_blanks), TaskContext.get().partitionId(), 0, 0
         doc_ids: list[int | None] = []
-        tokens: list[bytes] = []
+        sizes: list[np.ndarray] = []
+        ids: list[np.ndarray] = []
 
         def row() -> pa.RecordBatch:
-            data = encode_segment(doc_ids, tokens)
+            data = encode_segment(doc_ids, np.concatenate(sizes), np.concatenate(ids))
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((part, segment, len(doc_ids), held, data), kinds, strict=True)], ["part", "segment", "n_docs", "n_tokens", "data"])
 
         for batch in blocks(batches, "text", 8_000_000):
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), strict=True):
-                doc_ids.append(doc)
-                tokens.append(ids + end)
-                held += len(ids) // 4 + 1
-                if held >= segment_tokens:
-                    yield row()
-                    doc_ids, tokens, held, segment = [], [], 0, segment + 1
+            new, at = encoder.encode(batch.column(1), end_id)
+            doc_ids += batch.column(0).to_pylist()
+            sizes.append(np.diff(at))
+            ids.append(new)
+            held += len(new)
+            if held >= segment_tokens:
+                yield row()
+                doc_ids, sizes, ids, held, segment = [], [], [], 0, segment + 1
         if doc_ids:
             yield row()
 

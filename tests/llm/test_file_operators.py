@@ -22,39 +22,64 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
 
+def own_ids(path, text, end=None):
+    """The whole text by the library itself."""
+    from tokenizers import Tokenizer
+
+    ids = Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids if text else []
+    return np.array(ids + ([] if end is None else [end]), "<u4").tobytes()
+
+
 @pytest.mark.parametrize(("path", "blanks"), [(BYTES, True), (WORDS, False)])
 def test_chunks_equal_whole_texts(path, blanks, texts):
-    encoder = Chunks(path, blanks)
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(path)
     r = random.Random(4)
-    odd = ["".join(r.choice(" \n\t\r.,'sabE!1  \x01\x1cΣς²中 ́") for _ in range(r.randint(0, 30))) for _ in range(2000)]
-    every = [*texts, *odd, "<|endoftext|> a <|endoftext|>b <|startoftext|>", "x ", " x", "a\nb.\nc", "don't, won't.\nI'll"]
-    assert encoder.encode(pa.array(every, pa.string())) == [encoder.ids(t or "") for t in every]
-    encoder.clear()
-    assert encoder.encode(pa.array(every, pa.string()).slice(5, 9)) == [encoder.ids(t or "") for t in every[5:14]]
-    assert encoder.encode(pa.array([], pa.string())) == []
+    odd = ["".join(r.choice(" \n\t\r.,'sabE!1  \x01\x1cΣς²中 ́") for _ in range(r.randint(0, 30))) for _ in range(2000)]
+    odd += ["".join(r.choice(["é", "×", "n", "'", "'s", "7", "<", "\u0338", ".", " ", "\n", "\u00a0", "\u3000", "<|", "endoftext", "|>"]) for _ in range(r.randint(0, 12))) for _ in range(2000)]
+    every = [*texts, *odd, "<|endoftext|> a <|endoftext|>b <|startoftext|>", "x ", " x", "a\nb.\nc", "don't, won't.\nI'll", " ", "", "\n"]
+    want = [whole.encode(t or "", add_special_tokens=False).ids for t in every]
+
+    def split(ids, at):
+        return [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    encoder = Chunks(path, blanks)
+    for _ in range(2):  # the second time from what it knows
+        assert split(*encoder.encode(pa.array(every, pa.string()))) == want
+    assert split(*encoder.encode(pa.array(every, pa.string()).slice(5, 9), 3)) == [w + [3] for w in want[5:14]]
+    assert split(*encoder.encode(pa.array([None, "", " "], pa.string()), 3)) == [[3], [3], whole.encode(" ", add_special_tokens=False).ids + [3]]
+    assert split(*encoder.encode(pa.array([], pa.string()), 3)) == []
+    forgetful = Chunks(path, blanks, remembered=300)
+    for lo in range(0, len(every), 97):
+        assert split(*forgetful.encode(pa.array(every[lo : lo + 97], pa.string()))) == want[lo : lo + 97]
+        assert len(forgetful.known) <= 300 and len(forgetful.flat) == forgetful.sizes.sum()
 
 
 def test_rans_round_trips():
     r = np.random.default_rng(1)
     cases = [np.zeros(0), np.array([7]), np.full(1000, 50_256), r.integers(0, 50_257, 70_000), np.minimum(r.geometric(0.01, 600_000), 50_000), np.arange(50_257)]
+    # more distinct ids than a table has places
+    cases += [np.arange(65_536), np.arange(65_537), r.permutation(np.r_[np.arange(200_000), np.zeros(90_000)]), r.integers(0, 1 << 31, 300_000)]
     for ids in cases:
-        raw = ids.astype("<u4").tobytes()
-        data = tokenfile.encode_segment([5, None, -2], [raw, b"", raw[:8]])
+        ids = ids.astype("<u4")
+        data = tokenfile.encode_segment([5, None, -2], np.array([len(ids), 0, len(ids[:2])]), np.concatenate([ids, ids[:2]]))
         doc_ids, sizes, got = tokenfile.decode_segment(data)
-        assert doc_ids == [5, None, -2] and sizes.tolist() == [len(ids), 0, len(raw[:8]) // 4]
-        assert got.astype("<u4").tobytes() == raw + raw[:8]
-    broken = bytearray(data)
-    broken[-5] ^= 1
-    with pytest.raises(ValueError):
-        tokenfile.decode_segment(bytes(broken))
-    skewed = np.minimum(r.geometric(0.3, 300_000), 60).astype("<u4").tobytes()
-    assert len(tokenfile.encode_segment([1], [skewed])) < len(skewed) / 10
+        assert doc_ids == [5, None, -2] and sizes.tolist() == [len(ids), 0, len(ids[:2])]
+        assert np.array_equal(got, np.concatenate([ids, ids[:2]]))
+    for at in (-5, -200_000):
+        broken = bytearray(data)
+        broken[at] ^= 1
+        with pytest.raises(ValueError):
+            tokenfile.decode_segment(bytes(broken))
+    skewed = np.minimum(r.geometric(0.3, 300_000), 60).astype("<u4")
+    assert len(tokenfile.encode_segment([1], np.array([len(skewed)]), skewed)) < 4 * len(skewed) / 10
 
 
 def test_token_files(docs, by_id, none, spark, tmp_path):
-    encoder, at, want = Chunks(BYTES, True), 0, []
+    at, want = 0, []
     for d in sorted(by_id):
-        ids = encoder.ids(by_id[d] or "") + bytes(4)
+        ids = own_ids(BYTES, by_id[d], 0)
         want.append((d, at, len(ids) // 4, zlib.crc32(ids)))
         at += len(ids) // 4
     tokenfile.write(docs, str(tmp_path / "t"), BYTES, segment_tokens=3000)
@@ -63,6 +88,17 @@ def test_token_files(docs, by_id, none, spark, tmp_path):
     assert tokenfile.round_trip(none, BYTES).count() == 0
 
 
+def test_token_files_of_null_and_repeated_ids(spark):
+    rows = [(None, "no id"), (4, "four"), (4, "other four"), (4, "four"), (2, None), (None, ""), (-1, " below ")]
+    got = tokenfile.round_trip(spark.createDataFrame(rows, "doc_id long, text string"), BYTES).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_tokens, r.ids_crc32) for r in got) == sorted((d is not None, d or 0, len(own_ids(BYTES, t, 0)) // 4, zlib.crc32(own_ids(BYTES, t, 0))) for d, t in rows)
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] == [None, None, -1, 2, 4, 4, 4]
+
+
 @pytest.mark.parametrize("sizes", [[], [1], [4096], [5000, 3, 700], [1] * 9, [4095, 4095, 2], None])
 def test_packs_are_full(sizes):
     r = random.Random(6)
@@ -88,8 +124,7 @@ def test_packs_are_full(sizes):
 
 
 def test_packing(docs, by_id, none):
-    encoder = Chunks(WORDS, False)
-    ids = {d: encoder.ids(t or "") + struct.pack("<I", 2) for d, t in by_id.items()}
+    ids = {d: own_ids(WORDS, t, 2) for d, t in by_id.items()}
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in pack.packed(docs, WORDS, pool_tokens=5000).collect():
         assert r.doc_tokens == len(ids[r.doc_id]) // 4 and r.ids_crc32 == zlib.crc32(ids[r.doc_id][4 * r.start : 4 * (r.start + r.length)])
