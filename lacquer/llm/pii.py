@@ -1,21 +1,22 @@
 """Personal data: patterns with checks, and terms that give protected values away.
 
-Every value the patterns find is a protected entity. A term near it discloses it
-as far as the corpus lets one infer it: the pointwise mutual information of term
-and entity over documents, as a share of the entity's own information. Terms over
-the threshold, seen with the entity in more than one context, are generalised.
+Every value that the patterns find is a protected entity. A term discloses it as
+far as the corpus lets one infer it: the mutual information of term and entity
+over whole documents, as a share of the entity's own information. A term over
+the threshold is generalised wherever it stands in a document that holds the
+entity.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import blocks, ship, stored
 
@@ -26,7 +27,7 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-TERM = re.compile(r"[^\W\d_]{3,}")
+TERM = re.compile(r"[^\W_]{2,}")
 Span = tuple[int, int, int]
 
 
@@ -65,66 +66,81 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def near_terms(text: str, spans: list[Span], reach: int, width: int = 240) -> list[tuple[str, str, int, int, int]]:
-    """(entity, term, start, end, context) for up to `reach` words on each side of every span, outside all spans."""
-    inside = sorted((a, b) for _, a, b in spans)
-    starts, out = [a for a, _ in inside], []
-    for kind, a, b in spans:
-        entity = f"{KINDS[kind]}:{text[a:b].lower()}"
-        before = [m for m in TERM.finditer(text, max(0, a - width), a) if m.start() > a - width or m.start() == 0][-reach:]
-        after = [m for m in TERM.finditer(text, b, b + width) if m.end() < b + width or m.end() == len(text)][:reach]
-        context = xxhash.xxh64_intdigest(" ".join(m[0] for m in (*before, *after)).lower().encode()) >> 1
-        for m in (*before, *after):
-            k = int(np.searchsorted(starts, m.start(), "right")) - 1
-            if k < 0 or inside[k][1] <= m.start():
-                if not (k + 1 < len(inside) and inside[k + 1][0] < m.end()):
-                    out.append((entity, m[0].lower(), m.start(), m.end(), context))
-    return out
+def terms_of(text: str) -> set[str]:
+    """The text's terms in lower case: runs of two or more letters and digits that are not digits alone."""
+    return {t.lower() for t in set(TERM.findall(text)) if not t.isdigit()}
 
 
-FOUND = "doc_id long, base array<struct<rank:int,start:int,end:int>>, near array<struct<entity:string,term:string,start:int,end:int,context:long>>"
-SPANS = pa.list_(pa.struct([("rank", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-NEAR = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("context", pa.int64())]))
+def outside(text: str, spans: list[Span]) -> str:
+    """The text with a blank for each span, so that no protected value is a term."""
+    out, done = [], 0
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if b > done:
+            out += [text[done : max(a, done)], " "]
+            done = b
+    return "".join([*out, text[done:]])
+
+
+def term_spans(text: str, spans: list[Span], wanted: set[str]) -> list[Span]:
+    """Where the wanted terms stand outside all spans."""
+    edges, done = [], 0
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if b > done:
+            edges.append((done, a))
+            done = b
+    edges.append((done, len(text)))
+    return [(4, m.start(), m.end()) for a, b in edges if b > a for m in TERM.finditer(text, a, b) if m[0].lower() in wanted]
 
 
-def found(documents: DataFrame, reach: int) -> DataFrame:
-    """Base spans of every document and the terms near them."""
+def digest_of(text: str) -> bytes:
+    """What rows of equal text have in common; 128 bits, so that different texts don't."""
+    return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
+
+
+def protected(documents: DataFrame) -> DataFrame:
+    """(digest, entities, terms) of the rows that hold a protected value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches, "text", 4_000_000):
-            base, near = [], []
-            for text in part.column(1).to_pylist():
-                spans = base_spans(text) if text else []
-                base.append([{"rank": k, "start": a, "end": b} for k, a, b in spans])
-                near.append([dict(zip(("entity", "term", "start", "end", "context"), x, strict=True)) for x in (near_terms(text, spans, reach) if spans else [])])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(base, SPANS), pa.array(near, NEAR)], ["doc_id", "base", "near"])
+            rows = []
+            for text in part.column(0).to_pylist():
+                if text and (spans := base_spans(text)):
+                    rows.append((digest_of(text), sorted({f"{KINDS[k]}:{text[a:b].lower()}" for k, a, b in spans}), sorted(terms_of(outside(text, spans)))))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.list_(pa.string()), pa.list_(pa.string())), strict=True)], ["digest", "entities", "terms"])
 
-    return documents.mapInArrow(run, FOUND)
+    return documents.select("text").mapInArrow(run, "digest binary, entities array<string>, terms array<string>")
 
 
-FILTER_BITS = 1 << 23
+MOST_BITS = 1 << 25
 
 
-def slot(term: str) -> int:
-    return xxhash.xxh64_intdigest(term.encode(), 1) & (FILTER_BITS - 1)
+def slot(key: str | bytes, n: int) -> int:
+    return xxhash.xxh64_intdigest(key, 1) & (n - 1)
 
 
-def bit_filter(terms: DataFrame) -> np.ndarray:
-    """2 ** 23 flags, set for the terms' hashes; of fixed size whatever the number of terms. Terms of others only cost time."""
+def bit_filter(keys: DataFrame) -> np.ndarray:
+    """Flags set at the hashes of a column, packed: 16 bits a key, at most 4 MB whatever their number. Others' flags only cost time."""
+    n = min(MOST_BITS, 1 << max(10, (16 * keys.count()).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.array([slot(t) for t in batch.column(0).to_pylist()], np.int64)
+            at = np.array([slot(t, n) for t in batch.column(0).to_pylist()], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(at >> 5), pa.array(np.int64(1) << (at & 31))], ["cell", "bits"])
 
-    flags = np.zeros(FILTER_BITS, bool)
-    for r in terms.select("term").mapInArrow(run, "cell long, bits long").groupBy("cell").agg(F.bit_or("bits").alias("bits")).collect():
-        flags[32 * r.cell : 32 * r.cell + 32] = [r.bits >> i & 1 for i in range(32)]
-    return flags
+    cells = keys.mapInArrow(run, "cell long, bits long").groupBy("cell").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(n >> 5, "<u4")
+    words[cells.column("cell").to_numpy()] = cells.column("bits").to_numpy().astype(np.uint32)
+    return words
+
+
+def flagged(words: np.ndarray, key: str | bytes) -> bool:
+    at = slot(key, 32 * len(words))
+    return bool(words[at >> 5] >> (at & 31) & 1)
 
 
 def document_counts(documents: DataFrame, terms: DataFrame, held: int = 300_000) -> DataFrame:
-    """(term, n_term): in how many documents each of the terms is, counted in the tasks before it is summed."""
+    """(term, n_term): how many rows hold each of the terms anywhere, counted in the tasks before it is summed."""
     flags = documents.sparkSession.sparkContext.broadcast(bit_filter(terms))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,12 +149,12 @@ def document_counts(documents: DataFrame, terms: DataFrame, held: int = 300_000)
         def rows() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for term in set(map(str.lower, TERM.findall(text or ""))):
+        for part in blocks(batches, "text", 4_000_000):
+            for text in part.column(0).to_pylist():
+                for term in terms_of(text or ""):
                     want = wanted.get(term)
                     if want is None:
-                        want = wanted[term] = bool(flags.value[slot(term)])
+                        want = wanted[term] = flagged(flags.value, term)
                     if want:
                         counts[term] += 1
                 if len(wanted) > held:
@@ -149,34 +165,110 @@ def document_counts(documents: DataFrame, terms: DataFrame, held: int = 300_000)
         yield rows()
 
     counted = documents.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-    return counted.join(terms.select("term").distinct(), "term", "left_semi")
+    return counted.join(terms, "term", "left_semi")
+
+
+#: Into how many parts the rows of one key are dealt where a key may be in a third of all rows.
+SALTS = 16
+
+
+def salted_join(rows: DataFrame, few: DataFrame, key: str, by: str) -> DataFrame:
+    """Inner join of rows with a table of one row per key, whose rows are repeated so that no key is one task's alone."""
+    salted = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(salted, [key, "__salt"]).drop("__salt")
+
 
+def disclosing(documents: DataFrame, threshold: float, contexts: int) -> DataFrame:
+    """(digest, terms): of each text that holds protected values, its terms that disclose one of them.
 
-def disclosing(rows: DataFrame, documents: DataFrame, n: int, threshold: float, contexts: int) -> DataFrame:
-    """(entity, term) whose mutual information reaches `threshold` of the entity's information."""
-    pairs = rows.groupBy("entity", "term").agg(F.countDistinct("doc_id").alias("n_both"), F.countDistinct("context").alias("n_contexts")).where(F.col("n_contexts") >= contexts)
-    pairs = stored(pairs, "pairs")
-    entities = rows.groupBy("entity").agg(F.countDistinct("doc_id").alias("n_entity"))
-    joined = pairs.join(entities, "entity").join(document_counts(documents, pairs), "term")
+    Counts are of rows; a pair must also stand in `contexts` different texts.
+    With n_both at most n_entity and n_term, a term of more than
+    n * (n_entity / n) ** threshold rows can't reach the threshold, so that
+    frequent terms meet no entity.
+    """
+    n = documents.count()
+    texts = stored(protected(documents), "protected").groupBy("digest").agg(F.count("*").alias("rows"), F.first("entities").alias("entities"), F.first("terms").alias("terms"))
+    texts = stored(texts, "protected-texts")
+    held = texts.select("digest", "rows", F.explode("entities").alias("entity"))
+    entities = held.groupBy("entity").agg(F.sum("rows").alias("n_entity"), F.count("*").alias("n_texts")).where((F.col("n_texts") >= contexts) & (F.col("n_entity") < n)).drop("n_texts")
+    entities = stored(entities.withColumn("most", F.lit(float(n)) * F.pow(F.col("n_entity") / F.lit(float(max(n, 1))), F.lit(threshold)) * (1 + 1e-9)), "entities")
+    most = entities.agg(F.max("most")).first()[0] or 0.0
+    held = stored(salted_join(held, entities, "entity", "digest"), "held")
+    own = texts.join(held.select("digest").distinct(), "digest", "left_semi").select("digest", F.explode("terms").alias("term"))
+    several = stored(own.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= contexts).select("term"), "terms")
+    counts = stored(document_counts(documents, several).where(F.col("n_term") <= most), "counts")
+    pairs = held.join(salted_join(own, counts, "term", "digest"), "digest").where(F.col("n_term") <= F.col("most"))
+    pairs = stored(pairs.select("digest", "rows", "entity", "term", "n_entity", "n_term"), "pairs")
     shared = F.log2(F.col("n_both") * F.lit(float(n)) / (F.col("n_entity") * F.col("n_term")))
-    return joined.where((F.col("n_entity") < n) & (shared >= threshold * F.log2(F.lit(float(n)) / F.col("n_entity")))).select("entity", "term")
+    judged = pairs.groupBy("entity", "term", "n_entity", "n_term").agg(F.sum("rows").alias("n_both"), F.count("*").alias("n_texts"))
+    told = judged.where((F.col("n_texts") >= contexts) & (shared >= F.lit(threshold) * F.log2(F.lit(float(n)) / F.col("n_entity")) - 1e-9)).select("entity", "term")
+    return stored(pairs.join(told, ["entity", "term"], "left_semi").groupBy("digest").agg(F.collect_set("term").alias("terms")), "disclosing")
 
 
-def spans(documents: DataFrame, threshold: float = 0.9, contexts: int = 2, reach: int = 8) -> DataFrame:
-    """doc_id, base and spans (arrays of rank, start, end by rank and start); spans has the disclosing terms' too.
+def marked(documents: DataFrame, threshold: float, contexts: int, make: Callable[[pa.RecordBatch, list[tuple[list[Span], list[Span]]]], pa.RecordBatch], schema: str | T.StructType) -> DataFrame:
+    """make(batch, base and term spans of each row) of all rows.
 
-    Corpus counts cover all documents. Null and empty texts have no spans.
-    Repeated rows of a doc_id are each reported, and count as one document.
+    Spans are found in the task that holds the text. Only rows whose text may
+    have disclosing terms travel, to fetch them by the text's digest.
     """
     spark = documents.sparkSession
     ship(spark)
+    told = disclosing(documents.select(F.col("text").cast("string").alias("text")), threshold, contexts)
+    flags = spark.sparkContext.broadcast(bit_filter(told.select("digest")))
+    at = documents.columns.index("text")
+
+    def spans_of(text: str | None, wanted: list[str] | None) -> tuple[list[Span], list[Span]]:
+        base = base_spans(text) if text else []
+        return base, term_spans(text, base, set(wanted)) if wanted else []
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in blocks(batches, "text", 4_000_000):
+            texts = part.column(at).to_pylist()
+            other = [not t or not flagged(flags.value, digest_of(t)) for t in texts]
+            yield make(part.filter(pa.array(other)), [spans_of(t, None) for t, o in zip(texts, other, strict=True) if o])
+
+    def told_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in blocks(batches, "text", 4_000_000):
+            digests = [digest_of(t) if t else b"" for t in part.column(at).to_pylist()]
+            mine = pa.array([bool(d) and flagged(flags.value, d) for d in digests])
+            yield part.append_column("__digest", pa.array(digests, pa.binary())).filter(mine)
+
+    def with_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in blocks(batches, "text", 4_000_000):
+            found = list(map(spans_of, part.column(at).to_pylist(), part.column(part.num_columns - 1).to_pylist()))
+            yield make(part.select(list(range(part.num_columns - 1))), found)
+
+    few = told.withColumnsRenamed({"digest": "__digest", "terms": "__terms"}).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    travelling = documents.mapInArrow(told_ones, T.StructType([*documents.schema.fields, T.StructField("__digest", T.BinaryType())]))
+    # copies of one text are dealt out
+    dealt = travelling.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    joined = dealt.join(few, ["__digest", "__salt"], "left").select(*(F.col(f"`{c}`") for c in documents.columns), "__terms")
+    return documents.mapInArrow(plain, schema).unionByName(joined.mapInArrow(with_terms, schema))
+
+
+SPANS = pa.list_(pa.struct([("rank", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
+SPANNED = "doc_id long, base array<struct<rank:int,start:int,end:int>>, spans array<struct<rank:int,start:int,end:int>>"
+
+
+def span_lists(lists: list[list[Span]]) -> pa.Array:
+    flat = np.array([x for spans in lists for x in spans], np.int32).reshape(-1, 3)
+    at = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays([pa.array(flat[:, k]) for k in range(3)], ["rank", "start", "end"])).cast(SPANS)
+
+
+def spans(documents: DataFrame, threshold: float = 0.9, contexts: int = 2) -> DataFrame:
+    """doc_id, base and spans (arrays of rank, start, end by rank and start); spans has the disclosing terms' too.
+
+    Corpus counts cover all rows, those of null and repeated doc_ids included;
+    exact copies count as rows but are one context. Null and empty texts have no
+    spans. Every row is reported with the spans of its own text.
+    """
+
+    def make(part: pa.RecordBatch, found: list[tuple[list[Span], list[Span]]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([part.column(0), span_lists([b for b, _ in found]), span_lists([b + t for b, t in found])], ["doc_id", "base", "spans"])
+
     own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = stored(found(own, reach), "pii")
-    rows = base.select("doc_id", F.explode("near").alias("x")).select("doc_id", "x.*")
-    told = disclosing(rows, own, base.count(), threshold, contexts)
-    hits = rows.join(told, ["entity", "term"]).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct(F.lit(4).alias("rank"), "start", "end"))).alias("terms"))
-    empty = F.array().cast("array<struct<rank:int,start:int,end:int>>")
-    return base.join(hits, "doc_id", "left").select("doc_id", "base", F.concat("base", F.coalesce("terms", empty)).alias("spans"))
+    return marked(own, threshold, contexts, make, SPANNED)
 
 
 def written(spans: Column) -> Column:
@@ -199,20 +291,20 @@ def replaced(text: str, found: list[Span]) -> str:
     return "".join([*out, text[done:]])
 
 
-def sanitise(documents: DataFrame, **options: float) -> DataFrame:
-    """All columns of all documents with personal data and disclosing terms generalised, and n_chars, if there, brought up to date."""
-    marked = spans(documents, **options).where(F.size("spans") > 0).groupBy(F.col("doc_id").alias("__id")).agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("__spans"))
+def sanitise(documents: DataFrame, threshold: float = 0.9, contexts: int = 2) -> DataFrame:
+    """All columns of all documents with personal data and disclosing terms generalised, and n_chars, if there, brought up to date.
+
+    A row is changed by its own text alone: null and repeated doc_ids are rows
+    like any other, and null and empty texts stay.
+    """
     schema = documents.schema
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
-            lists = batch.column(batch.num_columns - 1)
-            batch = batch.select(list(range(batch.num_columns - 1)))
-            if lists.null_count < batch.num_rows:
-                texts = [t if not s or t is None else replaced(t, [(x["rank"], x["start"], x["end"]) for x in s]) for t, s in zip(batch.column(at).to_pylist(), lists.to_pylist(), strict=True)]
-                batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-            yield batch
-
-    out = documents.join(marked, documents["doc_id"] == marked["__id"], "left").drop("__id").mapInArrow(run, schema)
+    def make(part: pa.RecordBatch, found: list[tuple[list[Span], list[Span]]]) -> pa.RecordBatch:
+        at = part.schema.get_field_index("text")
+        if any(b or t for b, t in found):
+            texts = [replaced(t, b + more) if b or more else t for t, (b, more) in zip(part.column(at).to_pylist(), found, strict=True)]
+            part = part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
+        return part
+
+    out = marked(documents, threshold, contexts, make, schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in schema.names else out

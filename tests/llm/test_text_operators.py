@@ -315,3 +315,55 @@ def test_disclosing_terms(spark):
     clean = {r.doc_id: r for r in pii.sanitise(df).collect()}
     assert "[TERM]" in clean[100].text and "[EMAIL]" in clean[100].text and "Smithers" not in clean[100].text
     assert clean[100].n_chars == len(clean[100].text) and clean[0].text == texts[0] and len(clean) == len(rows)
+
+
+def brute_terms(texts, threshold=0.9, contexts=2):
+    """Term spans of every row by mutual information over all pairs, from sets of whole texts."""
+    words = lambda t: {w.lower() for w in re.findall(r"[^\W_]{2,}", t) if not w.isdigit()}
+    entities, terms, clear = [], [], []
+    for t in texts:
+        base, out = base_pii(t), list(t or "")
+        entities.append({f"{k}:{t[a:b].lower()}" for k, a, b in base})
+        for _, a, b in base:
+            out[a:b] = "\x00" * (b - a)
+        clear.append("".join(out))
+        terms.append(words(clear[-1].replace("\x00", " ")) if base else set())
+    n, told = len(texts), set()
+    for e in set().union(*entities):
+        with_e = [i for i in range(n) if e in entities[i]]
+        for w in set().union(*(terms[i] for i in with_e)):
+            both = [i for i in with_e if w in terms[i]]
+            n_term = sum(w in words(t or "") for t in texts)
+            if len(with_e) < n and len({texts[i] for i in both}) >= contexts and math.log2(len(both) * n / (len(with_e) * n_term)) >= threshold * math.log2(n / len(with_e)) - 1e-9:
+                told.add((e, w))
+    return [[(4, m.start(), m.end()) for m in re.finditer(r"[^\W_\x00]{2,}", c) if any((e, m[0].lower()) in told for e in own)] for c, own in zip(clear, entities, strict=True)]
+
+
+def test_terms_equal_brute_force(spark):
+    r = random.Random(12)
+    people = [(f"user{i}@corp.example", [f"Name{i}", "李明", f"x{i}y"] if i == 3 else [f"Name{i}", f"Street{i % 4}"]) for i in range(9)]
+    filler = lambda n: " ".join(r.choice(["Common", "words", "stand", "here", "12", "zeta", "eta"]) + r.choice(["", ",", "."]) for _ in range(n))
+    texts = []
+    for _ in range(150):
+        email, names = r.choice(people)
+        # names at the head, the address at the foot, far from each other
+        texts.append(" ".join([*r.sample(names, r.randint(0, len(names))), filler(r.choice([3, 60])), email if r.random() < 0.6 else "", r.choice(["", "+1 (988) 555-2485 Hotline"])]))
+    texts += [texts[0]] * 30 + [None, "", "Signed Registrar Quill, mail desk@corp.example"] + ["Signed Registrar Quill mail desk@corp.example copied"] * 5
+    ids = [None if i % 11 == 0 else i % 120 for i in range(len(texts))]
+    df = spark.createDataFrame([(d, t, i, "x") for i, (d, t) in enumerate(zip(ids, texts, strict=True))], "doc_id long, text string, digest int, terms string").repartition(5)
+    want = brute_terms(texts)
+    assert sum(map(len, want)) > 100
+    got = sorted(((r.doc_id is None, r.doc_id or 0), [tuple(s) for s in r.spans]) for r in pii.spans(df).collect())
+    assert got == sorted(((d is None, d or 0), base_pii(t) + w) for d, t, w in zip(ids, texts, want, strict=True))
+    clean = {r.digest: r for r in pii.sanitise(df).collect()}
+    assert len(clean) == len(texts) and clean[0].terms == "x"
+    for i, t in enumerate(texts):
+        assert clean[i].text == (pii.replaced(t, base_pii(t) + want[i]) if t else t) and clean[i].doc_id == ids[i]
+
+
+def test_rows_without_or_with_one_id_are_sanitised_alike(spark):
+    rows = [(None, "mail bob@corp.example now"), (1, "mail ann@corp.example"), (1, "xxxxx y"), (2, "w" * 300 + " " + "v" * 300 + " eve@corp.example")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.text for r in pii.sanitise(df).collect()) == sorted(["mail [EMAIL] now", "mail [EMAIL]", "xxxxx y", "w" * 300 + " " + "v" * 300 + " [EMAIL]"])
+    empty = pii.sanitise(df.limit(0))
+    assert empty.count() == 0 and empty.columns == df.columns
