@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
 from typing import TYPE_CHECKING
@@ -12,20 +13,27 @@ from pyspark.sql import Column, functions as F
 if TYPE_CHECKING:
     from .policy import Policy, Rules
 
-_SEPARATORS = re.compile(r"[_\-.\[\]\s]+")
+#: Unicode's white space, spelt out because regular expressions of Python and Java differ about it.
+BLANKS = r"\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SEPARATORS = re.compile(rf"[_\-.\[\]{BLANKS}]+")
 #: A token starts at an upper-case letter after a lower-case letter or digit, or before a lower-case one in a run of upper-case letters.
 CAMEL = r"(?<=[\p{IsLowercase}\p{N}])(?=\p{IsUppercase})|(?<=\p{IsUppercase})(?=\p{IsUppercase}\p{IsLowercase})"
 
 
+def lowered(text: str) -> str:
+    """Lower case letter by letter: a sigma at the end of a word is like any other."""
+    return text.replace("Σ", "σ").lower()
+
+
 def canonical(name: str) -> str:
-    return _SEPARATORS.sub("", name.strip()).lower()
+    return lowered(_SEPARATORS.sub("", name))
 
 
 def _tokens(part: str) -> list[str]:
     cut = [0]
     for i in range(1, len(part)):
         a, b, c = part[i - 1], part[i], part[i + 1 : i + 2]
-        if b.isupper() and (a.islower() or a.isnumeric() or a.isupper() and c.islower()):
+        if b.isupper() and (a.islower() or unicodedata.category(a)[0] == "N" or a.isupper() and c.islower()):
             cut.append(i)
     return [part[i:j] for i, j in zip(cut, [*cut[1:], len(part)], strict=True)]
 
@@ -33,14 +41,18 @@ def _tokens(part: str) -> list[str]:
 @lru_cache(65_536)
 def candidates(name: str, by_suffix: bool = True) -> tuple[str, ...]:
     """The canonical name, then, by suffix, what is left from each later token on."""
-    tokens = [t for part in _SEPARATORS.split(name.strip()) if part for t in _tokens(part)]
+    tokens = [t for part in _SEPARATORS.split(name) if part for t in _tokens(part)]
     if not tokens:
         return ()
-    return tuple("".join(tokens[i:]).lower() for i in range(len(tokens) if by_suffix else 1))
+    return tuple(lowered("".join(tokens[i:])) for i in range(len(tokens) if by_suffix else 1))
+
+
+def lowered_column(text: Column) -> Column:
+    return F.lower(F.translate(text, "Σ", "σ"))
 
 
 def canonical_column(name: Column) -> Column:
-    return F.lower(F.regexp_replace(F.trim(name), r"[_\-.\[\]\s]", ""))
+    return lowered_column(F.regexp_replace(name, rf"[_\-.\[\]{BLANKS}]", ""))
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -49,12 +61,12 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def candidates_column(name: Column, by_suffix: bool = True) -> Column:
-    parts = F.filter(F.split(name, r"[_\-.\[\]\s]+"), lambda p: p != "")
+    parts = F.filter(F.split(name, rf"[_\-.\[\]{BLANKS}]+"), lambda p: p != "")
     split = F.flatten(F.transform(parts, lambda p: F.filter(F.split(p, CAMEL), lambda t: t != "")))
 
     def suffixes(tokens: Column) -> Column:
         last = F.size(tokens) if by_suffix else F.least(F.size(tokens), F.lit(1))
-        every = F.transform(F.sequence(F.lit(1), last), lambda i: F.lower(F.array_join(F.slice(tokens, i, F.size(tokens)), "")))
+        every = F.transform(F.sequence(F.lit(1), last), lambda i: lowered_column(F.array_join(F.slice(tokens, i, F.size(tokens)), "")))
         return F.when(F.size(tokens) > 0, every).otherwise(F.array().cast("array<string>"))
 
     return let(split, suffixes)

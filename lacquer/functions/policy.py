@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict, dataclass, field, replace
+from functools import cached_property, lru_cache
 
 from .names import canonical, candidates
 
@@ -82,6 +83,11 @@ class Mask:
     def mask(self, value: str) -> str:
         return self.written(value) if value else ""
 
+    def bounded(self, value: str, max_bytes: int) -> tuple[str, bool]:
+        """mask() cut at a character boundary to max_bytes of UTF-8, and whether it was cut."""
+        raw = self.mask(value).encode()
+        return (raw[:max_bytes].decode("utf-8", "ignore"), True) if len(raw) > max_bytes else (raw.decode(), False)
+
 
 MASKS = (Mask.preserve_edges(2, 2, "****", 4), Mask.preserve_suffix(1, "*******", 1), Mask.fixed("****"), Mask.fixed("<redacted>"))
 
@@ -96,24 +102,33 @@ class Rules:
     by_suffix: bool = True
     unknown: int = 0
 
-    def classify(self, name: str) -> tuple[str, str | None, str | None]:
+    @cached_property
+    def levels(self) -> dict[str, int]:
+        return dict(self.sensitive)
+
+    def classify(self, name: str, exact: bool = False) -> tuple[str, str | None, str | None]:
         """('sensitive' or 'allowed' or 'unknown', the rule's name, 'exact' or 'token_suffix') by the first candidate with a rule."""
-        levels = dict(self.sensitive)
-        for k, c in enumerate(candidates(name, self.by_suffix)):
+        for k, c in enumerate(candidates(name, self.by_suffix and not exact)):
             kind = "exact" if k == 0 else "token_suffix"
             if k == 0 and c in self.allow_exact or c in self.allow_suffix:
                 return "allowed", c, kind
-            if c in levels:
+            if c in self.levels:
                 return "sensitive", c, kind
         return "unknown", None, None
 
     def level(self, name: str, exact: bool = False, floor: bool = False) -> int:
         """0 or the strongest level of all candidates; allowed names have none, but a floor knows no allowed names."""
-        own = replace(self, by_suffix=self.by_suffix and not exact)
-        if not floor and own.classify(name)[0] == "allowed":
+        if not floor and (self.allow_exact or self.allow_suffix) and self.classify(name, exact)[0] == "allowed":
             return 0
-        levels = dict(self.sensitive)
-        return max((levels[c] for c in candidates(name, own.by_suffix) if c in levels), default=self.unknown)
+        return max((self.levels[c] for c in candidates(name, self.by_suffix and not exact) if c in self.levels), default=self.unknown)
+
+
+def validate_field_name(name: str, where: str = "rules") -> str:
+    """The canonical form of a name. Raises PolicyError if nothing is left of it."""
+    key = canonical(name)
+    if not key:
+        raise PolicyError("empty field name", where)
+    return key
 
 
 def rules_of(names: dict[str, int], **options) -> Rules:
@@ -142,6 +157,11 @@ class Limits:
     max_nodes: int = 1_024
     max_items: int = 256
     max_key_bytes: int = 256
+    # of JSON texts; by default they are bound by the limits above
+    max_json_depth: int = 128
+    max_json_nodes: int = 100_000
+    max_json_string_bytes: int = 65_536
+    max_json_number_bytes: int = 1_024
 
 
 @dataclass(frozen=True)
@@ -165,6 +185,17 @@ class Policy:
 
     def sensitivity_for(self, name: str, context: str | None = None, exact: bool = False) -> int:
         """0 for a field that passes, or the strongest of the rules, the floor and the context's own."""
+        return self._level(name, context, exact)
+
+    @cached_property
+    def _level(self):
+        """Levels of the names met lately; a policy never changes."""
+        return lru_cache(16_384)(self._strongest)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_level"}
+
+    def _strongest(self, name: str, context: str | None, exact: bool) -> int:
         pairs = [(self.rules, self.floor)] + ([(c.rules, c.floor)] if context and (c := getattr(self, context)) else [])
         return max(max(r.level(name, exact), f.level(name, exact, True) if f else 0) for r, f in pairs)
 
@@ -329,12 +360,17 @@ class PolicyBuilder:
     def disable_floor(self) -> PolicyBuilder:
         return self._set(floor=None)
 
-    def context(self, which: str, change, floor: Rules | None = None) -> PolicyBuilder:
-        """Rules of the header, query or body context, and optionally its floor."""
+    def context(self, which: str, change=None, floor: Rules | None | bool = True) -> PolicyBuilder:
+        """Rules of the header, query or body context, and its floor: True keeps it, None removes it."""
         own = getattr(self._policy, which)
         draft = RulesBuilder.of(own.rules, f"http {which}")
-        change(draft)
-        return self._set(**{which: Context(draft.build(), floor or own.floor)})
+        if change:
+            change(draft)
+        return self._set(**{which: Context(draft.build(), own.floor if floor is True else floor)})
+
+    def replace_rules(self, which: str, rules: Rules) -> PolicyBuilder:
+        """All rules of a context at once; its floor stays."""
+        return self._set(**{which: replace(getattr(self._policy, which), rules=rules)})
 
     def all_context_floors(self, floor: Rules | None) -> PolicyBuilder:
         return self._set(**{k: replace(getattr(self._policy, k), floor=floor) for k in ("header", "query", "body")})
@@ -347,6 +383,9 @@ class PolicyBuilder:
         return self._set(masks=tuple(masks))
 
     def limits(self, **values: int) -> PolicyBuilder:
+        for name, value in values.items():
+            if not isinstance(value, int) or isinstance(value, bool) or value < 0:
+                raise PolicyError(f"{name} is no size", "limits")
         if values.get("max_output_bytes", 0) > 1 << 31:
             raise PolicyError("output limit too large", "limits")
         return self._set(limits=replace(self._policy.limits, **values))

@@ -91,6 +91,16 @@ def _bounded(text: Column, policy: Policy, too_much: Column | None = None, size:
     return result(shown, policy, F.when(bad, TRUNCATED).otherwise(COMPLETE), reasons, usage(presented=size, inspected=F.when(heavy, 0).otherwise(size), output=F.octet_length(shown)))
 
 
+def bounded_text(text: Column, policy: Policy) -> Column:
+    """The log-safe text, or, over the output limit, what of its start leaves room for the marker; no character or escape is cut in two."""
+    most = policy.limits.max_output_bytes
+    if most < len(CUT):
+        return F.when(F.octet_length(text) <= most, text).when(text.isNotNull(), F.lit(""))
+    start = F.make_valid_utf8(F.substring(text.cast("binary"), 1, most - len(CUT)).cast("string"))
+    whole = F.regexp_replace(F.rtrim(start, F.lit("\ufffd")), r"\\(u(\{[0-9a-f]*)?)?$", "")
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.concat(whole, F.lit(CUT)))
+
+
 def redact_env(name: Column, value: Column, policy: Policy) -> Column:
     return _bounded(pair_text(name, value, policy), policy, size=F.octet_length(name.cast("string")) + F.octet_length(value.cast("string")))
 
@@ -241,8 +251,15 @@ def escaped_lines(lines: Column) -> Column:
 
 
 def redact_http_headers(headers: Column, policy: Policy) -> Column:
+    """Lines by name; over the output limit their end gives way to a marker."""
     size = _total(headers, lambda h: F.octet_length(h["name"].cast("string")) + F.octet_length(h["value"].cast("string")))
-    return _bounded(headers_text(headers, policy), policy, F.size(headers) > policy.limits.max_items, size)
+    text = headers_text(headers, policy)
+    # a list whose input is too large is replaced as a whole
+    over = F.octet_length(text) > policy.limits.max_output_bytes
+    plain = _bounded(F.when(over, F.lit("")).otherwise(text), policy, F.size(headers) > policy.limits.max_items, size)
+    shown = bounded_text(text, policy)
+    cut = result(shown, policy, F.when(shown == "", EXHAUSTED).otherwise(TRUNCATED), BIT["output_limit_reached"], usage(presented=size, output=F.octet_length(shown)))
+    return F.when(over & (plain["completion"] == COMPLETE), cut).otherwise(plain)
 
 
 def inspect_http_headers(headers: Column, policy: Policy) -> Column:

@@ -7,9 +7,10 @@ can't be parsed is replaced, never shown, and never fails the job.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 from ..functions.policy import SECRET, Policy
@@ -21,34 +22,62 @@ from .results import BIT, COMPLETE, EXHAUSTED, INSPECTION, RESULT, TRUNCATED
 Render = Callable[..., tuple[str, tuple[str, ...]]]
 
 
-def render(policy: Policy, how: Render, data: str | bytes, *more) -> dict:
-    """One value as the fields of a result struct, with `level` beside them."""
+class Rendered(NamedTuple):
+    """One value as the fields of a result struct, flat, with its level."""
+
+    text: str
+    completion: int
+    reasons: int
+    presented: int
+    inspected: int
+    output: int
+    nodes: int
+    items: int
+    depth: int
+    omitted: int | None
+    level: int
+
+
+def render(policy: Policy, how: Render, data: str | bytes, *more, missing: int | None = 0) -> Rendered:
+    """One value. JSON that is too large is replaced as a whole; of URIs, URLs and bodies a first part stays, with a marker."""
     limits, seen = policy.limits, P.Seen(policy)
     raw = data.encode("utf-8", "replace") if isinstance(data, str) else data
     size = len(raw)
     kept = raw[: limits.max_input_bytes]
-    reasons = {"input_limit_reached"} if size > len(kept) else set()
-    completion = TRUNCATED if reasons else COMPLETE
+    cut = size > len(kept)
+    reasons = {"input_limit_reached"} if cut else set()
     given = kept.decode("utf-8", "ignore") if isinstance(data, str) else kept
+    whole = how is json_text
     try:
-        text, why = how(given, seen, bool(reasons), *more)
+        text, why = how(given, seen, cut, *more)
         reasons |= set(why)
     except P.LimitReached as e:
-        text, completion = P.MARKERS["cut"], TRUNCATED
+        text, whole = P.MARKERS["cut"], True
         reasons.add(e.reason)
     except RecursionError:
-        text, completion = P.MARKERS["cut"], TRUNCATED
+        text, whole = P.MARKERS["cut"], True
         reasons.add("depth_limit_reached")
-    text = P.log_safe(text)
-    if "source_truncated" in reasons or "output_limit_reached" in reasons:
-        completion = max(completion, TRUNCATED)
-    out = text.encode("utf-8", "replace")
-    if len(out) > limits.max_output_bytes:
-        reasons.add("output_limit_reached")
-        text, completion = (P.MARKERS["cut"], TRUNCATED) if len(P.MARKERS["cut"]) <= limits.max_output_bytes else ("", EXHAUSTED)
-        out = text.encode()
-    used = {"presented": size, "inspected": len(kept), "output": len(out), "nodes": seen.nodes, "items": seen.items, "depth": seen.depth, "omitted": size - len(kept)}
-    return {"text": text, "completion": completion, "reasons": P.mask_bits(tuple(reasons)), "disabled": policy.disabled, "usage": used, "level": seen.level}
+    # bodies say at their end that the source went on
+    gone = how is body_text and bool(text) and (cut or "source_truncated" in reasons)
+    if whole:
+        text = P.log_safe(text)
+        if len(text.encode("utf-8", "replace")) > limits.max_output_bytes:
+            reasons.add("output_limit_reached")
+            text = P.MARKERS["cut"] if len(P.MARKERS["cut"]) <= limits.max_output_bytes else ""
+            completion = TRUNCATED if text else EXHAUSTED
+        else:
+            completion = TRUNCATED if reasons & INCOMPLETE else COMPLETE
+    else:
+        text, short, none = P.cut_back(text, limits.max_output_bytes, gone)
+        if short and not gone or none:
+            reasons.add("output_limit_reached")
+        completion = EXHAUSTED if none else TRUNCATED if short or reasons & INCOMPLETE else COMPLETE
+    omitted = None if missing is None else size - len(kept) + missing
+    return Rendered(text, completion, P.mask_bits(tuple(reasons)), size, len(kept), len(text.encode("utf-8", "replace")), seen.nodes, seen.items, seen.depth, omitted, seen.level)
+
+
+#: Reasons that leave something out.
+INCOMPLETE = {"input_limit_reached", "output_limit_reached", "traversal_limit_reached", "depth_limit_reached", "source_truncated"}
 
 
 def json_text(text: str, seen: P.Seen, cut: bool) -> tuple[str, tuple[str, ...]]:
@@ -80,39 +109,48 @@ def body_text(body: bytes, seen: P.Seen, cut: bool, kind: str | None, source_cut
 HIDDEN = BIT["invalid_form"] | BIT["invalid_multipart"]
 
 
-def _udf(policy: Policy, how: Render, inspecting: bool):
-    def rows(*columns: pd.Series) -> pd.DataFrame:
-        out = []
-        for values in zip(*columns, strict=True):
-            data = values[0]
-            r = render(policy, how, "" if data is None else data, *(None if v is None or v != v else v for v in values[1:]))
-            if inspecting:
-                ok = r["completion"] == COMPLETE and not r["reasons"]
-                out.append({"ok": ok, "max_sensitivity": r["level"] if ok and r["level"] else None, "disabled": r["disabled"], "reasons": r["reasons"], "usage": r["usage"]})
-            else:
-                del r["level"]
-                r["reasons"] &= ~HIDDEN
-                out.append(r)
-        names = ["ok", "max_sensitivity", "disabled", "reasons", "usage"] if inspecting else ["text", "completion", "reasons", "disabled", "usage"]
-        frame = pd.DataFrame(out, columns=names)
-        if inspecting:
-            frame["max_sensitivity"] = frame["max_sensitivity"].astype("Int8")
-        frame["usage"] = frame["usage"].astype(object)
-        return frame
+USED = pa.struct([*((n, pa.int64()) for n in ("presented", "inspected", "output", "nodes", "items")), ("depth", pa.int32()), ("omitted", pa.int64())])
+
+
+def _column(rows: list[Rendered], name: str, kind: pa.DataType) -> pa.Array:
+    return pa.array([getattr(r, name) for r in rows], kind)
+
 
+def _structs(rows: list[Rendered], policy: Policy, inspecting: bool) -> pa.Array:
+    n = len(rows)
+    used = pa.StructArray.from_arrays([_column(rows, f.name, f.type) for f in USED], fields=list(USED))
+    disabled = pa.array([policy.disabled] * n, pa.bool_())
+    if inspecting:
+        ok = [r.completion == COMPLETE and not r.reasons for r in rows]
+        level = pa.array([r.level or None if good else None for r, good in zip(rows, ok, strict=True)], pa.int8())
+        return pa.StructArray.from_arrays([pa.array(ok, pa.bool_()), level, disabled, _column(rows, "reasons", pa.int32()), used], ["ok", "max_sensitivity", "disabled", "reasons", "usage"])
+    shown = pa.array([r.reasons & ~HIDDEN for r in rows], pa.int32())
+    return pa.StructArray.from_arrays([_column(rows, "text", pa.string()), _column(rows, "completion", pa.int8()), shown, disabled, used], ["text", "completion", "reasons", "disabled", "usage"])
+
+
+def _udf(policy: Policy, how: Render, inspecting: bool):
+    """An Arrow function of one column, or of a body's four: bytes, content type, whether the source went on, its length."""
     ship()
     kind = INSPECTION if inspecting else RESULT
+
+    def missing(size: int, cut: bool, total: int | None) -> int | None:
+        return (max(0, total - size) if total is not None else None) if cut else 0
+
     if how is body_text:
 
-        @F.pandas_udf(kind)
-        def three(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-            yield from (rows(*b) for b in batches)
+        @F.arrow_udf(kind)
+        def four(body: pa.Array, content_type: pa.Array, cut: pa.Array, total: pa.Array) -> pa.Array:
+            rows = [
+                render(policy, how, b or b"", k, bool(c), missing=missing(len(b or b""), bool(c), t))
+                for b, k, c, t in zip(body.to_pylist(), content_type.to_pylist(), cut.to_pylist(), total.to_pylist(), strict=True)
+            ]
+            return _structs(rows, policy, inspecting)
 
-        return three
+        return four
 
-    @F.pandas_udf(kind)
-    def one(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        yield from map(rows, batches)
+    @F.arrow_udf(kind)
+    def one(values: pa.Array) -> pa.Array:
+        return _structs([render(policy, how, v or "") for v in values.to_pylist()], policy, inspecting)
 
     return one
 
@@ -155,16 +193,22 @@ def inspect_http_url(text: Column, policy: Policy) -> Column:
     return _apply(policy, url_text, True, text.cast("string"))
 
 
-def _body(body: Column, content_type: Column | None, source_truncated: Column | None) -> tuple[Column, Column, Column]:
+def _body(body: Column, content_type: Column | None, source_truncated: Column | None, total_len: Column | None) -> tuple[Column, ...]:
     kind = F.lit(None).cast("string") if content_type is None else content_type.cast("string")
+    total = F.lit(None).cast("bigint") if total_len is None else total_len.cast("bigint")
     cut = F.lit(False) if source_truncated is None else F.coalesce(source_truncated, F.lit(False))
-    return body.cast("binary"), kind, cut
+    if total_len is not None:
+        cut = cut | F.coalesce(total > F.octet_length(body.cast("binary")), F.lit(False))
+    return body.cast("binary"), kind, cut, total
+
 
+def redact_http_body(body: Column, policy: Policy, content_type: Column | None = None, source_truncated: Column | None = None, total_len: Column | None = None) -> Column:
+    """A body by its content type; without one, JSON is recognised by its first character.
 
-def redact_http_body(body: Column, policy: Policy, content_type: Column | None = None, source_truncated: Column | None = None) -> Column:
-    """A body by its content type; without one, JSON is recognised by its first character."""
-    return _apply(policy, body_text, False, *_body(body, content_type, source_truncated))
+    Of a captured prefix, total_len says how long the source was; it makes usage.omitted known.
+    """
+    return _apply(policy, body_text, False, *_body(body, content_type, source_truncated, total_len))
 
 
-def inspect_http_body(body: Column, policy: Policy, content_type: Column | None = None, source_truncated: Column | None = None) -> Column:
-    return _apply(policy, body_text, True, *_body(body, content_type, source_truncated))
+def inspect_http_body(body: Column, policy: Policy, content_type: Column | None = None, source_truncated: Column | None = None, total_len: Column | None = None) -> Column:
+    return _apply(policy, body_text, True, *_body(body, content_type, source_truncated, total_len))

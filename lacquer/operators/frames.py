@@ -1,22 +1,47 @@
 """Whole schemas: masked columns, structured text, and sensitivity reports.
 
 A field's name decides its level; StructField metadata {"redact": ...} may raise
-it (a level name), or ask for "json", "skip" or "nested". The choices are made
-when the plan is built, so a high or secret column is never read from a file.
+it (a level name), or ask for "json", "skip", "nested" or "variant" (the field
+names the variant of its struct). {"items": level} and {"entries": level} are for
+the elements of an array and the values of a map, {"optional": true} for a value
+that is shown as Some(...), {"type": name} for a type with a redaction of its own.
+The choices are made when the plan is built, so a high or secret column is never
+read from a file.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.masks import escaped, opaque, quoted, written
 from ..functions.names import let, level_column
-from ..functions.policy import LEVELS, Policy
-from .fields import field_text
+from ..functions.policy import LEVELS, SECRET, Policy
+from .fields import bounded_text, field_text
 from .formats import redact_json
 from .results import inspection
 
 
+#: Redactions of user types: a value's Column to that of its text.
+Redaction = Callable[[Column], Column]
+_types: dict[str, Redaction] = {}
+
+
+def register_redaction(name: str, redaction: Redaction) -> None:
+    """Fields with metadata {"type": name} are shown as this function's Column from now on, in plans built after it."""
+    _types[name] = redaction
+
+
+def own_redaction(field: T.StructField) -> Redaction | None:
+    return _types.get((field.metadata or {}).get("type", ""))
+
+
+def part_level(field: T.StructField, which: str) -> int:
+    """The level declared for the items or entries of a field."""
+    return LEVELS.get((field.metadata or {}).get(which, ""), 0)
+
+
 def declared(field: T.StructField) -> int | str:
     """The metadata's wish: a level number, 'json', 'skip', 'nested' or ''."""
     wish = (field.metadata or {}).get("redact", "")
@@ -28,15 +53,20 @@ def field_level(field: T.StructField, policy: Policy) -> int:
     return max(wish if isinstance(wish, int) else 0, policy.sensitivity_for(field.name))
 
 
-def redact_columns(df: DataFrame, policy: Policy) -> DataFrame:
+def redact_columns(df: DataFrame, policy: Policy, masks: dict[str, Redaction] | None = None) -> DataFrame:
     """All columns, sensitive ones masked to strings; nested fields keep their shape; fields marked skip are dropped.
 
     Null stays null except in high and secret columns, which are constants.
+    `masks` gives columns a mask of their own, a function of Column to Column.
     """
     out = []
     for f in df.schema.fields:
         if declared(f) == "skip" and not policy.disabled:
             continue
+        own = (masks or {}).get(f.name) or own_redaction(f)
+        if own and not policy.disabled:
+            out.append(own(F.col(f"`{f.name}`")).alias(f.name))
+            continue
         out.append(_top(F.col(f"`{f.name}`"), f, policy).alias(f.name))
     return df.select(*out)
 
@@ -67,7 +97,17 @@ def shaped(value: Column, kind: T.DataType, policy: Policy, json: bool = False)
             if declared(f) == "skip":
                 continue
             level, inner = field_level(f, policy), value[f.name]
-            parts.append((F.when(inner.isNotNull(), F.lit(policy.opaque(level))) if level else shaped(inner, f.dataType, policy, declared(f) == "json")).alias(f.name))
+            if level:
+                own = F.when(inner.isNotNull(), F.lit(policy.opaque(level)))
+            elif redaction := own_redaction(f):
+                own = redaction(inner)
+            elif (items := part_level(f, "items")) and isinstance(f.dataType, T.ArrayType):
+                own = F.transform(inner, lambda x, n=items: F.when(x.isNotNull(), F.lit(policy.opaque(n))))
+            elif (entries := part_level(f, "entries")) and isinstance(f.dataType, T.MapType):
+                own = F.transform_values(inner, lambda k, v, n=entries: F.when(v.isNotNull(), opaque(F.greatest(level_column(k.cast("string"), policy), F.lit(n)), policy)))
+            else:
+                own = shaped(inner, f.dataType, policy, declared(f) == "json")
+            parts.append(own.alias(f.name))
         return F.when(value.isNotNull(), F.struct(*parts)) if parts else F.lit(None)
     if isinstance(kind, T.ArrayType):
         return F.transform(value, lambda x: shaped(x, kind.elementType, policy))
@@ -79,26 +119,29 @@ def shaped(value: Column, kind: T.DataType, policy: Policy, json: bool = False)
 
 
 def redact_struct_json(value: Column, kind: T.DataType, policy: Policy) -> Column:
-    """The shaped value as JSON text."""
-    return F.to_json(shaped(value, kind, policy))
+    """The shaped value as JSON text, or all of it as a secret where it is over the output limit."""
+    most = policy.limits.max_output_bytes
+    return let(F.to_json(shaped(value, kind, policy)), lambda t: F.when(F.octet_length(t) <= most, t).when(t.isNotNull(), F.lit(policy.opaque(SECRET))))
 
 
 def debug_text(value: Column, kind: T.DataType, policy: Policy, name: str = "Record") -> Column:
-    """The value as structured text: Name { a: 1, b: "x" }, [1, 2], { "k": "v" }; null is None."""
-    plain = _debug(value, kind, policy, name)
-    return escaped(plain)
+    """The value as structured text: Name { a: 1, b: "x" }, [1, 2], { "k": "v" }; null is None. Over the output limit its end gives way to a marker."""
+    return bounded_text(escaped(_debug(value, kind, policy, name)), policy)
 
 
 def _debug(value: Column, kind: T.DataType, policy: Policy, name: str) -> Column:
     none = F.lit("None")
     if isinstance(kind, T.StructType):
         tuple_like = bool(kind.fields) and all(f.name == f"_{i}" for i, f in enumerate(kind.fields, 1))
-        parts = []
+        parts, head = [], F.lit(name)
         for f in kind.fields:
             if declared(f) == "skip" and not policy.disabled:
                 continue
+            if declared(f) == "variant":
+                head = F.concat(F.lit(f"{name}::"), F.coalesce(value[f.name].cast("string"), none))
+                continue
             level, inner = (0 if policy.disabled else field_level(f, policy)), value[f.name]
-            own = _debug(inner, f.dataType, policy, (f.metadata or {}).get("name", f.name))
+            own = _debug_field(inner, f, policy)
             if level >= 3:
                 own = F.lit(f'"{policy.opaque(level)}"')
             elif level:  # the mask applies to the rendered text, quotes included, which is quoted again
@@ -107,7 +150,7 @@ def _debug(value: Column, kind: T.DataType, policy: Policy, name: str) -> Column
                 own = F.coalesce(quoted(redact_json(inner, policy)["text"]), none)
             parts.append(own if tuple_like else F.concat(F.lit(f"{f.name}: "), own))
         body = F.concat_ws(", ", *parts) if parts else F.lit("")
-        text = F.concat(F.lit(f"{name}("), body, F.lit(")")) if tuple_like else F.concat(F.lit(f"{name} {{ "), body, F.lit(" }"))
+        text = F.concat(head, F.lit("("), body, F.lit(")")) if tuple_like else F.concat(head, F.lit(" { "), body, F.lit(" }"))
         return F.when(value.isNull(), none).otherwise(text)
     if isinstance(kind, T.ArrayType):
         items = F.transform(value, lambda x: _debug(x, kind.elementType, policy, name))
@@ -119,7 +162,24 @@ def _debug(value: Column, kind: T.DataType, policy: Policy, name: str) -> Column
     return F.coalesce(value.cast("string"), none)
 
 
-def _debug_map(value: Column, kind: T.MapType, policy: Policy, name: str) -> Column:
+def _debug_field(value: Column, f: T.StructField, policy: Policy) -> Column:
+    """A field's value by its annotations; its own level is the caller's affair."""
+    name = (f.metadata or {}).get("name", f.name)
+    redaction = None if policy.disabled else own_redaction(f)
+    items, entries = (0, 0) if policy.disabled else (part_level(f, "items"), part_level(f, "entries"))
+    if redaction:
+        own = F.coalesce(redaction(value).cast("string"), F.lit("None"))
+    elif items and isinstance(f.dataType, T.ArrayType):
+        one = lambda x: F.lit(f'"{policy.opaque(items)}"') if items >= 3 else quoted(written(_debug(x, f.dataType.elementType, policy, name), policy.masks[items - 1]))
+        own = F.when(value.isNull(), "None").otherwise(F.concat(F.lit("["), F.array_join(F.transform(value, one), ", "), F.lit("]")))
+    elif isinstance(f.dataType, T.MapType):
+        own = F.when(value.isNull(), "None").otherwise(_debug_map(value, f.dataType, policy, name, entries))
+    else:
+        own = _debug(value, f.dataType, policy, name)
+    return F.when(value.isNotNull(), F.concat(F.lit("Some("), own, F.lit(")"))).otherwise(own) if (f.metadata or {}).get("optional") else own
+
+
+def _debug_map(value: Column, kind: T.MapType, policy: Policy, name: str, least: int = 0) -> Column:
     def entry(e: Column) -> Column:
         key, own = e["key"].cast("string"), _debug(e["value"], kind.valueType, policy, name)
 
@@ -127,7 +187,7 @@ def _debug_map(value: Column, kind: T.MapType, policy: Policy, name: str) -> Col
             low = F.when(level == 1, written(own, policy.masks[0])).otherwise(written(own, policy.masks[1]))
             return F.when(level == 0, own).when(level >= 3, F.concat(F.lit('"'), opaque(level, policy), F.lit('"'))).otherwise(quoted(low))
 
-        return F.concat(quoted(key), F.lit(": "), own if policy.disabled else let(level_column(key, policy), shown))
+        return F.concat(quoted(key), F.lit(": "), own if policy.disabled else let(F.greatest(level_column(key, policy), F.lit(least)), shown))
 
     entries = F.transform(F.map_entries(value), entry)
     return F.when(F.size(value) == 0, F.lit("{}")).otherwise(F.concat(F.lit("{"), F.array_join(entries, ", "), F.lit("}")))
@@ -136,7 +196,7 @@ def _debug_map(value: Column, kind: T.MapType, policy: Policy, name: str) -> Col
 def schema_level(kind: T.DataType, policy: Policy) -> int:
     """The highest level of any field under a type, known without reading data."""
     if isinstance(kind, T.StructType):
-        return max((max(field_level(f, policy), schema_level(f.dataType, policy)) for f in kind.fields if declared(f) != "skip"), default=0)
+        return max((max(field_level(f, policy), part_level(f, "items"), part_level(f, "entries"), schema_level(f.dataType, policy)) for f in kind.fields if declared(f) != "skip"), default=0)
     if isinstance(kind, T.ArrayType):
         return schema_level(kind.elementType, policy)
     return schema_level(kind.valueType, policy) if isinstance(kind, T.MapType) else 0

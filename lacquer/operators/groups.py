@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.masks import escaped
-from ..functions.policy import Policy
+from ..functions.policy import SECRET, Policy
 from ..functions.ship import ship
-from .fields import _field_level, field_text
-from .formats import body_text, json_text, render, uri_text, url_text
-from .results import BIT, COMPLETE, EXHAUSTED
+from .fields import _field_level, argv_text, env_pairs_text, field_text, headers_text, heuristic_argv_text, pair_text, redact_process
+from .formats import HIDDEN, body_text, json_text, render, uri_text, url_text
+from .parsers import MARKERS, cut_back
+from .results import BIT, COMPLETE, EXHAUSTED, TRUNCATED
 
 
 def batch_fields(df: DataFrame, batch: str, index: str, name: str | Column, value: Column, policy: Policy) -> DataFrame:
@@ -26,7 +28,7 @@ def batch_fields(df: DataFrame, batch: str, index: str, name: str | Column, valu
     level = _field_level(name, policy)
     unread = F.lit(level >= 3 and not policy.disabled) if isinstance(level, int) else (level >= 3) & F.lit(not policy.disabled)
     raw = F.when(unread, 0).otherwise(F.coalesce(F.octet_length(escaped(value.cast("string"))), F.lit(0)))
-    wide = Policy(**{**policy.__dict__, "limits": policy.limits.__class__(max_output_bytes=1 << 30)})
+    wide = replace(policy, limits=replace(policy.limits, max_output_bytes=1 << 30))
     own = df.select(batch, index, F.coalesce(field_text(name, value, wide), F.lit("")).alias("text"), raw.cast("long").alias("raw"))
     before = Window.partitionBy(batch).orderBy(index).rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy(batch).orderBy(index).rowsBetween(Window.unboundedPreceding, 0)
@@ -41,31 +43,68 @@ def batch_fields(df: DataFrame, batch: str, index: str, name: str | Column, valu
     )
 
 
-HOW = {"json": json_text, "uri": uri_text, "http_url": url_text, "http_body": lambda b, seen, cut: body_text(b.encode(), seen, cut, None, False)}
+#: Formats whose text depends on the budget that is left.
+HOW = {"json": json_text, "json_value": json_text, "uri": uri_text, "http_url": url_text, "http_body": body_text}
+LISTS = ("argv", "heuristic_argv", "env_pairs", "process")
 
 
-def one_item(policy: Policy, op: str, name: str | None, value: str | None, left: int) -> tuple[str, int, int]:
-    """Text, completion and reasons of an item with `left` bytes of output."""
-    own = Policy(**{**policy.__dict__, "limits": policy.limits.__class__(**{**policy.limits.__dict__, "max_output_bytes": left})})
-    value = value or ""
-    if op in HOW:
-        r = render(own, HOW[op], value)
-        return r["text"], r["completion"], r["reasons"]
-    from .parsers import log_safe
-
-    level = 0 if policy.disabled or op == "literal" else policy.sensitivity_for(name or "")
-    raw = "" if level >= 3 else log_safe(value)
-    text = policy.opaque(level) if level >= 3 else policy.masks[level - 1].written(raw) if level else raw
-    if max(len(raw.encode()), len(text.encode())) > left:
-        return "", EXHAUSTED, BIT["output_limit_reached"]
-    return text, COMPLETE, 0
-
+def prepared(df: DataFrame, policy: Policy, op: str, name: str, value: str) -> list[Column]:
+    """op, value and content_type of the formats that are parsed; of all others the text they have without a budget, and the bytes that must fit for it.
 
-def spend(policy: Policy, op: str, name: str | None, value: str | None, left: int) -> tuple[str, int, int, int]:
+    Arguments, pairs and headers are in columns args (value, sensitivity), env
+    (name, value) and headers (name, value, sensitive); where df has no such
+    column, their items are empty lists.
+    """
+    kind = F.col(op)
+    wide = replace(policy, limits=replace(policy.limits, max_output_bytes=1 << 30))
+    n, v = F.col(name).cast("string"), F.coalesce(F.col(value).cast("string"), F.lit(""))
+
+    def lists(column: str, shape: str) -> Column:
+        return F.coalesce(F.col(column).cast(shape), F.array().cast(shape)) if column in df.columns else F.array().cast(shape)
+
+    args = lists("args", "array<struct<value:binary,sensitivity:string>>")
+    env = lists("env", "array<struct<name:binary,value:binary>>")
+    headers = lists("headers", "array<struct<name:string,value:binary,sensitive:boolean>>")
+    level = F.lit(0) if policy.disabled else F.coalesce(_field_level(n, policy), F.lit(0))
+    field = F.coalesce(field_text(n, v, wide), escaped(v))
+    texts = {
+        "literal": escaped(v), "field": field, "env": pair_text(F.coalesce(n, F.lit("")), v, policy), "env_pairs": env_pairs_text(env, policy), "argv": argv_text(args, policy),
+        "heuristic_argv": heuristic_argv_text(args, policy), "process": redact_process(v, args, env, wide)["text"], "http_headers": headers_text(headers, policy),
+    }
+    shown = F.lit(None).cast("string")
+    for k, text in texts.items():
+        shown = F.when(kind == k, text).otherwise(shown)
+    raw = F.when((kind == "field") & (level < 3), F.octet_length(escaped(v))).otherwise(0).cast("long")
+    content_type = F.col("content_type").cast("string") if "content_type" in df.columns else F.lit(None).cast("string")
+    # names of their own: a name that df has too would be taken for these columns inside lambdas
+    return [kind.alias("__op"), F.when(kind.isin(list(HOW)), v).alias("__value"), content_type.alias("__content_type"), shown.alias("__shown"), raw.alias("__raw")]
+
+
+def one_item(policy: Policy, item: tuple, left: int) -> tuple[str, int, int]:
+    """Text, completion and reasons of a prepared item with `left` bytes of output."""
+    op, value, content_type, shown, raw = item
+    if op in HOW:
+        own = replace(policy, limits=replace(policy.limits, max_output_bytes=left))
+        r = render(own, body_text, value.encode(), content_type, False) if op == "http_body" else render(own, HOW[op], value)
+        return r.text, r.completion, r.reasons & ~HIDDEN
+    reasons = 0
+    if shown is None:  # no format of ours: nothing of it may be seen
+        shown, reasons = policy.opaque(SECRET), BIT["unsupported_content_type"]
+    if max(raw, len(shown.encode())) <= left:
+        return shown, COMPLETE, reasons
+    if op == "http_headers":
+        text, _, none = cut_back(shown, left, False)
+    else:
+        text = MARKERS["cut"] if op in LISTS and len(MARKERS["cut"]) <= left else ""
+        none = not text
+    return text, EXHAUSTED if none else TRUNCATED, reasons | BIT["output_limit_reached"]
+
+
+def spend(policy: Policy, item: tuple, left: int) -> tuple[str, int, int, int]:
     """one_item, and the budget left for the next: 0 once an item did not fit."""
     if left <= 0:
         return "", EXHAUSTED, BIT["output_limit_reached"], 0
-    text, completion, reasons = one_item(policy, op, name, value, left)
+    text, completion, reasons = one_item(policy, item, left)
     if completion == EXHAUSTED:
         return "", EXHAUSTED, reasons, 0
     return text, completion, reasons, left - len(text.encode())
@@ -77,31 +116,35 @@ BATCH = "text string, completion tinyint, reasons int"
 def batch_items(df: DataFrame, batch: str, index: str, policy: Policy, op: str = "op", name: str = "name", value: str = "value") -> DataFrame:
     """batch, index, text, completion and reasons of items of any format, in order, under one budget per batch.
 
-    Items whose text depends on what is left need a fold. Rows are dealt and
-    sorted by batch and stream through the task with the running budget alone,
-    so that a batch of any length needs no more memory.
+    An item's op is literal, field, env, env_pairs, argv, heuristic_argv,
+    process, http_headers, json, json_value, uri, http_url or http_body; any
+    other is shown as a secret. What can be rendered as Columns is, before rows
+    are dealt and sorted by batch; then they stream through the task with the
+    running budget alone, so that a batch of any length needs no more memory.
     """
     ship(df.sparkSession)
-    columns = [batch, index, op, name, value]
+    own = df.select(F.col(batch).alias("__batch"), F.col(index).alias("__index"), *prepared(df, policy, op, name, value))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, left = object(), 0
-        for frame in frames:
+        for part in batches:
             out = []
-            for b, o, n, v in zip(frame[batch], frame[op], frame[name], frame[value], strict=True):
+            for b, *item in zip(part.column(0).to_pylist(), *(part.column(k).to_pylist() for k in range(2, 7)), strict=True):
                 if b != last:
                     last, left = b, policy.limits.max_output_bytes
-                text, completion, reasons, left = spend(policy, o, n, v, left)
+                text, completion, reasons, left = spend(policy, tuple(item), left)
                 out.append((text, completion, reasons))
-            yield pd.concat([frame[[batch, index]].reset_index(drop=True), pd.DataFrame(out, columns=["text", "completion", "reasons"])], axis=1)
+            columns = list(zip(*out, strict=True)) if out else [[]] * 3
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int8(), pa.int32()), strict=True))], [batch, index, "text", "completion", "reasons"])
 
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (batch, index))
-    return df.select(*columns).repartition(batch).sortWithinPartitions(batch, index).mapInPandas(run, f"{kinds}, {BATCH}")
+    return own.repartition("__batch").sortWithinPartitions("__batch", "__index").mapInArrow(run, f"{kinds}, {BATCH}")
 
 
 def compose(items: DataFrame, batch: str, index: str) -> DataFrame:
-    """One row per batch: the texts of its items in order, the worst completion and all reasons."""
-    parts = items.groupBy(batch).agg(F.array_sort(F.collect_list(F.struct(index, "text"))).alias("parts"), F.max("completion").alias("completion"), F.bit_or("reasons").alias("reasons"))
+    """One row per batch: the texts of its items in order, the worst completion and all reasons. Its text is bounded by the budget that the items had, and empty items are not collected."""
+    texts = F.filter(F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct(index, "text")))), lambda p: p.isNotNull())
+    parts = items.groupBy(batch).agg(texts.alias("parts"), F.max("completion").alias("completion"), F.bit_or("reasons").alias("reasons"))
     return parts.select(batch, F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("text"), "completion", "reasons")
 
 

@@ -30,6 +30,32 @@ def log_safe(text: str) -> str:
     return _ESCAPE.sub(lambda m: _SHORT.get(m[0]) or f"\\u{{{ord(m[0]):x}}}", text)
 
 
+def cut_back(text: str, most: int, more: bool) -> tuple[str, bool, bool]:
+    """The text, log-safe, in at most `most` bytes; whether its end is missing; and whether not even the marker had room.
+
+    With `more` something is missing already. What is cut makes room for the
+    marker that says so, and an escape is never cut in two.
+    """
+    marker = MARKERS["cut"]
+    text = text.removesuffix(marker) if more else text
+    safe = log_safe(text)
+    if not more and len(safe.encode("utf-8", "replace")) <= most:
+        return safe, False, False
+    room = most - len(marker)
+    if room < 0:
+        return "", True, True
+    if len(safe.encode("utf-8", "replace")) > room:
+        kept, used = [], 0
+        for c in text:
+            atom = log_safe(c)
+            used += len(atom.encode("utf-8", "replace"))
+            if used > room:
+                break
+            kept.append(atom)
+        safe = "".join(kept)
+    return safe + marker, True, False
+
+
 class Number(str):
     """The text of a JSON number, kept as it is written."""
 
@@ -57,6 +83,22 @@ class Seen:
         if self.nodes > limits.max_nodes or self.items > limits.max_items:
             raise LimitReached("traversal_limit_reached")
 
+    def visit_json(self, value, depth: int) -> None:
+        """A value of a JSON tree, against the limits of all structure, of keys, and of JSON."""
+        limits = self.policy.limits
+        self.visit(depth, len(value) if isinstance(value, (dict, list)) else 0)
+        if depth > limits.max_json_depth:
+            raise LimitReached("depth_limit_reached")
+        large = self.nodes > limits.max_json_nodes
+        if isinstance(value, Number):
+            large |= len(value) > limits.max_json_number_bytes
+        elif isinstance(value, str):
+            large |= len(value) > limits.max_json_string_bytes or len(value.encode("utf-8", "replace")) > limits.max_json_string_bytes
+        elif isinstance(value, dict):
+            large |= any(len(k.encode("utf-8", "replace")) > limits.max_key_bytes for k in value)
+        if large:
+            raise LimitReached("traversal_limit_reached")
+
     def mask(self, level: int, text: str) -> str:
         self.level = max(self.level, level)
         return self.policy.mask(level, text) if level else text
@@ -95,8 +137,7 @@ def redact_tree(value, seen: Seen, context: str | None, marker: str, key: str |
     """The tree with sensitive keys masked; scalars of the root and of arrays have no key and follow the policy for those."""
     policy = seen.policy
     level = policy.sensitivity_for(key, context) if key is not None else 0
-    container = isinstance(value, (dict, list))
-    seen.visit(depth, len(value) if container else 0)
+    seen.visit_json(value, depth)
     if level:
         if isinstance(value, str) and not isinstance(value, Number):
             return seen.mask(level, value)

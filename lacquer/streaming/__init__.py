@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.policy import Policy
 from ..functions.ship import ship
 from ..operators.frames import redact_columns
-from ..operators.groups import BATCH, spend
+from ..operators.groups import BATCH, prepared, spend
 
 
 def redacted_stream(spark: SparkSession, path: str, schema, policy: Policy, source: str = "parquet") -> DataFrame:
@@ -40,10 +40,11 @@ def stream_batch_items(stream: DataFrame, batch: str, index: str, policy: Policy
             state.remove()
             return
         left = state.get[0] if state.exists else policy.limits.max_output_bytes
-        frame = pd.concat(list(frames)).sort_values(index, kind="stable")
+        frame = pd.concat(list(frames)).sort_values("__index", kind="stable")
+        frame = frame.astype(object).where(frame.notna(), None)
         out = []
-        for i, o, n, v in zip(frame[index], frame[op], frame[name], frame[value], strict=True):
-            text, completion, reasons, left = spend(policy, o, n, v, left)
+        for i, *item in zip(frame["__index"], *(frame[c] for c in ("__op", "__value", "__content_type", "__shown", "__raw")), strict=True):
+            text, completion, reasons, left = spend(policy, tuple(item), left)
             out.append((key[0], i, text, completion, reasons))
         state.update((left,))
         if idle is not None:
@@ -51,4 +52,5 @@ def stream_batch_items(stream: DataFrame, batch: str, index: str, policy: Policy
         yield pd.DataFrame(out, columns=[batch, index, "text", "completion", "reasons"])
 
     kinds = ", ".join(f"`{c}` {stream.schema[c].dataType.simpleString()}" for c in (batch, index))
-    return stream.groupBy(batch).applyInPandasWithState(run, f"{kinds}, {BATCH}", "left long", "append", GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout)
+    own = stream.select(F.col(batch).alias("__batch"), F.col(index).alias("__index"), *prepared(stream, policy, op, name, value))
+    return own.groupBy("__batch").applyInPandasWithState(run, f"{kinds}, {BATCH}", "left long", "append", GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout)

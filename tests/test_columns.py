@@ -170,7 +170,8 @@ def test_batches_share_a_budget(spark, most):
     df = spark.createDataFrame(items, "b int, i int, op string, name string, value string")
     left, expected = {1: most, 2: most}, []
     for b, i, op, name, value in items:
-        text, completion, reasons, left[b] = groups.spend(policy, op, name, value, left[b])
+        shown = policy.masks[0].written(value) if name == "f" else value
+        text, completion, reasons, left[b] = groups.spend(policy, (op, None, None, shown, len(value)), left[b])
         expected.append((b, i, text, completion, reasons))
     fold = sorted(tuple(r) for r in groups.batch_items(df, "b", "i", policy).collect())
     assert fold == expected

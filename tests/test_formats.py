@@ -11,11 +11,11 @@ REDACT = S.builder().unkeyed_json("redact").build()
 
 
 def show(how, data, policy=S, *more):
-    return M.render(policy, how, data, *more)["text"]
+    return M.render(policy, how, data, *more).text
 
 
 def reasons(how, data, policy=S, *more):
-    return M.render(policy, how, data, *more)["reasons"]
+    return M.render(policy, how, data, *more).reasons
 
 
 @pytest.mark.parametrize(
@@ -38,7 +38,7 @@ def test_json_policies():
     assert show(M.json_text, '{"password":"x"}', P.disabled()) == '{"password":"x"}'
     few = S.builder().limits(max_items=2).build()
     r = M.render(few, M.json_text, "[1,2,3]")
-    assert (r["text"], r["completion"], r["reasons"]) == ("<truncated>", 1, BIT["traversal_limit_reached"])
+    assert (r.text, r.completion, r.reasons) == ("<truncated>", 1, BIT["traversal_limit_reached"])
     assert reasons(M.json_text, "{") == BIT["invalid_json"]
     cut = S.builder().limits(max_input_bytes=4).build()
     assert reasons(M.json_text, '{"a":1}', cut) == BIT["invalid_json"] | BIT["input_limit_reached"]
@@ -105,7 +105,7 @@ def test_bodies():
     assert body(' [{"token":"x"}]') == '[{"token":"****"}]'
     assert body("[1]", "application/vnd.x+json", REDACT) == '["<redacted: unkeyed JSON value>"]'
     assert body("{", "application/json") == "<redacted: invalid JSON>"
-    assert body('{"a":1}', "application/json", cut=True) == "<redacted: invalid or truncated JSON>"
+    assert body('{"a":1}', "application/json", cut=True) == "<redacted: invalid or truncated JSON><truncated>"
     assert body('{"token":"a"}\n\n{"b":1}\n', "application/x-ndjson") == '{"token":"****"}\\n\\n{"b":1}\\n'
     assert body('{"token":"a"}\nraw-secret', "application/x-ndjson") == "<redacted: invalid NDJSON>"
     assert body("token=a+b&page=%7e", "application/x-www-form-urlencoded") == "token=****&page=%7E"
@@ -126,7 +126,7 @@ def test_multipart():
     shown = body(text, "multipart/form-data; boundary=b", passing)
     assert shown == "<multipart>\\n note=visible note\\n password=<redacted>\\n f=<redacted: file part>\\n form=label=visible&token=****\\n</multipart>"
     assert body(text, "multipart/form-data", passing) == body("raw", "multipart/form-data; boundary=b") == "<redacted: multipart body>"
-    assert body(text, "multipart/form-data; boundary=b", passing, cut=True) == "<redacted: multipart body>"
+    assert body(text, "multipart/form-data; boundary=b", passing, cut=True) == "<redacted: multipart body><truncated>"
     assert "raw" not in body(text, "multipart/mixed; boundary=b")
 
 
@@ -135,7 +135,7 @@ def test_multipart():
 def test_any_text_gives_bounded_log_safe_text(text, op):
     tight = P.strict().builder().limits(max_output_bytes=40).build()
     how = {"json": M.json_text, "uri": M.uri_text, "http_url": M.url_text}[op]
-    out = M.render(tight, how, text)["text"]
+    out = M.render(tight, how, text).text
     assert len(out.encode()) <= 40 and not parsers._ESCAPE.search(out)
 
 
