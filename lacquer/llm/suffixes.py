@@ -44,31 +44,32 @@ def suffix_array(symbols: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.
     return order, rank
 
 
-def find(symbols: np.ndarray, ends: np.ndarray, order: np.ndarray, asked: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Binary search of every row of `asked` (its first lengths[i] symbols): the range of `order` that starts with it.
+def find(symbols: np.ndarray, ends: np.ndarray, order: np.ndarray, asked: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Binary search of each asked[at : at + length]: the range of `order` that starts with it.
 
     The array must be sorted to a depth of max(lengths) at least.
     """
-    width, n = asked.shape[1] if len(asked) else 0, len(order)
-    column = np.arange(width)
-    wanted = column[None, :] < lengths[:, None]
+    n = len(order)
+    column = np.arange(int(lengths.max()) if len(lengths) else 0)
 
     def bound(after: bool) -> np.ndarray:
-        lo, hi = np.zeros(len(asked), np.int64), np.full(len(asked), n, np.int64)
+        lo, hi = np.zeros(len(at), np.int64), np.full(len(at), n, np.int64)
         while True:
-            todo = np.flatnonzero(lo < hi)
-            if not len(todo):
+            every = np.flatnonzero(lo < hi)
+            if not len(every):
                 return lo
-            mid = (lo[todo] + hi[todo]) // 2
-            at = order[mid]
-            where = at[:, None] + column
-            seen = np.where(where < ends[at][:, None], symbols[np.minimum(where, n - 1)], np.uint64(0))
-            differs = (seen != asked[todo]) & wanted[todo]
-            first = differs.argmax(1)
-            row = np.arange(len(todo))
-            other = differs[row, first]
-            below = np.where(other, seen[row, first] < asked[todo][row, first], after)
-            lo[todo] = np.where(below, mid + 1, lo[todo])
-            hi[todo] = np.where(below, hi[todo], mid)
+            for first in range(0, len(every), 1 << 17):  # bounds the tables below
+                todo = every[first : first + (1 << 17)]
+                mid = (lo[todo] + hi[todo]) // 2
+                own = order[mid]
+                where = own[:, None] + column
+                seen = np.where(where < ends[own][:, None], symbols[np.minimum(where, n - 1)], np.uint64(0))
+                want = asked[np.minimum(at[todo][:, None] + column, len(asked) - 1)]
+                differs = (seen != want) & (column[None, :] < lengths[todo][:, None])
+                place = differs.argmax(1)
+                row = np.arange(len(todo))
+                below = np.where(differs[row, place], seen[row, place] < want[row, place], after)
+                lo[todo] = np.where(below, mid + 1, lo[todo])
+                hi[todo] = np.where(below, hi[todo], mid)
 
     return bound(False), bound(True)

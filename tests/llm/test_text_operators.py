@@ -7,6 +7,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ def test_suffix_array_orders_and_finds():
         assert all((rank[i] == rank[j]) == (suffix[i] == suffix[j]) for i in range(len(suffix)) for j in range(i))
         asked = np.array([[r.randint(1, 3) for _ in range(depth)] for _ in range(10)], np.uint64)
         sizes = np.array([r.randint(1, depth) for _ in range(10)])
-        lo, hi = find(symbols, ends, order, asked, sizes)
+        lo, hi = find(symbols, ends, order, asked.ravel(), depth * np.arange(10), sizes)
         for q, n, a, b in zip(asked.tolist(), sizes, lo, hi, strict=True):
             assert {int(i) for i in order[a:b]} == {i for i, s in enumerate(suffix) if s[:n] == tuple(q[:n])}
 
@@ -80,6 +81,41 @@ def test_longest_match(spark):
     assert {r.doc_id: r.longest_match for r in decontaminate.report(docs, bench, window=3).collect()} == {1: 5, 2: 3}
 
 
+def test_longest_match_over_all_occurrences(spark):
+    bench = spark.createDataFrame([(1, "a b c x y"), (2, "a b c q r s t"), (None, "n n n n"), (4, "k l")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a b c x y z"), (2, "a b c q r"), (3, "a b c"), (4, "k l m n n n n"), (5, "k")], "doc_id long, text string")
+    got = {r.doc_id: (r.longest_match, r.n_items, r.contaminated) for r in decontaminate.report(docs, bench, window=3).collect()}
+    assert got == {1: (5, 2, True), 2: (5, 2, True), 3: (3, 2, True), 4: (4, 1, True), 5: (0, 0, False)}
+    r = random.Random(3)
+    for _ in range(40):
+        items = [(k, [r.choice("abc") for _ in range(r.randint(0, 12))]) for k in range(4)]
+        doc = [r.choice("abc") for _ in range(30)]
+        tests = decontaminate.test_suffixes([(str(k), " ".join(w)) for k, w in items], 3)
+        row = decontaminate.search(pa.RecordBatch.from_pydict({"id": [1], "text": [" ".join(doc)]}), tests, 3)
+        common = [n for _, w in items for i in range(len(w)) for j in range(30) for n in [next((m for m in range(len(w) - i + 1) if m == len(w) - i or j + m == 30 or w[i + m] != doc[j + m]), 0)] if n >= min(3, len(w)) and (len(w) >= 3 or i == 0)]
+        assert row.column(5).to_pylist() == [[max(common)] if common else []]
+        assert sum(decontaminate.longest_matches(np.array([5, 5], np.uint64), np.array([2, 2]), np.array([0, 1]), np.array([0, 0]), {"symbols": np.array([5, 5, 5], np.uint64), "stops": np.array([3] * 3), "lengths": np.array([1]), "occurs": np.arange(3), "edges": np.array([0, 3])}, chunk=1)) == 3
+
+
+def test_rows_are_alike_for_any_number_of_blocks(spark):
+    rows = [(1, "w1 w2 w3 alpha"), (1, "nothing here at all"), (None, "v1 v2 v3"), (None, None), (2, "w1 w2 w3 v1 v2 v3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("items", F.lit(1)).withColumn("id", F.lit("x"))
+    bench = spark.createDataFrame([("a", "w1 w2 w3"), ("b", "v1 v2 v3"), ("b", "nothing here"), ("c", None), (None, "alpha")], "item_id string, text string")
+    one, many = (sorted(map(str, decontaminate.report(docs, bench, window=3, block_bytes=b).collect())) for b in (1 << 20, 8))
+    assert one == many and len(one) == 5
+    left = decontaminate.decontaminate(docs, bench, window=3, block_bytes=8)
+    assert left.columns == docs.columns and [r.doc_id for r in left.collect()] == [None]
+
+
+def test_a_long_item():
+    r = random.Random(9)
+    words = [str(r.randint(0, 10**9)) for _ in range(100_000)]
+    tests = decontaminate.test_suffixes([("long", " ".join(words))], 10)
+    assert sum(v.nbytes for v in tests.values() if isinstance(v, np.ndarray)) < 60 * len(words)
+    row = decontaminate.search(pa.RecordBatch.from_pydict({"id": [7], "text": ["x " + " ".join(words[500:90_000]) + " y"]}), tests, 10)
+    assert row.to_pylist() == [{"id": 7, "n_words": 89_502, "starts": [1], "ends": [89_501], "items": ["long"], "longest": [89_500]}]
+
+
 def passages(docs, window):
     words = {d: re.findall(BLANKS, t or "") for d, t in docs.items()}
     first = {}
