@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -15,10 +16,15 @@ from ..functions.ship import ship as ship
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder that spark.checkpoint.dir names; a folder of our own only where it is unset."""
+    """A new path in the shared folder that spark.checkpoint.dir names; where it is unset, a folder of our own, which only a local session has in common.
+
+    Raises RuntimeError on a cluster without such a folder.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="lacquer-ckpt-")
         spark.sparkContext.setCheckpointDir(root)
@@ -58,16 +64,30 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, at - at[0]
 
 
+def cut(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose column has about `most` bytes; a longer row stays whole."""
+    _, at = utf8(batch.column(batch.schema.get_field_index(column)))
+    lo, n = 0, batch.num_rows
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, "right")) - 1)
+        yield batch.slice(lo, min(hi, n) - lo)
+        lo = hi
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
-    """Each batch cut into runs of rows whose column has about `most` bytes; a longer row stays whole."""
+    """All batches of a task, cut."""
     for batch in batches:
-        n = batch.num_rows
-        _, at = utf8(batch.column(batch.schema.get_field_index(column)))
-        lo = 0
-        while lo < n:
-            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, "right")) - 1)
-            yield batch.slice(lo, min(hi, n) - lo)
-            lo = hi
+        yield from cut(batch, column, most)
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: its worker goes on to other tasks, and the executor needs it too."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # no such function in this C library
+        pass
 
 
 def word_table(separators: bytes) -> np.ndarray:

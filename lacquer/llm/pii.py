@@ -174,7 +174,8 @@ SALTS = 16
 
 def salted_join(rows: DataFrame, few: DataFrame, key: str, by: str) -> DataFrame:
     """Inner join of rows with a table of one row per key, whose rows are repeated so that no key is one task's alone."""
-    salted = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # rows are dealt out in any case: Spark would send a table to all tasks by its size before it is repeated
+    salted = few.hint("shuffle_merge").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(salted, [key, "__salt"]).drop("__salt")
 
 
@@ -238,7 +239,7 @@ def marked(documents: DataFrame, threshold: float, contexts: int, make: Callable
             found = list(map(spans_of, part.column(at).to_pylist(), part.column(part.num_columns - 1).to_pylist()))
             yield make(part.select(list(range(part.num_columns - 1))), found)
 
-    few = told.withColumnsRenamed({"digest": "__digest", "terms": "__terms"}).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    few = told.withColumnsRenamed({"digest": "__digest", "terms": "__terms"}).hint("shuffle_merge").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     travelling = documents.mapInArrow(told_ones, T.StructType([*documents.schema.fields, T.StructField("__digest", T.BinaryType())]))
     # copies of one text are dealt out
     dealt = travelling.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))

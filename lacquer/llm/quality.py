@@ -148,20 +148,21 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = 8000) -> Model:
 
     The sample's ids, at most `most`, go to the documents, and the sample's
     buckets come to the driver. Labels other than 0 and 1 are ignored; of
-    differing labels of one document the larger counts.
+    differing labels of one document the larger counts, and of rows that repeat
+    its id one is taken. Null texts are empty ones.
     """
     ship(documents.sparkSession)
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     sample = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").select("y", "text")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    # an id that many rows repeat is one row of the sample: the one whose text hashes lowest
+    texts = texts.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("y").alias("y")).select("y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 512):
-                part = whole.slice(lo, 512)
-                row, bucket = indicators(part.column(1))
-                at = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(bucket.astype(np.int32)))], ["y", "buckets"])
+        for part in pieces(batches):
+            row, bucket = indicators(part.column(1))
+            at = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(bucket.astype(np.int32)))], ["y", "buckets"])
 
     got = texts.mapInArrow(run, "y int, buckets array<int>").toArrow()
     rows = [np.asarray(x.values) for x in got.column("buckets").combine_chunks()] if got.num_rows else []
@@ -191,7 +192,7 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def keep(documents: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
-    """All columns of the documents that score `least` or more."""
+    """All columns of the rows that score `least` or more, each by its own text (null: empty), whatever its doc_id."""
     spark = documents.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)

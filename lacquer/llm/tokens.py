@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import utf8
+from .common import cut, utf8
 
 #: Pieces a worker knows at most; over that it forgets the half that it met longest ago.
 REMEMBERED = 1_000_000
@@ -75,7 +75,7 @@ class Chunks:
             for i in np.flatnonzero(pc.fill_null(pc.match_substring(texts, content), False)):
                 cls[at[i] : at[i + 1]] = _OTHER
         before = np.r_[np.uint8(_OTHER), cls[:-1]]
-        cut = (before != cls) & _WORD[before] & _WORD[cls]
+        edge = (before != cls) & _WORD[before] & _WORD[cls]
         if self.keeps_blanks:
             space = (cls == _SPACE) & _VISIBLE[before]
             wide = np.flatnonzero((cls == _SPACE) & (np.r_[np.uint8(0), data[:-1]] >= 128))
@@ -85,22 +85,21 @@ class Chunks:
             line = (cls == _LINE) & _VISIBLE[before]
             after = np.zeros(len(cls), bool)
             after[1:] = line[:-1] & _VISIBLE[cls[1:]]
-            cut |= space | line | after
+            edge |= space | line | after
         else:
             kept = ~_BLANK[data] | (cls == _OTHER) & (data == 32)  # of a text that is one piece, its spaces stay
-            cut[1:] |= ~kept[:-1]
-        cut[at[:-1][at[:-1] < len(data)]] = True
+            edge[1:] |= ~kept[:-1]
+        edge[at[:-1][at[:-1] < len(data)]] = True
         if not self.keeps_blanks:
-            cut &= kept
-            # a text of blanks only has no piece, so that its offset is that of the next
-            first = np.flatnonzero(cut)
+            edge &= kept
+            first = np.flatnonzero(edge)
             offsets = np.searchsorted(first, at)
-            place = np.cumsum(kept) - 1
+            place = np.cumsum(kept, dtype=np.int32) - 1
             data, cls, first, size = data[kept], cls[kept], place[first], int(kept.sum())
         else:
-            first, size = np.flatnonzero(cut), len(data)
+            first, size = np.flatnonzero(edge), len(data)
             offsets = np.searchsorted(first, at)
-        odd = np.r_[0, np.cumsum((cls == _OTHER) | (cls == _LINE) | (cls == _SPACE))]
+        odd = np.append(np.int32(0), np.cumsum((cls == _OTHER) | (cls == _LINE) | (cls == _SPACE), dtype=np.int32))
         edges = np.append(first, size)
         bad = odd[edges[1:]] - odd[first]
         if len(first):
@@ -109,6 +108,15 @@ class Chunks:
         out = pa.StringArray.from_buffers(len(first), pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data)))
         return out, bad == 0, offsets
 
+    def every_piece(self, texts: pa.Array, most: int = 1 << 20) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """pieces() of about `most` bytes at a time, so that the arrays that cutting takes stay small."""
+        found = [self.pieces(part.column(0)) for part in cut(pa.RecordBatch.from_arrays([texts], ["text"]), "text", most)]
+        if not found:
+            return self.pieces(texts)
+        before = np.cumsum([0, *(len(p) for p, _, _ in found[:-1])])
+        offsets = np.concatenate([[0], *(o[1:] + b for (_, _, o), b in zip(found, before, strict=True))])
+        return pa.concat_arrays([p for p, _, _ in found]), np.concatenate([j for _, j, _ in found]), offsets
+
     def learn(self, new: pa.Array, joinable: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and sizes of new pieces, many at a time where they may be joined."""
         n = len(new)
@@ -145,7 +153,7 @@ class Chunks:
         """Ids of all texts (null is an empty text), each followed by end_id if there is one, and the n + 1 offsets of the texts."""
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
-        pieces, joinable, offsets = self.pieces(texts)
+        pieces, joinable, offsets = self.every_piece(texts)
         coded = pieces.dictionary_encode()
         own, at = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
         where = pc.index_in(own, value_set=self.known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
