@@ -26,6 +26,14 @@ def masked(value: Column, mask: Mask) -> Column:
     return F.when(value == "", F.lit("")).otherwise(written(value, mask))
 
 
+def bounded(text: Column, most: Column | int) -> Column:
+    """struct(text, truncated): the text cut at a character boundary to `most` bytes of UTF-8."""
+    most = most if isinstance(most, Column) else F.lit(most)
+    start = F.rtrim(F.make_valid_utf8(F.substring(text.cast("binary"), F.lit(1), most).cast("string")), F.lit("\ufffd"))
+    over = F.octet_length(text) > most
+    return F.struct(F.when(over, start).otherwise(text).alias("text"), over.alias("truncated"))
+
+
 def by_level(value: Column, level: Column, policy: Policy, empty_too: bool = False) -> Column:
     """The value masked by a level that is data; level 0 passes it."""
     one = written if empty_too else masked

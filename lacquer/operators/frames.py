@@ -102,9 +102,9 @@ def shaped(value: Column, kind: T.DataType, policy: Policy, json: bool = False)
             elif redaction := own_redaction(f):
                 own = redaction(inner)
             elif (items := part_level(f, "items")) and isinstance(f.dataType, T.ArrayType):
-                own = F.transform(inner, lambda x, n=items: F.when(x.isNotNull(), F.lit(policy.opaque(n))))
+                own = _hidden_items(inner, items, policy)
             elif (entries := part_level(f, "entries")) and isinstance(f.dataType, T.MapType):
-                own = F.transform_values(inner, lambda k, v, n=entries: F.when(v.isNotNull(), opaque(F.greatest(level_column(k.cast("string"), policy), F.lit(n)), policy)))
+                own = _hidden_entries(inner, entries, policy)
             else:
                 own = shaped(inner, f.dataType, policy, declared(f) == "json")
             parts.append(own.alias(f.name))
@@ -118,6 +118,14 @@ def shaped(value: Column, kind: T.DataType, policy: Policy, json: bool = False)
     return value
 
 
+def _hidden_items(items: Column, level: int, policy: Policy) -> Column:
+    return F.transform(items, lambda x: F.when(x.isNotNull(), F.lit(policy.opaque(level))))
+
+
+def _hidden_entries(entries: Column, least: int, policy: Policy) -> Column:
+    return F.transform_values(entries, lambda k, v: F.when(v.isNotNull(), opaque(F.greatest(level_column(k.cast("string"), policy), F.lit(least)), policy)))
+
+
 def redact_struct_json(value: Column, kind: T.DataType, policy: Policy) -> Column:
     """The shaped value as JSON text, or all of it as a secret where it is over the output limit."""
     most = policy.limits.max_output_bytes

@@ -1,8 +1,10 @@
 """DuckDB SQL whose rows equal those of the queries."""
 
+from . import policies, shapes
+from .tables import LOW_WRITTEN
+
 LOW = "CASE WHEN {0} = '' THEN '' WHEN length({0}) <= 4 THEN '****' ELSE left({0}, 2) || '****' || right({0}, 2) END"
 MEDIUM = "CASE WHEN {0} = '' THEN '' WHEN length({0}) <= 1 THEN '*******' ELSE '*******' || right({0}, 1) END"
-LOW_WRITTEN = "CASE WHEN length({0}) <= 4 THEN '****' ELSE left({0}, 2) || '****' || right({0}, 2) END"
 ESCAPED = "replace(replace(replace({0}, chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t')"
 BATCH = f"""
 WITH m AS (SELECT conv_id, turn, {ESCAPED.format("text")} AS raw FROM conversations),
@@ -62,4 +64,4 @@ SQL = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | policies.SQL | shapes.SQL

@@ -10,6 +10,8 @@ from ..functions.masks import by_level, masked
 from ..functions.names import candidates_column, canonical_column, level_column
 from ..functions.policy import HIGH, LOW, MEDIUM, SECRET, STANDARD_FLOOR, Mask, Policy, Rules, rules_of, standard
 from ..operators import fields, formats, frames, groups
+from . import policies, shapes
+from .tables import table
 
 #: Table columns by level, as an application would name its own.
 CUSTOMER = Policy(rules=rules_of({"c_name": LOW, "c_acctbal": HIGH, "c_mktsegment": MEDIUM}, by_suffix=False))
@@ -20,10 +22,6 @@ PATHS = standard().builder().http(url_path="redact").build()
 SMALL = Policy(rules=rules_of({"text": LOW}), limits=standard().limits.__class__(max_output_bytes=1500))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def mask_low(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", masked(F.col("c_name"), standard().masks[0]).alias("masked"))
 
@@ -217,4 +215,4 @@ ALL = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in ALL}
+    return {f.__name__: f for f in (*ALL, *policies.ALL, *shapes.ALL)}

@@ -1,11 +1,14 @@
 """Column expressions against their Python twins and known texts."""
 
+import pickle
+import random
+
 import pytest
 from pyspark.sql import functions as F, types as T
 
 from lacquer.functions import policy as P
 from lacquer.functions.masks import by_level, escaped, masked, quoted, written
-from lacquer.functions.names import candidates, candidates_column, level_column
+from lacquer.functions.names import candidates, candidates_column, canonical, canonical_column, level_column
 from lacquer.operators import fields, frames, groups
 from lacquer.operators.results import BIT, merge_summaries, reason_names
 from lacquer.sources import read_redacted, write_redacted
@@ -195,3 +198,49 @@ def test_summaries_merge(spark):
     s = df.agg(*merge_summaries("r")).first()
     assert (s.completion, s.reasons, s.output, s.omitted) == (2, BIT["output_limit_reached"], 3, 0)
     assert one(spark, reason_names(F.lit(BIT["invalid_json"] | BIT["invalid_uri"]))) == ["invalid_json", "invalid_uri"]
+
+
+def test_names_as_columns_and_in_python_agree(spark):
+    """Of names of any blanks, separators, cases and scripts."""
+    r = random.Random(11)
+    parts = ["api", "key", "Token", "password", "PASSWORD", "x", "HTTP", "9", "É", "Σ", "ς", "ǅ", "İ", "一", "²", "_", "-", ".", "[", "]", " ", "\t", "\u0085", " ", " ", "　", " ", " ", "\x1c", "\x1f", "​", "﻿"]
+    names = ["".join(r.choice(parts) for _ in range(r.randint(0, 6))) for _ in range(1500)]
+    names += ["api key", "api　key", "API\u0085KEY", "x password", "api\x1ckey", "apiKey", "", " "]
+    policy = P.standard().builder().fields(lambda b: b.allow_exact("x password").allow_suffix("xtoken").low("é", "σ", "x")).build()
+    df = spark.createDataFrame([(n,) for n in names], "n string").select("n", level_column(F.col("n"), policy).alias("level"), canonical_column(F.col("n")).alias("c"))
+    for row in df.collect():
+        assert (row.level, row.c) == (policy.sensitivity_for(row.n), canonical(row.n)), ascii(row.n)
+    for name, level in (("api key", 3), ("api　key", 3), ("API\u0085KEY", 3), ("x password", 4), ("api\x1ckey", 0)):
+        assert P.standard().sensitivity_for(name) == level
+
+
+def test_items_of_unknown_operations_show_nothing(spark):
+    rows = [(1, 0, "argv", "n", "--password hunter2"), (1, 1, "json_value", "n", '{"password":"p"}'), (1, 2, "whatever", "page", "raw"), (1, 3, None, "page", "raw"), (1, 4, "field", None, "shown"), (1, 5, "literal", None, None)]
+    df = spark.createDataFrame(rows, "b int, i int, op string, name string, value string")
+    got = {r.i: (r.text, r.completion, r.reasons) for r in groups.batch_items(df, "b", "i", P.standard()).collect()}
+    hidden = ("<redacted>", 0, BIT["unsupported_content_type"])
+    assert got == {0: ("[]", 0, 0), 1: ('{"password":"<redacted>"}', 0, 0), 2: hidden, 3: hidden, 4: ("shown", 0, 0), 5: ("", 0, 0)}
+
+
+def test_lists_and_addresses_of_a_batch_spend_its_budget(spark):
+    args = [("--password", None), ("hunter2", None)]
+    rows = [(b, i, op, "https://h.example/a/long/path", args) for b, ops in enumerate([("http_url", "heuristic_argv", "literal"), ("heuristic_argv", "http_url"), ("literal", "http_url", "argv")]) for i, op in enumerate(ops)]
+    df = spark.createDataFrame(rows, "b int, i int, op string, value string, args array<struct<value:string,sensitivity:string>>").withColumn("name", F.lit("x"))
+    show = lambda most: [[r.text for r in sorted(groups.batch_items(df, "b", "i", P.Policy(limits=P.Limits(max_output_bytes=most))).collect(), key=lambda r: (r.b, r.i)) if r.b == b] for b in range(3)]
+    url, argv = "https://h.example/a/long/path", '["--password", "<redacted>"]'
+    assert show(1000) == [[url, argv, url], [argv, url], [url, url, '["--password", "hunter2"]']]
+    assert show(40) == [[url, "<truncated>", ""], [argv, "h<truncated>"], [url, "<truncated>", ""]]
+    assert show(20) == [["https://h<truncated>", "", ""], ["<truncated>", ""], ["", "", ""]]
+
+
+def test_builders_check_what_they_are_given():
+    with pytest.raises(P.PolicyError):
+        P.validate_field_name(" _-")
+    assert P.validate_field_name(" Api-Key ") == "apikey"
+    for bad in ({"max_items": -1}, {"max_depth": "3"}, {"max_output_bytes": (1 << 31) + 1}):
+        with pytest.raises(P.PolicyError):
+            P.standard().builder().limits(**bad)
+    assert P.Mask.preserve_edges(1, 1, "é", 0).bounded("abcd", 2) == ("a", True) and P.Mask.fixed("xy").bounded("", 1) == ("", False)
+    policy = P.standard()
+    policy.sensitivity_for("token")
+    assert P.Policy.from_json(policy.to_json()) == policy and pickle.loads(pickle.dumps(policy)) == policy
