@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.ship import ship as ship
 
@@ -160,3 +160,30 @@ def rolling(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word's bytes; equal words have equal hashes in every process."""
     return rolling(_BYTES[data], starts, ends)
+
+
+MOST_BITS = 1 << 25
+
+
+def bit_filter(keys: DataFrame) -> np.ndarray:
+    """Flags set at the hashes of a long column, packed: 16 bits a key, at most 4 MB whatever their number. Flags of others only cost time."""
+    n = min(MOST_BITS, 1 << max(10, (16 * keys.count()).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _slots(batch.column(0).drop_null().to_numpy(zero_copy_only=False), n)
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 5), pa.array(np.int64(1) << (at & 31))], ["cell", "bits"])
+
+    cells = keys.mapInArrow(run, "cell long, bits long").groupBy("cell").agg(F.bit_or("bits").alias("bits")).toArrow()
+    flags = np.zeros(n >> 5, np.uint32)
+    flags[cells.column("cell").to_numpy()] = cells.column("bits").to_numpy().astype(np.uint32)
+    return flags
+
+
+def _slots(keys: np.ndarray, n: int) -> np.ndarray:
+    return (mix(keys.astype(np.int64).view(np.uint64) * _MULT) & np.uint64(n - 1)).astype(np.int64)
+
+
+def flagged(flags: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = _slots(keys, 32 * len(flags))
+    return (flags[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)

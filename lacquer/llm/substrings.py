@@ -1,12 +1,14 @@
 """Removal of word passages that repeat across documents, by prefix-partitioned suffix trees.
 
-A suffix can repeat only if the rarest-hashed 8-gram of its first 50 words (its
-minimiser) is in another document too. Suffixes whose minimisers are shared are
-grouped by them; a group that is too large for a task is split by longer
-prefixes, up to the whole window. Neighbouring suffixes of a group travel as one
-stretch of text. Each task sorts the suffixes of its groups to the depth of a
-window: suffixes under one node of that depth are equal windows, and all but
-those of the smallest document are removed.
+The trees are sparse: of the suffixes in a window only the one that begins with
+the window's lowest-hashed 8-gram (its anchor) is grouped, so that neighbouring
+windows stay together and travel as one stretch of text. Suffixes are grouped by
+a prefix of 8 words; where a group is larger than a task should hold, by one of
+16, of 32, or by the whole window, as the counts of groups demand. Each task
+builds the suffix tree of its groups' stretches as a suffix array with common
+prefixes. Suffixes under one node as deep as a window have that window in
+common, and all but those of the smallest document are removed; the tree's
+deeper nodes that differ to the left are the maximal repeats.
 """
 
 from __future__ import annotations
@@ -16,114 +18,218 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import BLANKS, blocks, rolling, ship, stored, utf8, word_hashes, words
+from .common import BLANKS, bit_filter, blocks, drop, flagged, mix, rolling, ship, stored, utf8, word_hashes, words
 from .suffixes import suffix_array
 
-GRAM = 8
+#: Words of the prefixes that suffixes are grouped by, shortest first; a whole window comes last.
+PREFIXES = (8, 16, 32)
 FRONT = "key long, doc_id long, start int, n int, content binary"
 NAMES = ["key", "doc_id", "start", "n", "content"]
 
 
-def minimisers(batch: pa.RecordBatch, window: int) -> tuple[np.ndarray, ...]:
-    """Of a batch (doc_id, text): positions of all windows, their minimisers and documents; then word starts, ends, offsets and hashes, and the bytes."""
-    data, at = utf8(batch.column(1))
-    starts, ends, word_at = words(data, at, BLANKS)
-    symbols = word_hashes(data, starts, ends)
-    gram = min(GRAM, window)
-    n = np.diff(word_at)
-    docs = np.repeat(np.arange(len(n)), np.maximum(0, n - window + 1))
-    counts = np.maximum(0, n - window + 1)
-    positions = np.arange(len(docs)) - np.repeat(np.cumsum(counts) - counts, counts) + word_at[:-1][docs]
-    if len(positions):
-        lo = np.arange(len(symbols) - gram + 1)
-        low = rolling(symbols, lo, lo + gram)
-        span, size = window - gram + 1, 1
-        while 2 * size <= span:
-            low = np.minimum(low[:-size], low[size:])
-            size *= 2
-        low = np.minimum(low[: len(low) - (span - size)], low[span - size :])[positions]
-    else:
-        low = np.zeros(0, np.uint64)
-    return positions, low, docs, starts, ends, word_at, symbols, data
-
-
-def shared(documents: DataFrame, window: int, most: int) -> DataFrame:
-    """doc_id with the minimisers it shares with other documents (`keys`) and those in over `most` documents (`wide`)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Windows:
+    """All windows of a batch (doc_id, text): where they begin, their documents, and the prefix of each length that groups them."""
+
+    def __init__(self, batch: pa.RecordBatch, window: int):
+        self.window = window
+        self.data, at = utf8(batch.column(1))
+        self.starts, self.ends, self.word_at = words(self.data, at, BLANKS)
+        self.symbols = word_hashes(self.data, self.starts, self.ends)
+        counts = np.maximum(0, np.diff(self.word_at) - window + 1)
+        self.docs = np.repeat(np.arange(len(counts)), counts)
+        self.positions = np.arange(len(self.docs)) - np.repeat(np.cumsum(counts) - counts, counts) + self.word_at[:-1][self.docs]
+        self.lengths = [*(p for p in PREFIXES if p < window), window]
+        self.anchors = self._anchors(min(PREFIXES[0], window)) if len(self.positions) else self.positions
+
+    def _anchors(self, gram: int) -> np.ndarray:
+        """Of each window the first place of its lowest gram."""
+        lo = np.arange(len(self.symbols) - gram + 1)
+        low, place = rolling(self.symbols, lo, lo + gram), lo
+        span, size = self.window - gram + 1, 1
+        while size < span:
+            step = min(size, span - size)
+            first = low[:-step] <= low[step:]
+            low, place = np.where(first, low[:-step], low[step:]), np.where(first, place[:-step], place[step:])
+            size += step
+        return place[self.positions]
+
+    def keys(self, level: int, which: np.ndarray) -> np.ndarray:
+        """Hashes of the prefixes of this level: of words from the anchor on, or so far to its left as the window needs."""
+        length = self.lengths[level]
+        lo = np.minimum(self.anchors[which], self.positions[which] + self.window - length)
+        return mix(rolling(self.symbols, lo, lo + length) + np.uint64(level)) if len(which) else np.zeros(0, np.uint64)
+
+    def grouped(self, split: np.ndarray) -> np.ndarray:
+        """The key of each window: of the shortest prefix that is not among those that are split."""
+        every = np.arange(len(self.positions))
+        key = self.keys(0, every)
+        for level in range(1, len(self.lengths)):
+            again = np.flatnonzero(np.isin(key, split)) if len(split) else np.zeros(0, np.int64)
+            if not len(again):
+                break
+            key[again] = self.keys(level, again)
+        return key
+
+    def runs(self, key: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First (an index into which) and number of neighbouring windows of one key."""
+        p, d = self.positions[which], self.docs[which]
+        new = np.ones(len(which), bool)
+        new[1:] = (p[1:] != p[:-1] + 1) | (key[1:] != key[:-1]) | (d[1:] != d[:-1])
+        first = np.flatnonzero(new)
+        return first, np.diff(np.append(first, len(which)))
+
+
+COUNTS = "level int, key long, doc_id long, n int"
+
+
+def _counts(level: int, key: np.ndarray, docs: np.ndarray, ids: pa.Array) -> pa.RecordBatch:
+    """Rows (level, key, doc_id, n) of runs by key and document."""
+    by = np.lexsort((key, docs))
+    key, docs = key[by], docs[by]
+    first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (docs[1:] != docs[:-1])][: len(key)])
+    n = np.diff(np.append(first, len(key))).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(first), level, np.int32)), pa.array(key[first].view(np.int64)), ids.take(pa.array(docs[first])), pa.array(n)], ["level", "key", "doc_id", "n"])
+
+
+def _totals(rows: DataFrame, most: int) -> DataFrame:
+    """The prefixes in more than one document, and whether their suffixes are too many for one group."""
+    totals = rows.groupBy("level", "key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.sum("n").alias("n")).where("a < b")
+    return totals.select("level", "key", (F.col("n") > most).alias("split"))
+
+
+def partitions(documents: DataFrame, window: int, most: int) -> tuple[DataFrame, list[DataFrame]]:
+    """doc_id with the prefixes that group its suffixes with those of other documents (`keys`) and the shorter ones that are split (`split`); and the written tables that this reads."""
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches, "text", 4_000_000):
-            _, low, docs, *_ = minimisers(part, window)
-            by = np.lexsort((low, docs))
-            low, docs = low[by], docs[by]
-            first = np.ones(len(low), bool)
-            first[1:] = (low[1:] != low[:-1]) | (docs[1:] != docs[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(low[first].view(np.int64)), part.column(0).take(pa.array(docs[first]))], ["key", "doc_id"])
+            w = Windows(part, window)
+            key = w.grouped(np.zeros(0, np.uint64))
+            at, _ = w.runs(key, np.arange(len(key)))
+            yield _counts(0, key[at], w.docs[at], part.column(0))
 
-    rows = stored(documents.mapInArrow(run, "key long, doc_id long"), "minimisers")
-    common = rows.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).where("a < b").select("key", (F.col("n") > most).alias("wide"))
-    pairs = rows.join(common, "key")
-    return pairs.groupBy("doc_id").agg(F.collect_list("key").alias("keys"), F.collect_list(F.when(F.col("wide"), F.col("key"))).alias("wide"))
+    def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in blocks(batches, "text", 4_000_000):
+            w = Windows(part.select([0, 1]), window)
+            split = np.unique(pc.list_flatten(part.column(2)).to_numpy(zero_copy_only=False)).view(np.uint64)
+            which = np.flatnonzero(np.isin(w.grouped(np.zeros(0, np.uint64)), split))
+            for level in range(1, len(w.lengths)):
+                key = w.keys(level, which)
+                at, _ = w.runs(key, which)
+                yield _counts(level, key[at], w.docs[which[at]], part.column(0))
+
+    rows = stored(documents.mapInArrow(first, COUNTS), "prefixes")
+    found = _totals(rows, most)
+    split = stored(found.where("split").select("level", "key"), "split")
+    pairs, tables = rows.join(found, ["level", "key"]), [rows, split]
+    if not split.isEmpty():
+        wide = rows.join(split, ["level", "key"]).groupBy("doc_id").agg(F.collect_list("key").alias("split"))
+        tables.append(more := stored(documents.join(wide, "doc_id").select("doc_id", "text", "split").mapInArrow(longer, COUNTS), "prefixes"))
+        # a whole window is never split: its suffixes are equal
+        last = len([p for p in PREFIXES if p < window])
+        pairs = pairs.unionByName(more.join(_totals(more, most).withColumn("split", F.col("split") & (F.col("level") < last)), ["level", "key"]))
+    return pairs.groupBy("doc_id").agg(F.collect_list("key").alias("keys"), F.collect_list(F.when(F.col("split"), F.col("key"))).alias("split")), tables
 
 
 def stretches(own: DataFrame, window: int, remembered: int = 400_000) -> DataFrame:
-    """From (doc_id, text, keys, wide): stretches of text with n suffixes of one group each.
+    """From (doc_id, text, keys, split): stretches of text with n suffixes of one group each.
 
     Where the task has seen the same stretch in a smaller document, its content
     stays behind: such a row says that all its windows are to be removed.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[int, int], int] = {}
+        seen: dict[bytes, int] = {}
         for part in blocks(batches, "text", 4_000_000):
-            positions, low, docs, starts, ends, word_at, symbols, data = minimisers(part.select([0, 1]), window)
-            keys = np.unique(part.column(2).flatten().to_numpy(zero_copy_only=False)).view(np.uint64)
-            wide = np.unique(part.column(3).flatten().to_numpy(zero_copy_only=False)).astype(np.int64).view(np.uint64)
-            kept = np.isin(low, keys)
-            positions, low, docs = positions[kept], low[kept], docs[kept]
-            if not len(positions):
+            w = Windows(part.select([0, 1]), window)
+            keys, split = (np.unique(pc.list_flatten(part.column(k)).to_numpy(zero_copy_only=False).astype(np.int64)).view(np.uint64) for k in (2, 3))
+            group = w.grouped(split)
+            which = np.flatnonzero(np.isin(group, keys))
+            if not len(which):
                 continue
-            hot = np.isin(low, wide)
-            new = np.ones(len(positions), bool)
-            new[1:] = (positions[1:] != positions[:-1] + 1) | (low[1:] != low[:-1]) | (docs[1:] != docs[:-1]) | hot[1:]
-            first = np.flatnonzero(new)
-            n = np.diff(np.append(first, len(positions)))
-            lo = positions[first]
-            hi = lo + n + window - 1
-            text = rolling(symbols, lo, hi)
-            group = np.where(hot[first], text, low[first])
-            ids = part.column(0).to_numpy(zero_copy_only=False)[docs[first]]
-            begin, stop = starts[lo].tolist(), ends[hi - 1].tolist()
-            raw = data.tobytes()
+            first, n = w.runs(group[which], which)
+            lo = w.positions[which[first]]
+            doc = w.docs[which[first]]
+            ids = part.column(0).to_numpy(zero_copy_only=False)[doc]
+            begin, stop = w.starts[lo].tolist(), w.ends[lo + n + window - 2].tolist()
+            raw = w.data.tobytes()
             content: list[bytes | None] = []
-            for k, (name, doc) in enumerate(zip(zip(low[first].tolist(), text.tolist(), strict=True), ids.tolist(), strict=True)):
+            for a, b, d, k in zip(begin, stop, ids.tolist(), n.tolist(), strict=True):
+                text = raw[a:b]
+                name = xxhash.xxh3_128_digest(text, k)
                 had = seen.get(name)
-                if had is not None and had < doc:
+                if had is not None and had < d:
                     content.append(None)
                     continue
-                content.append(raw[begin[k] : stop[k]])
-                seen[name] = doc
+                content.append(text)
+                seen[name] = d
             if len(seen) > remembered:
                 seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(group.view(np.int64)), pa.array(ids), pa.array((lo - word_at[:-1][docs[first]]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(content, pa.binary())], NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(group[which[first]].view(np.int64)), pa.array(ids), pa.array((lo - w.word_at[:-1][doc]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(content, pa.binary())], NAMES)
 
     return own.mapInArrow(run, FRONT)
 
 
+def suffix_tree(symbols: np.ndarray, ends: np.ndarray, least: int, whole: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The tree as the order of its suffixes and, before each, how many symbols it has in common with its neighbour.
+
+    Common prefixes shorter than `least` are given as 0. Without `whole` the tree
+    ends at that depth.
+    """
+    depth = int((ends - np.arange(len(ends))).max(initial=0)) if whole else least
+    order, _ = suffix_array(symbols, ends, max(depth, least))
+    common = np.zeros(len(order), np.int64)
+    if len(order) > 1:
+        a, b = order[:-1], order[1:]
+        room = np.minimum(ends[a] - a, ends[b] - b)
+        alive, reach = np.flatnonzero(room >= least), 0
+        while len(alive) and reach < depth:
+            alive = alive[symbols[a[alive] + reach] == symbols[b[alive] + reach]]
+            reach += 1
+            if reach >= least:
+                common[alive + 1] = reach
+            alive = alive[room[alive] > reach]
+    return order, common
+
+
+def maximal_repeats(symbols: np.ndarray, begins: np.ndarray, ends: np.ndarray, least: int) -> list[tuple[int, list[int]]]:
+    """(length, places) of the tree's inner nodes of that depth whose suffixes don't all have the same symbol before them.
+
+    begins[i] and ends[i] bound the text of position i.
+    """
+    order, common = suffix_tree(symbols, ends, least)
+    before = np.where(order > begins[order], symbols[np.maximum(order - 1, 0)], np.uint64(0))
+    found, stack = [], []  # of (depth, first place in the order)
+    for i in range(1, len(order) + 1):
+        depth, first = int(common[i]) if i < len(order) else 0, i - 1
+        while stack and stack[-1][0] > depth:
+            d, first = stack.pop()
+            own = before[first:i]
+            if (own == 0).any() or (own != own[0]).any():
+                found.append((d, sorted(order[first:i].tolist())))
+        if depth and (not stack or stack[-1][0] < depth):
+            stack.append((depth, first))
+    return found
+
+
 def repeated(docs: np.ndarray, start: np.ndarray, n: np.ndarray, content: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs (doc, start, n) of the suffixes whose first `window` words also start in a smaller document of these stretches."""
     data, at = utf8(content)
     begin, stop, word_at = words(data, at, BLANKS)
     symbols = word_hashes(data, begin, stop)
     sizes = np.diff(word_at)
-    order, rank = suffix_array(symbols, np.repeat(word_at[1:], sizes), window)
+    order, common = suffix_tree(symbols, np.repeat(word_at[1:], sizes), window, whole=False)
     piece = np.repeat(np.arange(len(n)), sizes)
     offset = np.arange(len(symbols)) - word_at[:-1][piece]
-    order = order[offset[order] < n[piece[order]]]
+    node = np.cumsum(common == 0)
+    inside = offset[order] < n[piece[order]]
+    order, node = order[inside], node[inside]
     if not len(order):
         return docs[:0], start[:0], n[:0]
-    own, node = docs[piece[order]], rank[order]
+    own = docs[piece[order]]
     head = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
     least = np.minimum.reduceat(own, head)
     gone = np.sort(order[own > np.repeat(least, np.diff(np.append(head, len(order))))])
@@ -135,7 +241,7 @@ def repeated(docs: np.ndarray, start: np.ndarray, n: np.ndarray, content: pa.Arr
 
 
 def removals(front: DataFrame, window: int, words_held: int = 1_500_000) -> DataFrame:
-    """(doc_id, start, n): runs of windows to remove, from stretches dealt out and sorted by group."""
+    """(doc_id, start, n): runs of windows to remove. Stretches with content are dealt out and sorted by group; the others need no group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -146,14 +252,10 @@ def removals(front: DataFrame, window: int, words_held: int = 1_500_000) -> Data
             return pa.RecordBatch.from_arrays(list(map(pa.array, repeated(*(table.column(k).to_numpy() for k in NAMES[1:4]), c, window))), NAMES[1:4])
 
         for batch in batches:
-            none = batch.column(4).is_null()
-            if none.true_count:
-                yield batch.filter(none).select([1, 2, 3])
-            batch = batch.filter(batch.column(4).is_valid())
             if not batch.num_rows:
                 continue
             held.append(batch)
-            size += pa.compute.sum(batch.column(3)).as_py() + window * batch.num_rows
+            size += pc.sum(batch.column(3)).as_py() + window * batch.num_rows
             if size >= words_held:
                 table = pa.Table.from_batches(held)
                 keys = table.column(0).to_numpy()
@@ -161,11 +263,12 @@ def removals(front: DataFrame, window: int, words_held: int = 1_500_000) -> Data
                 if cut:
                     yield flush(table.slice(0, cut))
                     held = table.slice(cut).combine_chunks().to_batches()
-                    size = pa.compute.sum(table.slice(cut).column(3)).as_py() + window * (len(keys) - cut)
+                    size = pc.sum(table.slice(cut).column(3)).as_py() + window * (len(keys) - cut)
         if held:
             yield flush(pa.Table.from_batches(held))
 
-    return front.repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc_id long, start int, n int")
+    known = front.where("content is null").select("doc_id", "start", "n")
+    return front.where("content is not null").repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc_id long, start int, n int").unionByName(known)
 
 
 REPORT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
@@ -179,13 +282,31 @@ def without_repeats(documents: DataFrame, window: int = 50, most: int = 20_000,
     words; a document without a doc_id is left whole and removes nothing. Rows
     of one doc_id are one document to the others and are each reported.
     """
-    ship(documents.sparkSession)
+    spark = documents.sparkSession
+    ship(spark)
     own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # both joins below shuffle the same rows, so that Spark shuffles the texts once
-    named, nameless = own.where("doc_id is not null"), own.where("doc_id is null")
-    wanted = shared(named, window, most)
-    front = stretches(named.join(wanted, "doc_id").select("doc_id", "text", "keys", "wide"), window)
-    gone = removals(front, window).groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns"))
+    named = own.where("doc_id is not null")
+    wanted, tables = partitions(named, window, most)
+    front = stored(stretches(named.join(wanted, "doc_id").select("doc_id", "text", "keys", "split"), window), "stretches")
+    gone = stored(removals(front, window).groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns")), "removals")
+    for table in (front, *tables):
+        drop(spark, table)
+    # of the texts only those that lose words travel, and some that a filter of fixed size takes for such
+    flags = spark.sparkContext.broadcast(bit_filter(gone.select("doc_id")))
+
+    def maybe(part: pa.RecordBatch) -> np.ndarray:
+        ids = part.column(0)
+        return flagged(flags.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
+
+    def travelling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in blocks(batches, "text", 4_000_000):
+            yield part.filter(pa.array(maybe(part)))
+
+    def staying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in blocks(batches, "text", 4_000_000):
+            part = part.filter(pa.array(~maybe(part)))
+            lists = pa.array([[]] * part.num_rows, pa.list_(pa.int32()))
+            yield from run(iter([part.append_column("starts", lists).append_column("ns", lists)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches, "text", 4_000_000):
@@ -205,6 +326,6 @@ def without_repeats(documents: DataFrame, window: int = 50, most: int = 20_000,
             kept_column = pa.array(kept, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest), kept_column], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    whole = nameless.withColumns({"starts": F.array().cast("array<int>"), "ns": F.array().cast("array<int>")})
-    joined = named.join(gone, "doc_id", "left").select("doc_id", "text", "starts", "ns").unionByName(whole).mapInArrow(run, REPORT)
+    lost = own.mapInArrow(travelling, "doc_id long, text string").join(gone, "doc_id", "left").select("doc_id", "text", "starts", "ns")
+    joined = lost.mapInArrow(run, REPORT).unionByName(own.mapInArrow(staying, REPORT))
     return joined if with_text else joined.drop("kept")

@@ -140,6 +140,46 @@ def test_passages(docs, by_id, none, window, most):
     assert substrings.without_repeats(none).count() == 0
 
 
+def test_maximal_repeats():
+    r = random.Random(4)
+    for _ in range(60):
+        texts = [[r.randint(1, 3) for _ in range(r.randint(1, 14))] for _ in range(4)]
+        symbols = np.array(sum(texts, []), np.uint64)
+        sizes = [len(t) for t in texts]
+        ends = np.repeat(np.cumsum(sizes), sizes)
+        begins = ends - np.repeat(sizes, sizes)
+        least = r.randint(1, 4)
+        got = {tuple(symbols[places[0] : places[0] + n].tolist()): places for n, places in substrings.maximal_repeats(symbols, begins, ends, least)}
+        want = {}
+        places = defaultdict(list)
+        for i in range(len(symbols)):
+            for n in range(least, ends[i] - i + 1):
+                places[tuple(symbols[i : i + n].tolist())].append(i)
+        for w, at in places.items():
+            after = [int(symbols[i + len(w)]) if i + len(w) < ends[i] else -i - 1 for i in at]
+            before = [int(symbols[i - 1]) if i > begins[i] else -i - 1 for i in at]
+            if len(at) > 1 and len(set(after)) > 1 and len(set(before)) > 1:
+                want[w] = at
+        assert got == want
+        order, common = substrings.suffix_tree(symbols, ends, least, whole=False)
+        assert all((c >= least) == (tuple(symbols[a : a + least]) == tuple(symbols[b : b + least]) and min(ends[a] - a, ends[b] - b) >= least) for a, b, c in zip(order[:-1], order[1:], common[1:], strict=True))
+
+
+def test_groups_are_split_by_longer_prefixes(spark):
+    r = random.Random(6)
+    hot = [str(r.randint(0, 10**6)) for _ in range(70)]
+    rows = [(i, " ".join([*(str(r.randint(0, 10**6)) for _ in range(r.randint(0, 30))), *hot[r.randint(0, 9) : 70 - r.randint(0, 9)], *(str(r.randint(0, 10**6)) for _ in range(r.randint(0, 30)))])) for i in range(60)]
+    rows += [(100 + i, "a b " * 200) for i in range(3)] + [(200, "a " * 400), (201, "a " * 90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    named = df.where("doc_id is not null")
+    for most in (20_000, 40, 1):
+        found, tables = substrings.partitions(named, 50, most)
+        lists = found.collect()
+        assert any(x.split for x in lists) == (most < 20_000)
+        got = {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in substrings.without_repeats(df, 50, most).collect()}
+        assert got == passages(dict(rows), 50)
+
+
 def test_passages_of_nameless_and_repeated_rows(spark):
     text = " ".join(map(str, range(60)))
     df = spark.createDataFrame([(None, text), (1, text), (2, text), (2, text), (3, None)], "doc_id long, text string")
