@@ -342,6 +342,21 @@ def test_secrets(spark, none):
     assert secrets.report(none).count() == 0
 
 
+def test_long_texts_of_many_secrets(spark):
+    """Positions stay right over many matches, and added spans inside base ones go."""
+    r = random.Random(8)
+    parts = [r.choice(["token=abcdef%d" % i, "x%dZq9Kp2Lm4Nv7Rt1Ws3" % i, "é plain", "secret: Zq9Kp2Lm4Nv7Rt1Ws3Xy%d" % i, "AKIA%020d" % i, "0f" * 14]) for i in range(900)]
+    text = " ".join(parts)
+    row = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    want = [(m.start(), 0, m.end(), "assign") for m in re.finditer(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[1]) >= 6]
+    want += [(m.start(), 1, m.end(), "access") for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    want += [(m.start(), 2, m.end(), "hex") for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+    assert [tuple(s) for s in row.base] == sorted(want)
+    added = [s for s in row.spans if s.rank == 3]
+    assert len(added) > 50 and not any(b[0] <= s.start and s.end <= b[2] for s in added for b in want)
+    assert sorted(tuple(s) for s in row.spans if s.rank < 3) == sorted(want)
+
+
 PII = [
     "mail a.b@c.d-e.org, x@y and a@b.c_d@e.f", "@a.b a@@b.c éx@é.org", "1.2.3.4 256.1.1.1 1.2.3.4.5 010.0.0.255 1.2.3", "4111 1111 1111 1111 and 4111-1111-1111-1112 4111111111111111",
     "+1 (988) 555-2485, +12 +1234567 +1234567890123456 ++49 30 123456", "9" * 3000 + "." + "1" * 5000, "card 0000000000000000 and 00000000000000000000", "", None,
