@@ -49,12 +49,12 @@ def drop(spark: SparkSession, df: DataFrame) -> None:
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string column and the n + 1 offsets of its rows; a null is an empty row."""
+    """The bytes of a string or binary column and the n + 1 offsets of its rows; a null is an empty row."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
-        column = column.fill_null("")
-    wide = pa.types.is_large_string(column.type)
+        column = column.fill_null(pa.scalar("" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"", column.type))
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     _, offsets, data = column.buffers()
     n = len(column)
     if not n:

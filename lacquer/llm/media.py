@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ship, stored
+from .common import blocks, ship, stored
 
 FRAME, RATE, GROUP = 576, 25, 12
 #: Boxes that hold boxes, with the bytes of their own fields before those.
@@ -91,23 +91,77 @@ def table(data: memoryview, body: int, stop: int, width: str) -> list[tuple[int,
 def tracks(data: bytes) -> list[dict]:
     """Codec, time scale, duration, sample count and the (start, end) byte ranges of the samples and key frames of each track.
 
-    Bytes that aren't a container give no tracks; a table that is cut off gives the samples it still states.
+    Samples of movie fragments follow those of the sample tables. Bytes that
+    aren't a container give no tracks; a table that is cut off gives the samples
+    it still states.
     """
-    view, found, own = memoryview(data), [], {}
+    view, found, own, defaults, moof, part = memoryview(data), [], {}, {}, 0, {}
     for path, body, stop in walk(view, 0, len(data)):
-        kind = path[-1]
+        kind, size = path[-1], stop - body
         if kind == b"trak":
-            found.append(own := {"codec": None, "scale": 0, "duration": 0, "tables": {}})
-        elif kind == b"mdhd" and own and stop - body >= 24:
-            long = view[body] == 1 and stop - body >= 36
+            found.append(own := {"codec": None, "scale": 0, "duration": 0, "id": None, "tables": {}, "runs": []})
+        elif kind == b"tkhd" and own and size >= 24:
+            own["id"] = struct.unpack_from(">I", view, body + (20 if view[body] == 1 else 12))[0]
+        elif kind == b"mdhd" and own and size >= 24:
+            long = view[body] == 1 and size >= 36
             own["scale"], own["duration"] = struct.unpack_from(">IQ", view, body + 20) if long else struct.unpack_from(">II", view, body + 12)
         elif len(path) > 1 and path[-2] == b"stsd" and own and own["codec"] is None:
             own["codec"] = kind.decode("latin-1")
         elif len(path) > 1 and path[-2] == b"stbl" and own:
             own["tables"][kind] = (body, stop)
+        elif kind == b"trex" and size >= 24:
+            track, _, duration, length, flags = struct.unpack_from(">5I", view, body + 4)
+            defaults[track] = (duration, length, flags)
+        elif kind == b"moof":
+            moof = body - 8
+        elif kind == b"tfhd" and size >= 8:
+            part = fragment_head(view[body:stop], moof, defaults)
+        elif kind == b"trun" and part and size >= 8:
+            for t in (t for t in found if t["id"] == part["track"]):
+                t["runs"] += fragment_run(view[body:stop], part)
     return [samples(view, t) for t in found]
 
 
+def optional(data: memoryview, at: int, flags: int, fields: tuple[tuple[int, str], ...]) -> tuple[list[int | None], int]:
+    """The fields whose flags are set, in order, None for the others and for what is cut off; and where they end."""
+    out: list[int | None] = []
+    for flag, width in fields:
+        if flags & flag and at + struct.calcsize(">" + width) <= len(data):
+            out.append(struct.unpack_from(">" + width, data, at)[0])
+            at += struct.calcsize(">" + width)
+        else:
+            out.append(None)
+    return out, at
+
+
+def fragment_head(data: memoryview, moof: int, defaults: dict) -> dict:
+    """Track, first byte and sample defaults of a track fragment."""
+    flags, track = struct.unpack_from(">II", data)
+    (base, _, duration, size, sample_flags), _ = optional(data, 8, flags, ((0x1, "Q"), (0x2, "I"), (0x8, "I"), (0x10, "I"), (0x20, "I")))
+    own = defaults.get(track, (0, 0, 0))
+    pick = lambda value, k: own[k] if value is None else value
+    base = moof if base is None else base
+    return {"track": track, "base": base, "next": base, "duration": pick(duration, 0), "size": pick(size, 1), "flags": pick(sample_flags, 2)}
+
+
+def fragment_run(data: memoryview, part: dict) -> list[tuple[int, int, int, bool]]:
+    """(start, end, duration, is a key frame) of the samples of a run."""
+    flags, n = struct.unpack_from(">II", data)
+    (offset, first_flags), at = optional(data, 8, flags, ((0x1, "i"), (0x4, "I")))
+    start = part["next"] if offset is None else part["base"] + offset
+    each = 4 * sum(bool(flags & f) for f in (0x100, 0x200, 0x400, 0x800))
+    out = []
+    # without fields of their own samples take no room, so that only the file's size bounds their number
+    for k in range(min(n, (len(data) - at) // each if each else 1 << 20)):
+        (duration, size, own_flags, _), at = optional(data, at, flags, ((0x100, "I"), (0x200, "I"), (0x400, "I"), (0x800, "I")))
+        size = part["size"] if size is None else size
+        state = own_flags if own_flags is not None else first_flags if k == 0 and first_flags is not None else part["flags"]
+        out.append((start, start + size, part["duration"] if duration is None else duration, not state & 0x10000))
+        start += size
+    part["next"] = start
+    return out
+
+
 def samples(view: memoryview, track: dict) -> dict:
     """The sample tables of one track, resolved to byte ranges."""
     where = track.pop("tables")
@@ -118,17 +172,20 @@ def samples(view: memoryview, track: dict) -> dict:
         fixed, n = struct.unpack_from(">II", view, body + 4)
         sizes = [fixed] * min(n, len(view) // fixed) if fixed else [x for (x,) in struct.iter_unpack(">I", view[body + 12 : body + 12 + 4 * min(n, (stop - body - 12) // 4)])]
     chunks = [x for (x,) in (read(b"co64", "Q") or read(b"stco", "I"))]
-    runs = read(b"stsc", "III")
+    groups = read(b"stsc", "III")
     starts: list[int] = []
-    for i, (first, per, _) in enumerate(runs):
-        last = runs[i + 1][0] if i + 1 < len(runs) else len(chunks) + 1
+    for i, (first, per, _) in enumerate(groups):
+        last = groups[i + 1][0] if i + 1 < len(groups) else len(chunks) + 1
         for at in chunks[max(0, first - 1) : max(0, last - 1)]:
             for size in sizes[len(starts) : len(starts) + per]:
                 starts.append(at)
                 at += size
     ranges = [(a, a + s) for a, s in zip(starts, sizes, strict=False)]
     keys = [x - 1 for (x,) in read(b"stss", "I")] if b"stss" in where else range(len(ranges))
-    return track | {"samples": len(ranges), "ranges": ranges, "keys": [ranges[k] for k in keys if 0 <= k < len(ranges)], "times": read(b"stts", "II")}
+    marked, runs = [ranges[k] for k in keys if 0 <= k < len(ranges)], [r for r in track.pop("runs") if r[1] <= len(view)]
+    track["duration"] = track["duration"] or sum(r[2] for r in runs)
+    ranges, marked = ranges + [r[:2] for r in runs], marked + [r[:2] for r in runs if r[3]]
+    return track | {"samples": len(ranges), "ranges": ranges, "keys": marked, "times": read(b"stts", "II")}
 
 
 ENCODED = "doc_id long, n_bytes long, media binary"
@@ -136,19 +193,17 @@ SCANNED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 
 
 def containers(documents: DataFrame) -> DataFrame:
-    """doc_id, the text's bytes, and a container of them padded with bytes 255 to a positive multiple of 576; null is empty."""
+    """doc_id, the text's bytes, and a container of them padded with bytes 255 to a positive multiple of 576; null is empty. Every row has its own, repeated or without id."""
     ship(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 512):
-                batch = whole.slice(lo, 512)
-                sizes, media = [], []
-                for text in batch.column(1):
-                    raw = b"" if not text.is_valid else text.as_buffer().to_pybytes()
-                    sizes.append(len(raw))
-                    media.append(encode(raw + b"\xff" * (-len(raw) % FRAME if raw else FRAME)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+        for batch in blocks(batches, "text", 4_000_000):
+            sizes, media = [], []
+            for text in batch.column(1):
+                raw = b"" if not text.is_valid else text.as_buffer().to_pybytes()
+                sizes.append(len(raw))
+                media.append(encode(raw + b"\xff" * (-len(raw) % FRAME if raw else FRAME)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return documents.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, ENCODED)
 
@@ -171,11 +226,9 @@ def index(media: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string()]
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 512):
-                batch = whole.slice(lo, 512)
-                rows = [one(d, n, b"" if not m.is_valid else m.as_buffer().to_pybytes()) for d, n, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        for batch in blocks(batches, "media", 8_000_000):
+            rows = [one(d, n, b"" if not m.is_valid else m.as_buffer().to_pybytes()) for d, n, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, SCANNED)
 

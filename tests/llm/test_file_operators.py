@@ -151,6 +151,38 @@ def test_media(docs, by_id, none):
     assert media.media_index(none).count() == 0
 
 
+def fragmented(sizes, keys):
+    """An MP4 of which all samples are in fragments: run by run, with sizes per sample or by default."""
+    full, box = media.full, media.box
+    stbl = box(b"stbl", media.STSD, *(full(k, bytes(4)) for k in (b"stts", b"stsc", b"stco")), full(b"stsz", bytes(8)))
+    mdia = box(b"mdia", full(b"mdhd", struct.pack(">IIIIHH", 0, 0, 50, 0, 0, 0)), media.HDLR, box(b"minf", stbl))
+    trak = box(b"trak", full(b"tkhd", struct.pack(">IIIII", 0, 0, 9, 0, 0), bytes(60)), mdia)
+    out = media.FTYP + box(b"moov", trak, box(b"mvex", full(b"trex", struct.pack(">5I", 9, 1, 2, 7, 0x10000))))
+    want = []
+    for own in sizes:
+        def moof(at, own=own):
+            rows = b"".join(struct.pack(">II", n, 0 if n in keys else 0x10000) for n in own)
+            runs = full(b"trun", struct.pack(">Ii", len(own), at), rows, flags=0x601) + full(b"trun", struct.pack(">I", 2), flags=0)
+            return box(b"moof", full(b"mfhd", bytes(4)), box(b"traf", full(b"tfhd", struct.pack(">I", 9), flags=0x20000), runs))
+        head = moof(len(moof(0)) + 8)
+        at = len(out) + len(head) + 8
+        for n in own:
+            want.append((at, at + n, n in keys))
+            at += n
+        want += [(at, at + 7, False), (at + 7, at + 14, False)]
+        out += head + box(b"mdat", bytes(sum(own) + 14))
+    return out, want
+
+
+def test_fragments():
+    data, want = fragmented([(5, 3, 11), (4, 5)], {5, 11})
+    (track,) = media.tracks(data)
+    assert track["ranges"] == [w[:2] for w in want] and track["keys"] == [w[:2] for w in want if w[2]]
+    assert (track["codec"], track["scale"], track["duration"]) == ("raw ", 50, 2 * len(want))
+    for cut in range(len(data)):
+        media.tracks(data[:cut])
+
+
 def test_containers_of_others():
     chunked = media.encode(bytes(576 * 5))
     assert media.tracks(b"") == media.tracks(b"no container at all") == []
