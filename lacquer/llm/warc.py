@@ -105,7 +105,7 @@ def parse(content: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of the archives: what it says, and whether a response's payload has the digest it states."""
+    """One row per record of the archives. A response's size and digest are those of the payload read back, and payload_ok tells whether its headers state the same; a revisit has its headers' ones."""
     ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +120,11 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     digest = head["warc-payload-digest"].removeprefix("sha1:")
                     cut = bytes(block[:4096]).index(b"\r\n\r\n") + 4
                     size = int(re.search(rb"Content-Length: ([0-9]+)", bytes(block[:cut]))[1])
-                    ok = kind != "response" or (len(block) - cut == size and base64.b32encode(hashlib.sha1(block[cut:]).digest()).decode() == digest)
+                    ok = True
+                    if kind == "response":  # what was read back counts, not what the header says
+                        read, digest = digest, base64.b32encode(hashlib.sha1(block[cut:]).digest()).decode()
+                        ok = len(block) - cut == size and read == digest
+                        size = len(block) - cut
                     refers = head.get("x-refers-to-page-id")
                     rows.append((int(head["x-page-id"]) if head["x-page-id"] else None, head["warc-target-uri"], size, digest, kind, None if refers is None else int(refers), ok))
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_()]
@@ -132,7 +136,12 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archived(pages: DataFrame, least: int = 0) -> DataFrame:
-    """Write the archives to the shared folder and return what they hold."""
+    """Write the archives to the shared folder and return what they hold.
+
+    Every row has a record: null urls and payloads are empty, a null page_id is a
+    response that nothing refers to, and rows that repeat a page_id each keep
+    their own payload's digest. Other columns are ignored.
+    """
     path = scratch(pages.sparkSession, "warc")
     write_archives(pages, path, least)
     return read_archives(pages.sparkSession, path)
