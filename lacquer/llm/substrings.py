@@ -274,7 +274,7 @@ def removals(front: DataFrame, window: int, words_held: int = 1_500_000) -> Data
 REPORT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
 
 
-def without_repeats(documents: DataFrame, window: int = 50, most: int = 20_000, with_text: bool = True) -> DataFrame:
+def without_repeats(documents: DataFrame, window: int = 50, most: int = 2_000, with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and (with_text) kept: the words left, joined by one space.
 
     A word is removed if it is in a window of `window` words of its document
