@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import exp, lgamma
 
 import numpy as np
 import pyarrow as pa
@@ -114,13 +115,37 @@ def probes(width: int, t: int) -> int:
 ROW_COST = 200.0
 
 
-def allocate(parts: list[list[int]], agree: np.ndarray, n: int, total: int) -> tuple[float, tuple[int, ...]]:
+def distance_odds(part: list[int], both: np.ndarray, n: int) -> np.ndarray:
+    """Of each distance between two fingerprints in this partition, from how often its bits are set, alone and two by two, in all fingerprints.
+
+    Bits that correlate spread the distances: a beta-binomial distribution has
+    their mean and variance. Without correlation it is that of independent bits.
+    """
+    p = both.diagonal()[part] / max(1, n)
+    p11 = both[np.ix_(part, part)] / max(1, n)
+    p10 = p[:, None] - p11
+    p00 = 1 - p[:, None] - p[None, :] + p11
+    differ = 2 * p * (1 - p)
+    joint = np.where(np.eye(len(part), dtype=bool), differ[:, None], 2 * (p11 * p00 + p10 * p10.T))
+    size, share = len(part), float(differ.mean())
+    spread = float((joint - np.outer(differ, differ)).sum())
+    plain = size * share * (1 - share)
+    excess = min(0.999, (spread / plain - 1) / (size - 1)) if plain > 0 and size > 1 else 0.0
+    if excess <= 1e-6:
+        odds = np.array([1.0])
+        for d in differ:
+            odds = np.append(odds * (1 - d), 0) + np.append(0, odds * d)
+        return odds
+    a, b = share * (1 - excess) / excess, (1 - share) * (1 - excess) / excess
+    beta = lambda x, y: lgamma(x) + lgamma(y) - lgamma(x + y)
+    return np.array([exp(lgamma(size + 1) - lgamma(k + 1) - lgamma(size - k + 1) + beta(k + a, size - k + b) - beta(a, b)) for k in range(size + 1)])
+
+
+def allocate(parts: list[list[int]], both: np.ndarray, n: int, total: int) -> tuple[float, tuple[int, ...]]:
     """Thresholds of -1 to 2 that add up to `total` at the least estimated rows and candidates of one fingerprint, and that cost."""
     best: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
     for part in parts:
-        odds = np.array([1.0])  # of each distance between two fingerprints in this partition
-        for b in part:
-            odds = np.append(odds * agree[b], 0) + np.append(0, odds * (1 - agree[b]))
+        odds = distance_odds(part, both, n)
         new: dict[int, tuple[float, tuple[int, ...]]] = {}
         for used, (cost, ts) in best.items():
             for t in (-1, 0, 1, 2):
@@ -135,12 +160,10 @@ def allocate(parts: list[list[int]], agree: np.ndarray, n: int, total: int) -> t
 
 def plan(n: int, both: np.ndarray, distance: int) -> Plan:
     """The number of partitions, their bits and their thresholds that cost least for n fingerprints."""
-    p = both.diagonal() / max(1, n)
-    agree = p * p + (1 - p) * (1 - p)
     options = []
     for m in range(max(1, (distance + 1) // 3), distance + 2):
         parts = grouped_bits(both, n, m)
-        cost, ts = allocate(parts, agree, n, distance - m + 1)
+        cost, ts = allocate(parts, both, n, distance - m + 1)
         if ts:
             options.append((cost, Plan(tuple(map(tuple, parts)), ts)))
     return min(options, key=lambda x: x[0])[1]
@@ -256,6 +279,6 @@ def as_hex(fp: Column) -> Column:
 
 
 def deduplicate(documents: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
-    """All columns of the documents whose doc_id is the smallest of their component; rows with a null doc_id stay."""
+    """All columns of the documents whose doc_id is the smallest of their component; rows with a null doc_id stay, and so do all rows that repeat a doc_id that stays."""
     kept = clusters(documents, shingle, distance).where("doc_id = component_id").select("doc_id").distinct()
     return documents.join(kept, "doc_id", "left_semi").unionByName(documents.where("doc_id is null"))

@@ -293,6 +293,76 @@ def test_pipeline(spark):
     assert starts == ids[5]
 
 
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Null and repeated ids, null, blank and long texts, columns that operators might use themselves, and an empty table."""
+    import corpus_pipeline as P
+
+    spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    leak = "one two three four five six seven eight nine ten"
+    spark.createDataFrame([(1, leak.upper() + " eleven"), (None, None), (2, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    good = lambda i: f"the {i} garden of {i * 7} green trees stands by river {i * 13} and lake {i * 17} near town {i * 3} where {i * 5} people walk"
+    rows = [(i, good(i) if i % 2 else f"zz{i}!! qq## " * 9) for i in range(60)]
+    rows += [(None, good(1000)), (None, good(1000)), (None, None), (71, None), (72, " "), (73, ""), (75, good(75) + " bob@corp.example"), (75, good(76)), (77, good(78)), (None, leak + " " + good(90)), (78, (good(91) + " ") * 400)]
+    df = spark.createDataFrame([(d, t, "x", 1.5, "k") for d, t in rows], "doc_id long, text string, node string, score double, bucket string").repartition(3)
+    docs, sizes = df, []
+    for name, stage in P.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        if name != "packing":
+            assert docs.columns == df.columns
+            docs = docs.cache()
+            sizes.append(docs.count())
+    texts = [r.text for r in P.STAGES[3][1](spark, P.STAGES[2][1](spark, df, str(tmp_path)), str(tmp_path)).collect()]
+    assert len(texts) == len(rows) - 1 and sum(t is None for t in texts) == 2 and any(t and "[EMAIL]" in t for t in texts) and not any(t and "bob@" in t for t in texts)
+    near = P.STAGES[1][1](spark, df, str(tmp_path)).collect()
+    assert sum(r.doc_id is None for r in near) == 4  # rows without an id can't be told apart by it
+    assert {r.doc_id for r in near} >= {i for i in range(60) if i % 2} | {75, 77, 78}
+    assert sizes[0] >= sizes[1] >= sizes[2] == sizes[3] > 20
+    pieces = docs.collect()
+    assert sum(r.doc_tokens for r in pieces if r.start == 0) == sum(r.length for r in pieces)
+    for name, stage in P.STAGES:
+        empty = stage(spark, df.limit(0), str(tmp_path))
+        assert empty.count() == 0 and (name == "packing" or empty.columns == df.columns)
+
+
+def test_dual_descent_against_projected_gradient():
+    r = np.random.default_rng(3)
+    labels = r.integers(0, 2, 40)
+    rows = [np.unique(np.concatenate([r.integers(0, 30, 6), r.integers(30, 40, 3) + 10 * y])) for y in labels]
+    ratio, w, bias = quality.descend(rows, labels, 1.0, 3000, 1.0, 5)
+    counts = np.ones((2, 1 << quality.BITS))
+    for b, y in zip(rows, labels, strict=True):
+        counts[y, b] += 1
+    want = np.log(counts[1] / (labels.sum() + 2)) - np.log(counts[0] / ((1 - labels).sum() + 2))
+    assert np.allclose(ratio, want)
+    x = np.zeros((40, 60))
+    for i, b in enumerate(rows):
+        x[i, b] = want[b] / np.linalg.norm(want[b])
+    x = np.hstack([x[:, :50], np.ones((40, 1))])  # the bias is a feature of its own
+    y = 2 * labels - 1
+    most = 40 / (2 * np.bincount(labels, minlength=2))[labels]
+    q = (x * y[:, None]) @ (x * y[:, None]).T
+    alpha, step = np.zeros(40), 1 / np.linalg.eigvalsh(q).max()
+    for _ in range(60_000):
+        alpha = np.clip(alpha + step * (1 - q @ alpha), 0, most)
+    best = (x * y[:, None]).T @ alpha
+    primal = lambda v: 0.5 * v @ v + (most * np.maximum(0, 1 - y * (x @ v))).sum()
+    got = np.append(w[:50], bias)
+    assert abs(primal(got) - primal(best)) < 1e-3 * primal(best) and np.abs(got - best).max() < 0.02
+
+
+def test_rows_that_repeat_an_id_are_one_of_the_sample(spark):
+    rows = labelled(60, 4)
+    docs = spark.createDataFrame([(i, f"{t} {k}") for i, t, _ in rows for k in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    seen = []
+    fit_rows, quality.fit_rows = quality.fit_rows, lambda buckets, ys: seen.append(len(buckets)) or fit_rows(buckets, ys)
+    try:
+        scores = [quality.report(d, labels).where("doc_id is not null").toPandas().score.sort_values().tolist() for d in (docs, docs.repartition(7))]
+    finally:
+        quality.fit_rows = fit_rows
+    assert seen[0] == seen[1] <= 60 and np.allclose(*scores)
+
+
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
 @pytest.mark.parametrize("name", ["op1_decontamination", "op3_substrings", "op5_secrets", "op10_warc"])
 def test_sql_twins(spark, name):

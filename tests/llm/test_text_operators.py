@@ -458,3 +458,16 @@ def test_rows_without_or_with_one_id_are_sanitised_alike(spark):
     assert sorted(r.text for r in pii.sanitise(df).collect()) == sorted(["mail [EMAIL] now", "mail [EMAIL]", "xxxxx y", "w" * 300 + " " + "v" * 300 + " [EMAIL]"])
     empty = pii.sanitise(df.limit(0))
     assert empty.count() == 0 and empty.columns == df.columns
+
+
+def test_distance_odds_know_correlated_bits():
+    r = np.random.default_rng(5)
+    base = r.random((40_000, 64)) < 0.4
+    base[:, 8:16] = base[:, :1] ^ (r.random((40_000, 8)) < 0.1)  # eight bits that mostly go together
+    both = (base.T.astype(float) @ base).astype(float)
+    a, b = base[:20_000], base[20_000:]
+    for part, tied in ((list(range(8, 16)), True), (list(range(24, 32)), False)):
+        real = np.bincount((a[:, part] ^ b[:, part]).sum(1), minlength=9) / 20_000
+        odds = simhash.distance_odds(part, both, 40_000)
+        assert abs(odds.sum() - 1) < 1e-9 and abs(odds @ np.arange(9) - real @ np.arange(9)) < 0.1
+        assert abs(odds[:2].sum() - real[:2].sum()) < (0.12 if tied else 0.01)
