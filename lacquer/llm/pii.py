@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import blocks, ship, stored
+from .common import blocks, drop, ship, stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -188,7 +188,8 @@ def disclosing(documents: DataFrame, threshold: float, contexts: int) -> DataFra
     frequent terms meet no entity.
     """
     n = documents.count()
-    texts = stored(protected(documents), "protected").groupBy("digest").agg(F.count("*").alias("rows"), F.first("entities").alias("entities"), F.first("terms").alias("terms"))
+    found = stored(protected(documents), "protected")
+    texts = found.groupBy("digest").agg(F.count("*").alias("rows"), F.first("entities").alias("entities"), F.first("terms").alias("terms"))
     texts = stored(texts, "protected-texts")
     held = texts.select("digest", "rows", F.explode("entities").alias("entity"))
     entities = held.groupBy("entity").agg(F.sum("rows").alias("n_entity"), F.count("*").alias("n_texts")).where((F.col("n_texts") >= contexts) & (F.col("n_entity") < n)).drop("n_texts")
@@ -203,7 +204,10 @@ def disclosing(documents: DataFrame, threshold: float, contexts: int) -> DataFra
     shared = F.log2(F.col("n_both") * F.lit(float(n)) / (F.col("n_entity") * F.col("n_term")))
     judged = pairs.groupBy("entity", "term", "n_entity", "n_term").agg(F.sum("rows").alias("n_both"), F.count("*").alias("n_texts"))
     told = judged.where((F.col("n_texts") >= contexts) & (shared >= F.lit(threshold) * F.log2(F.lit(float(n)) / F.col("n_entity")) - 1e-9)).select("entity", "term")
-    return stored(pairs.join(told, ["entity", "term"], "left_semi").groupBy("digest").agg(F.collect_set("term").alias("terms")), "disclosing")
+    out = stored(pairs.join(told, ["entity", "term"], "left_semi").groupBy("digest").agg(F.collect_set("term").alias("terms")), "disclosing")
+    for table in (found, texts, entities, held, several, counts, pairs):
+        drop(documents.sparkSession, table)
+    return out
 
 
 def marked(documents: DataFrame, threshold: float, contexts: int, make: Callable[[pa.RecordBatch, list[tuple[list[Span], list[Span]]]], pa.RecordBatch], schema: str | T.StructType) -> DataFrame:

@@ -284,10 +284,13 @@ def test_near_duplicate_stage_against_brute_force(spark):
     kept = [x.doc_id for x in corpus_pipeline.near_duplicates(spark, df, "").collect()]
     assert kept.count(None) == 1 and len(kept) == len(set(kept))
     kept = {d for d in kept if d is not None}
-    assert not [(a, b) for a in kept for b in kept if a < b and alike(a, b)]
-    assert all(any(alike(d, k) for k in kept) for d in sets) and len(kept) < len(sets) - 100
-    few = [x.doc_id for x in near.deduplicate(df, some=3).collect()]
-    assert {d for d in few if d is not None} == kept
+    group = {d: d for d in sets}
+    for a, b in [(a, b) for a in sets for b in sets if a < b and alike(a, b)]:
+        low, high = sorted((group[a], group[b]))
+        group = {d: low if g == high else g for d, g in group.items()}
+    assert kept == {d for d, g in group.items() if d == g} and len(kept) < len(sets) - 100
+    for most in (1, 3):
+        assert {x.doc_id for x in near.deduplicate(df, most=most).collect()} - {None} == kept
     hashes, at = near.shingles(pa.array([t for _, t in rows], pa.string()), 5)
     assert np.diff(at).tolist() == [len(sets[d]) for d, _ in rows]
     full = [d for d in sets if sets[d]]
@@ -471,3 +474,19 @@ def test_distance_odds_know_correlated_bits():
         odds = simhash.distance_odds(part, both, 40_000)
         assert abs(odds.sum() - 1) < 1e-9 and abs(odds @ np.arange(9) - real @ np.arange(9)) < 0.1
         assert abs(odds[:2].sum() - real[:2].sum()) < (0.12 if tied else 0.01)
+
+
+def test_forests_of_sets():
+    r = random.Random(21)
+    for _ in range(40):
+        lists = [np.unique(np.array([r.randint(1, 30) for _ in range(r.randint(1, 20))], np.int64)) for _ in range(r.randint(2, 25))]
+        at = np.cumsum([0, *map(len, lists)])
+        edges = near.forest(np.concatenate(lists), at, np.arange(len(lists)), 0.4)
+        alike = lambda a, b: len(np.intersect1d(lists[a], lists[b])) >= 0.4 * len(np.union1d(lists[a], lists[b])) - 1e-9
+        assert all(alike(a, b) for u, v in edges for a, b in zip(u.tolist(), v.tolist(), strict=True))
+        group, want = list(range(len(lists))), list(range(len(lists)))
+        for g, pairs in ((group, [(a, b) for u, v in edges for a, b in zip(u.tolist(), v.tolist(), strict=True)]), (want, [(a, b) for a in range(len(lists)) for b in range(a) if alike(a, b)])):
+            for a, b in pairs:
+                low, high = sorted((g[a], g[b]))
+                g[:] = [low if x == high else x for x in g]
+        assert group == want and sum(len(u) for u, _ in edges) == len(lists) - len(set(want))
