@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from .common import drop, stored
@@ -37,3 +39,42 @@ def components(edges: DataFrame) -> DataFrame:
             drop(spark, old)
         links, labels = next_links, next_labels
     return labels
+
+
+def linked(rows: DataFrame, key: list[str], link: Callable[[DataFrame], DataFrame], most: int, largest: int) -> DataFrame:
+    """Edges (u, v) whose closure is that of all links within the groups of rows (key, n, id and more), where n is a group's size and largest that of the largest.
+
+    `link` gives edges of each cell (key, cell) whose closure is that of the
+    cell's links. A group of up to `most` is a cell. A larger one is dealt out in
+    blocks of about that size, and first each block meets block 0. What is in the
+    group's largest component then need not meet again: only the rest meets all
+    others, block by block. So a group of many copies costs about as much as its
+    size, and every pair of two components is compared.
+    """
+    spark = rows.sparkSession
+    own = rows.withColumn("cell", F.lit(0))
+    if largest <= most:
+        return link(own.drop("n"))
+    large = rows.where(F.col("n") > most)
+    blocks = F.ceil(F.col("n") / most).cast("int")
+    block = F.pmod(F.xxhash64("id", *key), blocks).cast("int")
+    first = large.withColumn("cell", F.explode(F.when(block == 0, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(block))))
+    edges = stored(link(own.where(F.col("n") <= most).unionByName(first).drop("n")), "edges")
+    found = stored(components(edges), "components")
+    at = large.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sizes = at.groupBy(*key, "component").agg(F.count("*").alias("size"))
+    main = sizes.groupBy(*key).agg(F.max_by("component", F.struct("size", "component")).alias("main"), (F.sum("size") - F.max("size")).alias("others")).where("others > 0")
+    state = stored(at.join(main, key).withColumn("rest", F.col("component") != F.col("main")).drop("component", "main"), "groups")
+    if state.isEmpty():
+        return edges
+    parts, chunks = F.ceil(F.col("others") / most).cast("int"), F.ceil(F.col("n") / most).cast("int")
+    part, chunk = F.pmod(F.xxhash64("id", *key, F.lit(1)), parts).cast("int"), F.pmod(F.xxhash64("id", *key), chunks).cast("int")
+    # cells of two parts of the rest, then of a part and a chunk of the main component
+    pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda x: F.least(x, part) * parts + F.greatest(x, part))
+    beside = F.transform(F.sequence(F.lit(0), chunks - 1), lambda c: parts * parts + part * chunks + c)
+    across = F.transform(F.sequence(F.lit(0), parts - 1), lambda x: parts * parts + x * chunks + chunk)
+    again = state.withColumn("cell", F.explode(F.when(F.col("rest"), F.concat(pairs, beside)).otherwise(across))).select(*own.drop("n").columns)
+    more = stored(link(again), "edges")
+    for table in (found, state):
+        drop(spark, table)
+    return edges.unionByName(more)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import ship, stored
-from .components import components
+from .components import components, linked
 
 SEED, WIDTH = 42, 64
 
@@ -217,16 +217,19 @@ def forest(fps: np.ndarray, ids: np.ndarray, distance: int) -> list[tuple[np.nda
 def links(nodes: DataFrame, distance: int = 4, most: int = 50_000) -> DataFrame:
     """Edges (u, v) between ids of nodes (fp, id) whose transitive closure is that of all links within the distance.
 
-    A bucket of over `most` fingerprints is dealt out in blocks, one group for
-    every two blocks, so that no task holds more than 2 * most of one bucket.
+    A bucket of over `most` fingerprints is dealt out in blocks
+    (components.linked), so that no task holds more than some 2 * most of one.
     """
     ship(nodes.sparkSession)
     p = plan(*bit_statistics(nodes), distance)
     rows = bucket_rows(nodes, p)
-    large = rows.groupBy("tag", "value").count().where(F.col("count") > most).select("tag", "value", F.ceil(F.col("count") / most).cast("int").alias("n"))
-    own = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda x: F.least(x, own) * F.col("n") + F.greatest(x, own))
-    dealt = rows.join(large, ["tag", "value"], "left").select("tag", "value", "fp", "id", F.explode(F.when(F.col("n").isNull(), F.array(F.lit(0))).otherwise(pairs)).alias("cell"))
+    sizes = rows.groupBy("tag", "value").agg(F.count("*").alias("n")).where("n > 1")
+    live = stored(rows.join(sizes, ["tag", "value"]), "buckets")
+    return linked(live, ["tag", "value"], lambda cells: within(cells, distance), most, live.agg(F.max("n")).first()[0] or 0)
+
+
+def within(cells: DataFrame, distance: int) -> DataFrame:
+    """Edges of a spanning forest of the links of each (tag, value, cell)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -257,7 +260,7 @@ def links(nodes: DataFrame, distance: int = 4, most: int = 50_000) -> DataFrame:
             yield found
 
     key = ["tag", "value", "cell"]
-    return dealt.select(*key, "fp", "id").repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "u long, v long")
+    return cells.select(*key, "fp", "id").repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "u long, v long")
 
 
 def clusters(documents: DataFrame, shingle: int = 4, distance: int = 4, most: int = 50_000) -> DataFrame:
