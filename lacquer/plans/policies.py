@@ -153,8 +153,9 @@ SQL = {
         SELECT event_id, sha256(CASE WHEN d = 0 THEN '<redacted>' WHEN d > 32 THEN '<truncated>' ELSE deep END) AS deep, sha256(CASE WHEN n > 256 THEN '<truncated>' ELSE zeros END) AS items,
         sha256(CASE WHEN n + 1 > 100 THEN '<truncated>' ELSE zeros END) AS nodes, sha256(CASE WHEN n > 90 THEN '<truncated>' ELSE s END) AS strings, sha256(CASE WHEN n > 256 THEN '<truncated>' ELSE k END) AS keys,
         CASE WHEN d = 0 THEN 32 WHEN d > 32 THEN 8 ELSE 0 END AS deep_reasons, CASE WHEN n > 256 THEN 4 ELSE 0 END AS items_reasons, least(d, 33) AS depth FROM t""",
-    "input_limits": f"""
-        WITH c AS (SELECT page_id, url, left(url, 52) AS u FROM pages)
+    # a name that the cut leaves without its sign of equality gets one, as any pair that is encoded again
+    "input_limits": r"""
+        WITH c AS (SELECT page_id, url, regexp_replace(left(url, 52), '([?&][^=&#]+)$', '\1=') AS u FROM pages)
         SELECT page_id, regexp_replace(u, '#.+$', '#****') AS url, CASE WHEN strlen(url) > 52 THEN 1 ELSE 0 END AS url_reasons, greatest(0, strlen(url) - 52) AS omitted,
         CASE WHEN strlen(url) + 5 > 52 THEN '<truncated>' ELSE '["get", "' || url || '&&"]' END AS argv, CASE WHEN strlen(url) + 5 > 52 THEN 1 ELSE 0 END AS argv_completion FROM c""",
     "output_limits": f"""
