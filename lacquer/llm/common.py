@@ -3,51 +3,16 @@
 from __future__ import annotations
 
 import ctypes
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from ..functions.scratch import drop as drop, scratch as scratch, stored as stored
 from ..functions.ship import ship as ship
 
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder that spark.checkpoint.dir names; where it is unset, a folder of our own, which only a local session has in common.
-
-    Raises RuntimeError on a cluster without such a folder.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="lacquer-ckpt-")
-        spark.sparkContext.setCheckpointDir(root)
-        root = spark.sparkContext.getCheckpointDir()
-    return f"{root.rstrip('/')}/lacquer/{tag}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it back, which cuts its lineage there."""
-    path = scratch(df.sparkSession, tag)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files of a table that stored() wrote and that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for f in {os.path.dirname(x) for x in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(conf).delete(path, True)
-
-
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column and the n + 1 offsets of its rows; a null is an empty row."""
     if isinstance(column, pa.ChunkedArray):

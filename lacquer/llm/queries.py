@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, media, pack, pii, quality, secrets, simhash, substrings, tokenfile, warc
+from . import centroids, decontaminate, media, pack, pii, quality, rules, secrets, simhash, substrings, tokenfile, trie, warc
 from .oracle import oracle_sql as oracle_sql
 
 
@@ -62,5 +62,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))[0]
+
+
+def op12_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return rules.judged(docs, rules.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_substrings, op4_quality, op5_secrets, op6_media, op7_packing, op8_pii, op9_simhash, op10_warc)}
+    every = (op1_decontamination, op2_token_files, op3_substrings, op4_quality, op5_secrets, op6_media, op7_packing, op8_pii, op9_simhash, op10_warc, op11_centroids, op12_rules, op13_trie)
+    return {f.__name__: f for f in every}
