@@ -26,12 +26,19 @@ def masked(value: Column, mask: Mask) -> Column:
     return F.when(value == "", F.lit("")).otherwise(written(value, mask))
 
 
+def utf8_start(text: Column, most: Column | int) -> Column:
+    """The first `most` bytes of a text less the part of a character at their end. A text that is no UTF-8 is made valid first."""
+    most = most if isinstance(most, Column) else F.lit(most)
+    starts = [F.substring(text.cast("binary"), F.lit(1), F.greatest(most - k, F.lit(0))).cast("string") for k in range(4)]
+    whole = [F.when(F.is_valid_utf8(s), s) for s in starts]
+    return F.coalesce(*whole, F.make_valid_utf8(starts[0]))
+
+
 def bounded(text: Column, most: Column | int) -> Column:
     """struct(text, truncated): the text cut at a character boundary to `most` bytes of UTF-8."""
     most = most if isinstance(most, Column) else F.lit(most)
-    start = F.rtrim(F.make_valid_utf8(F.substring(text.cast("binary"), F.lit(1), most).cast("string")), F.lit("\ufffd"))
     over = F.octet_length(text) > most
-    return F.struct(F.when(over, start).otherwise(text).alias("text"), over.alias("truncated"))
+    return F.struct(F.when(over, utf8_start(text, most)).otherwise(text).alias("text"), over.alias("truncated"))
 
 
 def by_level(value: Column, level: Column, policy: Policy, empty_too: bool = False) -> Column:

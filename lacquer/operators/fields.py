@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from ..functions.masks import by_level, escaped, masked, opaque, quoted, written
+from ..functions.masks import by_level, escaped, masked, opaque, quoted, utf8_start, written
 from ..functions.names import let, level_column
 from ..functions.policy import SECRET, Policy
 from .results import BIT, COMPLETE, EXHAUSTED, TRUNCATED, inspection, result, usage
@@ -96,8 +96,7 @@ def bounded_text(text: Column, policy: Policy) -> Column:
     most = policy.limits.max_output_bytes
     if most < len(CUT):
         return F.when(F.octet_length(text) <= most, text).when(text.isNotNull(), F.lit(""))
-    start = F.make_valid_utf8(F.substring(text.cast("binary"), 1, most - len(CUT)).cast("string"))
-    whole = F.regexp_replace(F.rtrim(start, F.lit("\ufffd")), r"\\(u(\{[0-9a-f]*)?)?$", "")
+    whole = F.regexp_replace(utf8_start(text, most - len(CUT)), r"\\(u(\{[0-9a-f]*)?)?$", "")
     return F.when(F.octet_length(text) <= most, text).otherwise(F.concat(whole, F.lit(CUT)))
 
 

@@ -11,59 +11,31 @@ read from a file.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.masks import escaped, opaque, quoted, written
+from ..functions.masks import escaped, opaque, written
 from ..functions.names import let, level_column
-from ..functions.policy import LEVELS, SECRET, Policy
-from .fields import bounded_text, field_text
+from ..functions.policy import SECRET, Policy
+from .annotations import Redaction, declared, field_level, own_redaction, part_level, register_redaction as register_redaction
+from .fields import CUT, bounded_text, field_text
 from .formats import redact_json
-from .results import inspection
-
-
-#: Redactions of user types: a value's Column to that of its text.
-Redaction = Callable[[Column], Column]
-_types: dict[str, Redaction] = {}
-
-
-def register_redaction(name: str, redaction: Redaction) -> None:
-    """Fields with metadata {"type": name} are shown as this function's Column from now on, in plans built after it."""
-    _types[name] = redaction
-
-
-def own_redaction(field: T.StructField) -> Redaction | None:
-    return _types.get((field.metadata or {}).get("type", ""))
-
-
-def part_level(field: T.StructField, which: str) -> int:
-    """The level declared for the items or entries of a field."""
-    return LEVELS.get((field.metadata or {}).get(which, ""), 0)
-
-
-def declared(field: T.StructField) -> int | str:
-    """The metadata's wish: a level number, 'json', 'skip', 'nested' or ''."""
-    wish = (field.metadata or {}).get("redact", "")
-    return LEVELS.get(wish, wish)
-
-
-def field_level(field: T.StructField, policy: Policy) -> int:
-    wish = declared(field)
-    return max(wish if isinstance(wish, int) else 0, policy.sensitivity_for(field.name))
+from .results import BIT, COMPLETE, EXHAUSTED, TRUNCATED, inspection, result, usage
+from .structures import NESTED, count_of, cut_pieces, exceeds, is_name, may_exceed, pieces_of, rendered
 
 
 def redact_columns(df: DataFrame, policy: Policy, masks: dict[str, Redaction] | None = None) -> DataFrame:
     """All columns, sensitive ones masked to strings; nested fields keep their shape; fields marked skip are dropped.
 
-    Null stays null except in high and secret columns, which are constants.
-    `masks` gives columns a mask of their own, a function of Column to Column.
+    Null stays null except in high and secret columns, which are constants. A
+    type's own redaction is for columns without a level. `masks` gives columns a
+    mask of their own, a function of Column to Column, which is the caller's word
+    on them and takes the place of whatever their level asks for.
     """
     out = []
     for f in df.schema.fields:
         if declared(f) == "skip" and not policy.disabled:
             continue
-        own = (masks or {}).get(f.name) or own_redaction(f)
+        own = (masks or {}).get(f.name) or (None if field_level(f, policy) else own_redaction(f))
         if own and not policy.disabled:
             out.append(own(F.col(f"`{f.name}`")).alias(f.name))
             continue
@@ -111,10 +83,13 @@ def shaped(value: Column, kind: T.DataType, policy: Policy, json: bool = False)
         return F.when(value.isNotNull(), F.struct(*parts)) if parts else F.lit(None)
     if isinstance(kind, T.ArrayType):
         return F.transform(value, lambda x: shaped(x, kind.elementType, policy))
-    if isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType):
-        if isinstance(kind.valueType, (T.StructType, T.ArrayType, T.MapType)):
-            return F.transform_values(value, lambda k, v: let(level_column(k, policy), lambda n: F.when(n == 0, F.to_json(shaped(v, kind.valueType, policy))).otherwise(opaque(n, policy))))
-        return F.transform_values(value, lambda k, v: let(level_column(k, policy), lambda n: F.when(v.isNull(), F.lit(None)).when(n == 0, v.cast("string")).otherwise(opaque(n, policy))))
+    if isinstance(kind, T.MapType):
+        if not is_name(kind.keyType):  # keys that are no names may hold anything, and say nothing about their values
+            return F.when(value.isNotNull(), F.lit(policy.opaque(SECRET)))
+        plain = (lambda v: F.to_json(shaped(v, kind.valueType, policy))) if isinstance(kind.valueType, NESTED) else lambda v: shaped(v, kind.valueType, policy).cast("string")
+        return F.transform_values(value, lambda k, v: let(level_column(k.cast("string"), policy), lambda n: F.when(v.isNull(), F.lit(None)).when(n == 0, plain(v)).otherwise(opaque(n, policy))))
+    if isinstance(kind, T.VariantType):
+        return redact_json(F.to_json(value), policy)["text"]
     return value
 
 
@@ -127,78 +102,33 @@ def _hidden_entries(entries: Column, least: int, policy: Policy) -> Column:
 
 
 def redact_struct_json(value: Column, kind: T.DataType, policy: Policy) -> Column:
-    """The shaped value as JSON text, or all of it as a secret where it is over the output limit."""
-    most = policy.limits.max_output_bytes
-    return let(F.to_json(shaped(value, kind, policy)), lambda t: F.when(F.octet_length(t) <= most, t).when(t.isNotNull(), F.lit(policy.opaque(SECRET))))
+    """The shaped value as JSON text, or all of it as a secret where it is over the output limit or the limits of nodes, items and depth."""
+    most, secret = policy.limits.max_output_bytes, F.lit(policy.opaque(SECRET))
+    text = let(F.to_json(shaped(value, kind, policy)), lambda t: F.when(F.octet_length(t) <= most, t).when(t.isNotNull(), secret))
+    count = count_of(value, kind, policy)
+    return text if policy.disabled or not may_exceed(count, policy) else F.when(value.isNotNull() & exceeds(count, policy), secret).otherwise(text)
 
 
-def debug_text(value: Column, kind: T.DataType, policy: Policy, name: str = "Record") -> Column:
-    """The value as structured text: Name { a: 1, b: "x" }, [1, 2], { "k": "v" }; null is None. Over the output limit its end gives way to a marker."""
-    return bounded_text(escaped(_debug(value, kind, policy, name)), policy)
-
-
-def _debug(value: Column, kind: T.DataType, policy: Policy, name: str) -> Column:
-    none = F.lit("None")
-    if isinstance(kind, T.StructType):
-        tuple_like = bool(kind.fields) and all(f.name == f"_{i}" for i, f in enumerate(kind.fields, 1))
-        parts, head = [], F.lit(name)
-        for f in kind.fields:
-            if declared(f) == "skip" and not policy.disabled:
-                continue
-            if declared(f) == "variant":
-                head = F.concat(F.lit(f"{name}::"), F.coalesce(value[f.name].cast("string"), none))
-                continue
-            level, inner = (0 if policy.disabled else field_level(f, policy)), value[f.name]
-            own = _debug_field(inner, f, policy)
-            if level >= 3:
-                own = F.lit(f'"{policy.opaque(level)}"')
-            elif level:  # the mask applies to the rendered text, quotes included, which is quoted again
-                own = quoted(written(own, policy.masks[level - 1]))
-            elif declared(f) == "json":
-                own = F.coalesce(quoted(redact_json(inner, policy)["text"]), none)
-            parts.append(own if tuple_like else F.concat(F.lit(f"{f.name}: "), own))
-        body = F.concat_ws(", ", *parts) if parts else F.lit("")
-        text = F.concat(head, F.lit("("), body, F.lit(")")) if tuple_like else F.concat(head, F.lit(" { "), body, F.lit(" }"))
-        return F.when(value.isNull(), none).otherwise(text)
-    if isinstance(kind, T.ArrayType):
-        items = F.transform(value, lambda x: _debug(x, kind.elementType, policy, name))
-        return F.when(value.isNull(), none).otherwise(F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]")))
-    if isinstance(kind, T.MapType):
-        return F.when(value.isNull(), none).otherwise(_debug_map(value, kind, policy, name))
-    if isinstance(kind, (T.StringType, T.DateType, T.TimestampType)):
-        return F.coalesce(quoted(value.cast("string")), none)
-    return F.coalesce(value.cast("string"), none)
-
-
-def _debug_field(value: Column, f: T.StructField, policy: Policy) -> Column:
-    """A field's value by its annotations; its own level is the caller's affair."""
-    name = (f.metadata or {}).get("name", f.name)
-    redaction = None if policy.disabled else own_redaction(f)
-    items, entries = (0, 0) if policy.disabled else (part_level(f, "items"), part_level(f, "entries"))
-    if redaction:
-        own = F.coalesce(redaction(value).cast("string"), F.lit("None"))
-    elif items and isinstance(f.dataType, T.ArrayType):
-        one = lambda x: F.lit(f'"{policy.opaque(items)}"') if items >= 3 else quoted(written(_debug(x, f.dataType.elementType, policy, name), policy.masks[items - 1]))
-        own = F.when(value.isNull(), "None").otherwise(F.concat(F.lit("["), F.array_join(F.transform(value, one), ", "), F.lit("]")))
-    elif isinstance(f.dataType, T.MapType):
-        own = F.when(value.isNull(), "None").otherwise(_debug_map(value, f.dataType, policy, name, entries))
-    else:
-        own = _debug(value, f.dataType, policy, name)
-    return F.when(value.isNotNull(), F.concat(F.lit("Some("), own, F.lit(")"))).otherwise(own) if (f.metadata or {}).get("optional") else own
+def redact_value(value: Column, kind: T.DataType, policy: Policy, name: str = "Record") -> Column:
+    """The result of a structured value: its text as in debug_text, and what it took of nodes, items and depth."""
+    most = policy.limits.max_output_bytes
 
+    def whole(r: Column) -> Column:
+        over = F.octet_length(r["text"]) > most
+        completion = F.when(over & F.lit(most < len(CUT)), EXHAUSTED).when(over | r["refused"], TRUNCATED).otherwise(COMPLETE)
+        why = F.when(r["deep"], BIT["depth_limit_reached"]).when(r["refused"], BIT["traversal_limit_reached"]).otherwise(0) + F.when(over, BIT["output_limit_reached"]).otherwise(0)
+        return let(bounded_text(r["text"], policy), lambda t: result(t, policy, completion, why, usage(output=F.octet_length(t), nodes=r["nodes"], items=r["items"], depth=r["depth"])))
 
-def _debug_map(value: Column, kind: T.MapType, policy: Policy, name: str, least: int = 0) -> Column:
-    def entry(e: Column) -> Column:
-        key, own = e["key"].cast("string"), _debug(e["value"], kind.valueType, policy, name)
+    return let(rendered(value, kind, policy, name), whole)
 
-        def shown(level: Column) -> Column:
-            low = F.when(level == 1, written(own, policy.masks[0])).otherwise(written(own, policy.masks[1]))
-            return F.when(level == 0, own).when(level >= 3, F.concat(F.lit('"'), opaque(level, policy), F.lit('"'))).otherwise(quoted(low))
 
-        return F.concat(quoted(key), F.lit(": "), own if policy.disabled else let(F.greatest(level_column(key, policy), F.lit(least)), shown))
+def debug_text(value: Column, kind: T.DataType, policy: Policy, name: str = "Record") -> Column:
+    """The value as structured text: Name { a: 1, b: "x" }, [1, 2], { "k": "v" }; null is None.
 
-    entries = F.transform(F.map_entries(value), entry)
-    return F.when(F.size(value) == 0, F.lit("{}")).otherwise(F.concat(F.lit("{"), F.array_join(entries, ", "), F.lit("}")))
+    Where its nodes, items or depth go over their limits it ends there with a
+    marker, and over the output limit its end gives way to one.
+    """
+    return let(rendered(value, kind, policy, name)["text"], lambda t: bounded_text(t, policy))
 
 
 def schema_level(kind: T.DataType, policy: Policy) -> int:
@@ -217,22 +147,35 @@ def inspect_columns(df: DataFrame, policy: Policy) -> DataFrame:
 
 
 def inspect_struct(value: Column, kind: T.DataType, policy: Policy) -> Column:
-    """The inspection of a structured value: its schema's level, and that of the keys of its maps."""
-    levels = [F.lit(schema_level(kind, policy)), *_map_levels(value, kind, policy)]
-    return F.when(value.isNotNull(), inspection(F.greatest(*levels, F.lit(0)), policy))
+    """The inspection of a structured value: its schema's level, that of the keys of its maps, and whether it is within the limits."""
+    levels = F.greatest(F.lit(schema_level(kind, policy)), *_map_levels(value, kind, policy), F.lit(0))
+    count = count_of(value, kind, policy)
+    used = usage(nodes=count.nodes, items=count.items, depth=count.depth)
+    if policy.disabled or not may_exceed(count, policy):
+        return F.when(value.isNotNull(), inspection(levels, policy, used=used))
+    over, deep = exceeds(count, policy), cut_pieces(pieces_of(value, kind, policy, ""), policy)["deep"]
+    why = F.when(~over, 0).when(deep, BIT["depth_limit_reached"]).otherwise(BIT["traversal_limit_reached"])
+    return F.when(value.isNotNull(), inspection(levels, policy, ~over, why, used))
 
 
 def _map_levels(value: Column, kind: T.DataType, policy: Policy) -> list[Column]:
+    """The highest level of the keys of each map under a value, a secret for keys that are no names."""
     if isinstance(kind, T.StructType):
         return [c for f in kind.fields if declared(f) != "skip" for c in _map_levels(value[f.name], f.dataType, policy)]
     if isinstance(kind, T.ArrayType):
-        inner = _map_levels(F.lit(None).cast(kind.elementType), kind.elementType, policy)
-        return [F.array_max(F.transform(value, lambda x: F.greatest(*_map_levels(x, kind.elementType, policy), F.lit(0))))] if inner else []
+        return _levels_within(value, kind.elementType, policy)
     if isinstance(kind, T.MapType):
-        return [F.array_max(F.transform(F.map_keys(value), lambda k: level_column(k.cast("string"), policy)))]
+        own = F.array_max(F.transform(F.map_keys(value), lambda k: level_column(k.cast("string"), policy))) if is_name(kind.keyType) else F.when(F.size(value) > 0, F.lit(SECRET))
+        return [own, *_levels_within(F.map_values(value), kind.valueType, policy)]
     return []
 
 
+def _levels_within(values: Column, kind: T.DataType, policy: Policy) -> list[Column]:
+    if not _map_levels(F.lit(None).cast(kind), kind, policy):
+        return []
+    return [F.array_max(F.transform(values, lambda x: F.greatest(*_map_levels(x, kind, policy), F.lit(0))))]
+
+
 def sensitivity_report(df: DataFrame, keys: list[str], names: dict[str, Column], policy: Policy) -> DataFrame:
     """Per group and in total (rollup of keys): rows, and for each measure the highest level and the sensitive rows.
 

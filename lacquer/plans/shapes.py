@@ -94,6 +94,84 @@ def debug_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", frames.debug_text(_order(), ORDER, standard(), "Order").alias("text"))
 
 
+#: Few items, nodes and levels, so that rows of small structures are within and over each.
+NARROW = standard().builder().limits(max_items=5, max_nodes=14, max_depth=3).build()
+
+
+def _basket(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, T.DataType]:
+    """Orders with up to seven tags and three lines, a third of them with a structure of four levels."""
+    key = F.col("o_orderkey")
+    upto = lambda n: F.filter(F.sequence(F.lit(1), F.lit(7)), lambda i: i <= n)
+    deep = F.when((F.floor(key / 32) % 3) == 0, F.struct(F.struct(F.struct(key.alias("y")).alias("z")).alias("x")))
+    lines = F.transform(upto(F.floor(key / 8) % 4), lambda i: F.struct(i.alias("a"), key.alias("password")))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.struct(key.alias("id"), upto(key % 8).alias("tags"), lines.alias("lines"), deep.alias("deep")).alias("v"))
+    return rows, rows.schema["v"].dataType
+
+
+def structure_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structures within and over the limits of items, nodes and depth: where the text ends, why, and what an inspection says."""
+    rows, kind = _basket(spark, sf_dir)
+    r, i = frames.redact_value(F.col("v"), kind, NARROW, "Basket"), frames.inspect_struct(F.col("v"), kind, NARROW)
+    found = rows.select("o_orderkey", r.alias("r"), i.alias("i"))
+    return found.select("o_orderkey", "r.text", F.col("r.completion").cast("int").alias("completion"), "r.reasons", F.col("r.usage.items").alias("n_items"), F.col("i.ok").alias("ok"), F.col("i.max_sensitivity").cast("int").alias("level"))
+
+
+def structure_limits_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As JSON such a value is a secret as a whole."""
+    rows, kind = _basket(spark, sf_dir)
+    return rows.select("o_orderkey", frames.redact_struct_json(F.col("v"), kind, NARROW).alias("text"))
+
+
+DEEPEST = standard().limits.max_depth
+
+
+def deep_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chain of as many levels as the limit allows, and one of a level more."""
+    value = F.struct(F.col("o_orderkey").alias("n"))
+    for _ in range(DEEPEST - 1):
+        value = F.struct(value.alias("n"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", value.alias("within"), F.struct(value.alias("n")).alias("over"))
+    return rows.select("o_orderkey", *(frames.debug_text(F.col(c), rows.schema[c].dataType, standard(), "n").alias(c) for c in ("within", "over")))
+
+
+#: Maps whose keys are no strings, with secrets in their values.
+KEYED = T.StructType(
+    [
+        T.StructField("by_number", T.MapType(T.IntegerType(), T.StructType([T.StructField("password", T.StringType()), T.StructField("n", T.LongType())]))),
+        T.StructField("by_day", T.MapType(T.DateType(), T.ArrayType(T.MapType(T.StringType(), T.StringType())))),
+        T.StructField("by_struct", T.MapType(T.StructType([T.StructField("token", T.StringType())]), T.StringType())),
+    ]
+)
+
+
+def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    value = F.struct(
+        F.create_map((key % 7).cast("int"), F.struct(F.concat(F.lit("hunter"), key).alias("password"), key.alias("n"))).alias("by_number"),
+        F.create_map(F.lit("2020-02-02").cast("date"), F.array(F.create_map(F.lit("api_key"), status, F.lit("plain"), status))).alias("by_day"), F.create_map(F.struct(status.alias("token")), status).alias("by_struct"),
+    )
+    return table(spark, sf_dir, "orders").select("o_orderkey", value.cast(KEYED).alias("v"), F.array(value.cast(KEYED)).alias("vs"))
+
+
+def keyed_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values under keys of numbers and days are redacted as under names; where keys are structures all of the map is a secret."""
+    rows = _keyed(spark, sf_dir)
+    shaped = frames.redact_columns(rows, standard())
+    out = shaped.select("o_orderkey", F.to_json("v").alias("shaped"), F.to_json(F.col("vs")[0]).alias("item"))
+    text = rows.select("o_orderkey", frames.debug_text(F.col("v"), KEYED, standard(), "Keyed").alias("text"), frames.inspect_struct(F.col("v"), KEYED, standard())["max_sensitivity"].cast("int").alias("level"))
+    return out.join(text, "o_orderkey")
+
+
+def typed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A type's own redaction gives way to the level of a field's name, at the top and within a structure."""
+    kind = T.StructField("kind", T.StringType(), metadata={"type": "order_priority"})
+    secret = T.StructField("password", T.StringType(), metadata={"type": "order_priority"})
+    schema = T.StructType([T.StructField("o_orderkey", T.LongType()), kind, secret, T.StructField("who", T.StructType([kind, secret]))])
+    priority = F.col("o_orderpriority")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", priority.alias("kind"), priority.alias("password"), F.struct(priority.alias("kind"), priority.alias("password")).alias("who")).to(schema)
+    return frames.redact_columns(rows, standard()).select("o_orderkey", "kind", "password", F.to_json("who").alias("who"))
+
+
 def shaped_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same as JSON, opaque as a whole where it is over the output limit."""
     tight = standard().builder().limits(max_output_bytes=312).build()
@@ -165,10 +243,18 @@ def merged_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ALL = (
-    json_value, nested_urls, json_bodies, ndjson_bodies, multipart_bodies, other_bodies, debug_shapes, shaped_json, inspections, batch_formats, composed_formats, composed_row,
+    json_value, nested_urls, json_bodies, ndjson_bodies, multipart_bodies, other_bodies, debug_shapes, structure_limits, structure_limits_json, deep_structures, keyed_maps, typed_columns, shaped_json, inspections, batch_formats, composed_formats, composed_row,
     resolved_handles, merged_summaries,
 )
 
+#: Of each order the tags, lines and deep structure of _basket, and where the limits end: 1 in the tags, 2 before a line, 3 in the third line, 4 at the deep structure's field, 5 at its depth, 0 nowhere.
+BASKET = """
+    WITH o AS (SELECT o_orderkey, o_orderkey % 8 AS t, o_orderkey // 8 % 4 AS m, o_orderkey // 32 % 3 = 0 AS deep FROM orders),
+    e AS (SELECT *, CASE WHEN t > 5 THEN 1 WHEN m > 5 - t THEN 2 WHEN m = 3 THEN 3 WHEN m = 2 AND deep THEN 4 WHEN deep THEN 5 ELSE 0 END AS stop FROM o),
+    p AS (SELECT *, 'Basket { id: ' || o_orderkey || ', tags: [' || array_to_string(range(1, least(t, 5) + 1), ', ') AS tags,
+        array_to_string(['lines { a: ' || i || ', password: "<redacted>" }' FOR i IN range(1, least(m, greatest(5 - t, 0), 2) + 1)], ', ') AS body FROM e)"""
+_CHAIN = "n { n: "
+
 ESCAPED = "replace(replace(replace({0}, chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t')"
 ITEMS = """
     WITH c AS (SELECT conv_id, turn, (conv_id * 3 + turn) % 14 AS k FROM conversations),
@@ -199,6 +285,17 @@ SQL = {
         SELECT page_id, CASE page_id % 5 WHEN 0 THEN '<binary ' || 2 * (page_id % 90 + 1) || ' bytes>' WHEN 1 THEN 'page\\t' || url WHEN 2 THEN '' WHEN 3 THEN '<redacted: unsupported HTTP body>' ELSE '<redacted: invalid content type body>' END AS text,
         CASE page_id % 5 WHEN 3 THEN 256 WHEN 4 THEN 128 ELSE 0 END AS reasons FROM pages""",
     "debug_shapes": f"SELECT o_orderkey, {ORDER_TEXT} AS text FROM orders",
+    "structure_limits": BASKET + """
+        SELECT o_orderkey, tags || CASE WHEN stop <> 1 THEN '], lines: [' || body ELSE '' END || CASE stop WHEN 0 THEN '], deep: None }' WHEN 1 THEN ', <truncated><truncated>' WHEN 2 THEN CASE WHEN body = '' THEN '' ELSE ', ' END || '<truncated><truncated>'
+            WHEN 3 THEN ', lines { a: 3, ...: <truncated><truncated>' WHEN 4 THEN '], deep: deep { ...: <truncated><truncated>' ELSE '], deep: deep { x: x { z: <truncated>' END AS text,
+        CASE stop WHEN 0 THEN 0 ELSE 1 END AS completion, CASE stop WHEN 0 THEN 0 WHEN 5 THEN 8 ELSE 4 END AS reasons, CASE stop WHEN 1 THEN 5 ELSE t + least(m, 5 - t) END AS n_items, stop = 0 AS ok, CASE stop WHEN 0 THEN 4 END AS level FROM p""",
+    "structure_limits_json": BASKET + """
+        SELECT o_orderkey, CASE WHEN stop > 0 THEN '<redacted>' ELSE '{"id":' || o_orderkey || ',"tags":[' || array_to_string(range(1, t + 1), ',') || '],"lines":[' || array_to_string(['{"a":' || i || ',"password":"<redacted>"}' FOR i IN range(1, m + 1)], ',') || ']}' END AS text FROM p""",
+    "deep_structures": f"SELECT o_orderkey, '{_CHAIN * DEEPEST}' || o_orderkey || '{' }' * DEEPEST}' AS within, '{_CHAIN * DEEPEST}<truncated>' AS over FROM orders",
+    "keyed_maps": """
+        WITH k AS (SELECT o_orderkey, '{"by_number":{"' || (o_orderkey % 7) || '":"{\\"password\\":\\"<redacted>\\",\\"n\\":' || o_orderkey || '}"},"by_day":{"18294":"[{\\"api_key\\":\\"****\\",\\"plain\\":\\"' || o_orderstatus || '\\"}]"},"by_struct":"<redacted>"}' AS t, o_orderstatus AS s FROM orders)
+        SELECT o_orderkey, t AS shaped, t AS item, 'Keyed { by_number: {"' || (o_orderkey % 7) || '": by_number { password: "<redacted>", n: ' || o_orderkey || ' }}, by_day: {"2020-02-02": [{"api_key": "****", "plain": "' || s || '"}]}, by_struct: {?: "<redacted>"} }' AS text, 4 AS level FROM k""",
+    "typed_columns": """SELECT o_orderkey, 'priority ' || left(o_orderpriority, 1) AS kind, '<redacted>' AS password, '{"kind":"priority ' || left(o_orderpriority, 1) || '","password":"<redacted>"}' AS who FROM orders""",
     "shaped_json": """
         WITH s AS (SELECT o_orderkey, '{"kind":"' || CASE WHEN o_orderkey % 2 = 0 THEN 'Even' ELSE 'Odd' END || '","id":' || o_orderkey || ',"status":"****","raw":"{\\"token\\":\\"****\\",\\"k\\":' || o_orderkey || '}","place":{"_1":' || o_custkey || ',"_2":"' || o_orderstatus
             || '"},"tags":["*******"],"plain":[' || o_orderkey || ',' || (o_orderkey + 1) || '],"by_key":{"a":"' || o_orderkey || '","api_key":"****"},"entries":{"' || o_orderstatus || '":"****"}'
