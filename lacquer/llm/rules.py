@@ -84,7 +84,7 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def trusted(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents of trusted ids. Only texts that pass a bit filter of the ids travel to the join, whose hot ids Spark splits."""
+    """The documents of trusted ids. Only texts that pass a bit filter of the ids travel, to a join by sorting at any size, whose hot ids Spark splits."""
     spark = documents.sparkSession
     ids = trusted_ids(labels)
     flags = spark.sparkContext.broadcast(bit_filter(ids))
@@ -93,7 +93,7 @@ def trusted(documents: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(flagged(flags.value, batch.column(0).to_numpy(zero_copy_only=False))))
 
-    return _valid(documents.where("doc_id is not null")).mapInArrow(run, "doc_id long, text string").join(ids, "doc_id", "left_semi")
+    return _valid(documents.where("doc_id is not null")).mapInArrow(run, "doc_id long, text string").join(ids.hint("merge"), "doc_id", "left_semi")
 
 
 def log_ratios(target: np.ndarray, raw: np.ndarray, prior: float = PRIOR) -> np.ndarray:
