@@ -1,9 +1,9 @@
 """Prefix trie of conversations: balanced parentheses per shard, whose shared spines are merged.
 
 A node is a distinct sequence of first turns, known by its depth and two XORs
-of hashes of its turns and their places. Nodes over more than `most` turns make
+of hashes of its turns and their places. Nodes over more turns than a bound make
 the spine that shards share; what hangs below it falls into subtrees of at most
-`most` nodes, and a shard is a forest of such subtrees in one task. A shard is
+that many nodes, and a shard is a forest of such subtrees in one task. A shard is
 written as a sequence of parentheses in depth-first order; findclose, over a
 tree of the least and greatest excess of its blocks, gives the end of a
 subtree, a count of leaf pairs "()" its leaves, and running sums its savings.
@@ -296,7 +296,7 @@ def merged_spine(spine: DataFrame, hung: DataFrame) -> DataFrame:
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
-def nodes(conversations: DataFrame, most: int = 20_000) -> DataFrame:
+def nodes(conversations: DataFrame, most: int | None = None, least: int = 500, branches: int = 50_000) -> DataFrame:
     """conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens and ends_sha256 of every node of the trie of the rebuilt conversations.
 
     Turns are in the order of turn, nulls first, and those of one turn in that of
@@ -304,11 +304,17 @@ def nodes(conversations: DataFrame, most: int = 20_000) -> DataFrame:
     own. Null roles and texts are empty; rows with a null conv_id belong to no
     conversation. conv_id % 20 keeps the sign, as in SQL. No conversations, no
     root. Prefixes are equal if 128 bits of hashes of their turns are.
+
+    A subtree below the spine has at most `most` nodes; by default 500, or the
+    turns by 50,000, so that the contracted spine, which is one task, never has
+    over 100,000 nodes, and the share of a subtree in the whole stays small.
     """
     spark = conversations.sparkSession
     ship(spark)
     turns, convs = rebuilt(pages(conversations))
     rows = prefixes(turns, convs)
+    if most is None:
+        most = max(least, (convs.agg(F.sum(F.col("len") + 1)).first()[0] or 0) // branches)
     every = stored(rows.withColumn("size", F.col("len") - F.col("d") + 1).groupBy(*KEY).agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs"), *(F.max(c).alias(c) for c in ("v", "w", "words")), F.sum("size").alias("size")), "nodes")
     spine, light = every.where(F.col("size") > most).drop("size"), every.where(F.col("size") <= most)
     above = spine.select((F.col("d") + 1).alias("d"), F.col("x").alias("px"), F.col("y").alias("py"))
