@@ -27,8 +27,10 @@ from .suffixes import suffix_array
 
 #: Words of the prefixes that suffixes are grouped by, shortest first; a whole window comes last.
 PREFIXES = (8, 16, 32)
-FRONT = "key long, doc_id long, start int, n int, content binary"
-NAMES = ["key", "doc_id", "start", "n", "content"]
+FRONT = "key long, doc_id long, version long, start int, n int, content binary"
+NAMES = ["key", "doc_id", "version", "start", "n", "content"]
+#: What tells rows apart: a doc_id and a hash of it and its text, so that texts that share a doc_id are each judged by their own words.
+ROW = ["doc_id", "version"]
 
 
 class Windows:
@@ -83,16 +85,16 @@ class Windows:
         return first, np.diff(np.append(first, len(which)))
 
 
-COUNTS = "level int, key long, doc_id long, n int"
+COUNTS = "level int, key long, doc_id long, version long, n int"
 
 
-def _counts(level: int, key: np.ndarray, docs: np.ndarray, ids: pa.Array) -> pa.RecordBatch:
-    """Rows (level, key, doc_id, n) of runs by key and document."""
+def _counts(level: int, key: np.ndarray, docs: np.ndarray, part: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows (level, key, doc_id, version, n) of runs by key and row of a batch (doc_id, text, version)."""
     by = np.lexsort((key, docs))
     key, docs = key[by], docs[by]
     first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (docs[1:] != docs[:-1])][: len(key)])
     n = np.diff(np.append(first, len(key))).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(first), level, np.int32)), pa.array(key[first].view(np.int64)), ids.take(pa.array(docs[first])), pa.array(n)], ["level", "key", "doc_id", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(first), level, np.int32)), pa.array(key[first].view(np.int64)), *(part.column(k).take(pa.array(docs[first])) for k in (0, 2)), pa.array(n)], ["level", "key", *ROW, "n"])
 
 
 def _totals(rows: DataFrame, most: int) -> DataFrame:
@@ -101,41 +103,47 @@ def _totals(rows: DataFrame, most: int) -> DataFrame:
     return totals.select("level", "key", (F.col("n") > most).alias("split"))
 
 
+def versions(documents: DataFrame) -> DataFrame:
+    """doc_id, text and version."""
+    return documents.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("version"))
+
+
 def partitions(documents: DataFrame, window: int, most: int) -> tuple[DataFrame, list[DataFrame]]:
-    """doc_id with the prefixes that group its suffixes with those of other documents (`keys`) and the shorter ones that are split (`split`); and the written tables that this reads."""
+    """Rows (doc_id, version) with the prefixes that group their suffixes with those of other documents (`keys`) and the shorter ones that are split (`split`); and the written tables that this reads."""
+    documents = versions(documents)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches, "text", 4_000_000):
             w = Windows(part, window)
             key = w.grouped(np.zeros(0, np.uint64))
             at, _ = w.runs(key, np.arange(len(key)))
-            yield _counts(0, key[at], w.docs[at], part.column(0))
+            yield _counts(0, key[at], w.docs[at], part)
 
     def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches, "text", 4_000_000):
             w = Windows(part.select([0, 1]), window)
-            split = np.unique(pc.list_flatten(part.column(2)).to_numpy(zero_copy_only=False)).view(np.uint64)
+            split = np.unique(pc.list_flatten(part.column(3)).to_numpy(zero_copy_only=False)).view(np.uint64)
             which = np.flatnonzero(np.isin(w.grouped(np.zeros(0, np.uint64)), split))
             for level in range(1, len(w.lengths)):
                 key = w.keys(level, which)
                 at, _ = w.runs(key, which)
-                yield _counts(level, key[at], w.docs[which[at]], part.column(0))
+                yield _counts(level, key[at], w.docs[which[at]], part)
 
     rows = stored(documents.mapInArrow(first, COUNTS), "prefixes")
     found = _totals(rows, most)
     split = stored(found.where("split").select("level", "key"), "split")
     pairs, tables = rows.join(found, ["level", "key"]), [rows, split]
     if not split.isEmpty():
-        wide = rows.join(split, ["level", "key"]).groupBy("doc_id").agg(F.collect_list("key").alias("split"))
-        tables.append(more := stored(documents.join(wide, "doc_id").select("doc_id", "text", "split").mapInArrow(longer, COUNTS), "prefixes"))
+        wide = rows.join(split, ["level", "key"]).groupBy(*ROW).agg(F.collect_set("key").alias("split"))
+        tables.append(more := stored(documents.join(wide, ROW).select("doc_id", "text", "version", "split").mapInArrow(longer, COUNTS), "prefixes"))
         # a whole window is never split: its suffixes are equal
         last = len([p for p in PREFIXES if p < window])
         pairs = pairs.unionByName(more.join(_totals(more, most).withColumn("split", F.col("split") & (F.col("level") < last)), ["level", "key"]))
-    return pairs.groupBy("doc_id").agg(F.collect_list("key").alias("keys"), F.collect_list(F.when(F.col("split"), F.col("key"))).alias("split")), tables
+    return pairs.groupBy(*ROW).agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("split"), F.col("key"))).alias("split")), tables
 
 
 def stretches(own: DataFrame, window: int, remembered: int = 400_000) -> DataFrame:
-    """From (doc_id, text, keys, split): stretches of text with n suffixes of one group each.
+    """From (doc_id, text, version, keys, split): stretches of text with n suffixes of one group each.
 
     Where the task has seen the same stretch in a smaller document, its content
     stays behind: such a row says that all its windows are to be removed.
@@ -145,7 +153,7 @@ def stretches(own: DataFrame, window: int, remembered: int = 400_000) -> DataFra
         seen: dict[bytes, int] = {}
         for part in blocks(batches, "text", 4_000_000):
             w = Windows(part.select([0, 1]), window)
-            keys, split = (np.unique(pc.list_flatten(part.column(k)).to_numpy(zero_copy_only=False).astype(np.int64)).view(np.uint64) for k in (2, 3))
+            keys, split = (np.unique(pc.list_flatten(part.column(k)).to_numpy(zero_copy_only=False).astype(np.int64)).view(np.uint64) for k in (3, 4))
             group = w.grouped(split)
             which = np.flatnonzero(np.isin(group, keys))
             if not len(which):
@@ -153,7 +161,7 @@ def stretches(own: DataFrame, window: int, remembered: int = 400_000) -> DataFra
             first, n = w.runs(group[which], which)
             lo = w.positions[which[first]]
             doc = w.docs[which[first]]
-            ids = part.column(0).to_numpy(zero_copy_only=False)[doc]
+            ids, version = (part.column(k).to_numpy(zero_copy_only=False)[doc] for k in (0, 2))
             begin, stop = w.starts[lo].tolist(), w.ends[lo + n + window - 2].tolist()
             raw = w.data.tobytes()
             content: list[bytes | None] = []
@@ -168,7 +176,7 @@ def stretches(own: DataFrame, window: int, remembered: int = 400_000) -> DataFra
                 seen[name] = d
             if len(seen) > remembered:
                 seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(group[which[first]].view(np.int64)), pa.array(ids), pa.array((lo - w.word_at[:-1][doc]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(content, pa.binary())], NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(group[which[first]].view(np.int64)), pa.array(ids), pa.array(version), pa.array((lo - w.word_at[:-1][doc]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(content, pa.binary())], NAMES)
 
     return own.mapInArrow(run, FRONT)
 
@@ -215,8 +223,8 @@ def maximal_repeats(symbols: np.ndarray, begins: np.ndarray, ends: np.ndarray, l
     return found
 
 
-def repeated(docs: np.ndarray, start: np.ndarray, n: np.ndarray, content: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs (doc, start, n) of the suffixes whose first `window` words also start in a smaller document of these stretches."""
+def repeated(docs: np.ndarray, version: np.ndarray, start: np.ndarray, n: np.ndarray, content: pa.Array, window: int) -> tuple[np.ndarray, ...]:
+    """Runs (doc, version, start, n) of the suffixes whose first `window` words also start in a smaller document of these stretches."""
     data, at = utf8(content)
     begin, stop, word_at = words(data, at, BLANKS)
     symbols = word_hashes(data, begin, stop)
@@ -228,20 +236,20 @@ def repeated(docs: np.ndarray, start: np.ndarray, n: np.ndarray, content: pa.Arr
     inside = offset[order] < n[piece[order]]
     order, node = order[inside], node[inside]
     if not len(order):
-        return docs[:0], start[:0], n[:0]
+        return docs[:0], version[:0], start[:0], n[:0]
     own = docs[piece[order]]
     head = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
     least = np.minimum.reduceat(own, head)
     gone = np.sort(order[own > np.repeat(least, np.diff(np.append(head, len(order))))])
     if not len(gone):
-        return docs[:0], start[:0], n[:0]
+        return docs[:0], version[:0], start[:0], n[:0]
     cut = np.flatnonzero(np.r_[True, (gone[1:] != gone[:-1] + 1) | (piece[gone][1:] != piece[gone][:-1])])
     p = piece[gone[cut]]
-    return docs[p], (start[p] + offset[gone[cut]]).astype(np.int32), np.diff(np.append(cut, len(gone))).astype(np.int32)
+    return docs[p], version[p], (start[p] + offset[gone[cut]]).astype(np.int32), np.diff(np.append(cut, len(gone))).astype(np.int32)
 
 
 def removals(front: DataFrame, window: int, words_held: int = 1_500_000) -> DataFrame:
-    """(doc_id, start, n): runs of windows to remove. Stretches with content are dealt out and sorted by group; the others need no group."""
+    """(doc_id, version, start, n): runs of windows to remove. Stretches with content are dealt out and sorted by group; the others need no group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -249,13 +257,13 @@ def removals(front: DataFrame, window: int, words_held: int = 1_500_000) -> Data
 
         def flush(table: pa.Table) -> pa.RecordBatch:
             c = table.column("content").combine_chunks()
-            return pa.RecordBatch.from_arrays(list(map(pa.array, repeated(*(table.column(k).to_numpy() for k in NAMES[1:4]), c, window))), NAMES[1:4])
+            return pa.RecordBatch.from_arrays(list(map(pa.array, repeated(*(table.column(k).to_numpy() for k in NAMES[1:5]), c, window))), NAMES[1:5])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             held.append(batch)
-            size += pc.sum(batch.column(3)).as_py() + window * batch.num_rows
+            size += pc.sum(batch.column(4)).as_py() + window * batch.num_rows
             if size >= words_held:
                 table = pa.Table.from_batches(held)
                 keys = table.column(0).to_numpy()
@@ -263,12 +271,12 @@ def removals(front: DataFrame, window: int, words_held: int = 1_500_000) -> Data
                 if cut:
                     yield flush(table.slice(0, cut))
                     held = table.slice(cut).combine_chunks().to_batches()
-                    size = pc.sum(table.slice(cut).column(3)).as_py() + window * (len(keys) - cut)
+                    size = pc.sum(table.slice(cut).column(4)).as_py() + window * (len(keys) - cut)
         if held:
             yield flush(pa.Table.from_batches(held))
 
-    known = front.where("content is null").select("doc_id", "start", "n")
-    return front.where("content is not null").repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc_id long, start int, n int").unionByName(known)
+    known = front.where("content is null").select(*ROW, "start", "n")
+    return front.where("content is not null").repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc_id long, version long, start int, n int").unionByName(known)
 
 
 REPORT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
@@ -280,23 +288,24 @@ def without_repeats(documents: DataFrame, window: int = 50, most: int = 2_000, w
     A word is removed if it is in a window of `window` words of its document
     whose words also start in a document of smaller doc_id. Null texts have no
     words; a document without a doc_id is left whole and removes nothing. Rows
-    of one doc_id are one document to the others and are each reported.
+    that share a doc_id are one document to the others, don't remove words from
+    one another, and are each judged and reported by their own text.
     """
     spark = documents.sparkSession
     ship(spark)
     own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     named = own.where("doc_id is not null")
     wanted, tables = partitions(named, window, most)
-    front = stored(stretches(named.join(wanted, "doc_id").select("doc_id", "text", "keys", "split"), window), "stretches")
-    gone = stored(removals(front, window).groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns")), "removals")
+    front = stored(stretches(versions(named).join(wanted, ROW).select("doc_id", "text", "version", "keys", "split"), window), "stretches")
+    runs = F.collect_set(F.struct("start", "n"))
+    gone = stored(removals(front, window).groupBy(*ROW).agg(runs.alias("runs")).select(*ROW, F.col("runs.start").alias("starts"), F.col("runs.n").alias("ns")), "removals")
     for table in (front, *tables):
         drop(spark, table)
     # of the texts only those that lose words travel, and some that a filter of fixed size takes for such
-    flags = spark.sparkContext.broadcast(bit_filter(gone.select("doc_id")))
+    flags = spark.sparkContext.broadcast(bit_filter(gone.select("version")))
 
     def maybe(part: pa.RecordBatch) -> np.ndarray:
-        ids = part.column(0)
-        return flagged(flags.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
+        return flagged(flags.value, part.column(2).to_numpy(zero_copy_only=False)) & part.column(0).is_valid().to_numpy(zero_copy_only=False)
 
     def travelling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches, "text", 4_000_000):
@@ -304,7 +313,7 @@ def without_repeats(documents: DataFrame, window: int = 50, most: int = 2_000, w
 
     def staying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches, "text", 4_000_000):
-            part = part.filter(pa.array(~maybe(part)))
+            part = part.filter(pa.array(~maybe(part))).select([0, 1])
             lists = pa.array([[]] * part.num_rows, pa.list_(pa.int32()))
             yield from run(iter([part.append_column("starts", lists).append_column("ns", lists)]))
 
@@ -326,6 +335,7 @@ def without_repeats(documents: DataFrame, window: int = 50, most: int = 2_000, w
             kept_column = pa.array(kept, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest), kept_column], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    lost = own.mapInArrow(travelling, "doc_id long, text string").join(gone, "doc_id", "left").select("doc_id", "text", "starts", "ns")
-    joined = lost.mapInArrow(run, REPORT).unionByName(own.mapInArrow(staying, REPORT))
+    every = versions(own)
+    lost = every.mapInArrow(travelling, "doc_id long, text string, version long").join(gone, ROW, "left").select("doc_id", "text", "starts", "ns")
+    joined = lost.mapInArrow(run, REPORT).unionByName(every.mapInArrow(staying, REPORT))
     return joined if with_text else joined.drop("kept")
