@@ -187,6 +187,37 @@ def test_passages_of_nameless_and_repeated_rows(spark):
     assert got == [(0, 60, 0), (1, 60, 0), (2, 60, 60), (2, 60, 60), (3, 0, 0)]
 
 
+def test_texts_that_share_an_id_are_each_judged(spark):
+    r = random.Random(8)
+    a, b, c = ([f"{x}{r.randrange(10**6)}" for _ in range(60)] for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (5, ["short", "one"]), (5, None), (6, [*b, "x", *a]), (6, [*c, *c]), (2, c[:49]), (7, c), (7, c), (None, a), (5, a)]
+    df = spark.createDataFrame([(i, None if t is None else " ".join(t), 1, "k") for i, t in rows], "doc_id long, text string, version int, starts string").repartition(4)
+    first = {}
+    for i, t in rows:
+        for k in range(len(t or []) - 49):
+            if i is not None:
+                first[tuple(t[k : k + 50])] = min(i, first.get(tuple(t[k : k + 50]), i))
+    want = []
+    for i, t in rows:
+        gone = {k + j for k in range(len(t or []) - 49) if i is not None and first[tuple(t[k : k + 50])] < i for j in range(50)}
+        want.append((i, len(t or []), len(gone), sha(" ".join(w for k, w in enumerate(t or []) if k not in gone))))
+    for most in (2_000, 1):
+        got = [(x.doc_id, x.n_words, x.n_removed, x.kept_sha256) for x in substrings.without_repeats(df, 50, most).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_near_duplicates_that_share_an_id_are_each_judged(spark):
+    r = random.Random(9)
+    a, b, c = ([f"{x}{r.randrange(10**6)}" for _ in range(200)] for x in "abc")
+    rows = [(0, a), (1, [*a, "end"]), (1, b), (5, b), (5, c), (2, [*c, "tail"]), (None, a), (None, a), (7, []), (7, [" "]), (8, None), (0, a), (9, a[:3]), (9, a[:4])]
+    df = spark.createDataFrame([(i, None if t is None else " ".join(t), "r", True) for i, t in rows], "doc_id long, text string, row string, named boolean").repartition(4)
+    want = [(0, a), (0, a), (1, b), (2, [*c, "tail"]), (None, a), (None, a), (7, []), (7, [" "]), (9, a[:3]), (9, a[:4])]
+    for most in (2_000, 1):
+        got = near.deduplicate(df, most=most, held=100)
+        assert got.columns == df.columns
+        assert sorted(((x.doc_id, x.text) for x in got.collect()), key=str) == sorted(((i, " ".join(t)) for i, t in want), key=str)
+
+
 def fingerprint(t):
     w = re.findall(BLANKS, (t or "").translate(LOWER))
     shingles = [" ".join(w[i : i + 4]) for i in range(len(w) - 3)] if len(w) >= 4 else [" ".join(w)] * bool(w)
@@ -300,6 +331,10 @@ def test_near_duplicate_stage_against_brute_force(spark):
     lowest = [(a, b) for a, b in pairs if len(sets[a] & sets[b]) < 0.85 * len(sets[a] | sets[b])]
     met = sum(bool((bands[a] == bands[b]).any()) for a, b in lowest)
     print(f"pairs of 0.8 or more in a bucket: {found} of {len(pairs)}; of 0.8 to 0.85: {met} of {len(lowest)}")
+    bits = dict(zip(full, near.minima(hashes, at)[1], strict=True))
+    both = sum(bool((bands[a] == bands[b]).any()) and int((bits[a] == bits[b]).sum()) >= near.enough(0.8) for a, b in pairs)
+    print(f"of those in a bucket and with enough minima in common: {both}")
+    assert both >= 0.99 * len(pairs)
     assert len(lowest) > 50 and found >= 0.99 * len(pairs)
     assert near.deduplicate(df.limit(0)).count() == 0
 
