@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import blocks, drop, ship, stored
+from .common import blocks, cut, drop, ship, stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -67,8 +67,8 @@ def base_spans(text: str) -> list[Span]:
 
 
 def terms_of(text: str) -> set[str]:
-    """The text's terms in lower case: runs of two or more letters and digits that are not digits alone."""
-    return {t.lower() for t in set(TERM.findall(text)) if not t.isdigit()}
+    """The text's terms in lower case: runs of two or more letters and digits, numbers of accounts and cases among them."""
+    return {t.lower() for t in set(TERM.findall(text))}
 
 
 def outside(text: str, spans: list[Span]) -> str:
@@ -170,6 +170,8 @@ def document_counts(documents: DataFrame, terms: DataFrame, held: int = 300_000)
 
 #: Into how many parts the rows of one key are dealt where a key may be in a third of all rows.
 SALTS = 16
+#: Pairs of protected values and terms of one text that one task should make.
+PAIRS = 1_000_000
 
 
 def salted_join(rows: DataFrame, few: DataFrame, key: str, by: str) -> DataFrame:
@@ -191,15 +193,20 @@ def disclosing(documents: DataFrame, threshold: float, contexts: int) -> DataFra
     found = stored(protected(documents), "protected")
     texts = found.groupBy("digest").agg(F.count("*").alias("rows"), F.first("entities").alias("entities"), F.first("terms").alias("terms"))
     texts = stored(texts, "protected-texts")
-    held = texts.select("digest", "rows", F.explode("entities").alias("entity"))
+    # a text of many values and many terms is dealt out in parts, so that a task makes about a million of its pairs
+    parts = F.ceil(F.size("entities") * F.size("terms").cast("long") / PAIRS).cast("int").alias("parts")
+    texts = texts.select("*", F.greatest(parts, F.lit(1)).alias("parts"))
+    held = texts.select("digest", "rows", "parts", F.explode("entities").alias("entity"))
     entities = held.groupBy("entity").agg(F.sum("rows").alias("n_entity"), F.count("*").alias("n_texts")).where((F.col("n_texts") >= contexts) & (F.col("n_entity") < n)).drop("n_texts")
     entities = stored(entities.withColumn("most", F.lit(float(n)) * F.pow(F.col("n_entity") / F.lit(float(max(n, 1))), F.lit(threshold)) * (1 + 1e-9)), "entities")
     most = entities.agg(F.max("most")).first()[0] or 0.0
     held = stored(salted_join(held, entities, "entity", "digest"), "held")
-    own = texts.join(held.select("digest").distinct(), "digest", "left_semi").select("digest", F.explode("terms").alias("term"))
+    own = texts.join(held.select("digest").distinct(), "digest", "left_semi").select("digest", "parts", F.explode("terms").alias("term"))
     several = stored(own.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= contexts).select("term"), "terms")
     counts = stored(document_counts(documents, several).where(F.col("n_term") <= most), "counts")
-    pairs = held.join(salted_join(own, counts, "term", "digest"), "digest").where(F.col("n_term") <= F.col("most"))
+    everywhere = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    dealt = salted_join(own, counts, "term", "digest").withColumn("part", F.pmod(F.xxhash64("term"), F.col("parts")).cast("int")).drop("parts")
+    pairs = everywhere.join(dealt, ["digest", "part"]).where(F.col("n_term") <= F.col("most"))
     pairs = stored(pairs.select("digest", "rows", "entity", "term", "n_entity", "n_term"), "pairs")
     shared = F.log2(F.col("n_both") * F.lit(float(n)) / (F.col("n_entity") * F.col("n_term")))
     judged = pairs.groupBy("entity", "term", "n_entity", "n_term").agg(F.sum("rows").alias("n_both"), F.count("*").alias("n_texts"))
@@ -236,18 +243,22 @@ def marked(documents: DataFrame, threshold: float, contexts: int, make: Callable
         for part in blocks(batches, "text", 4_000_000):
             digests = [digest_of(t) if t else b"" for t in part.column(at).to_pylist()]
             mine = pa.array([bool(d) and flagged(flags.value, d) for d in digests])
-            yield part.append_column("__digest", pa.array(digests, pa.binary())).filter(mine)
+            yield pa.RecordBatch.from_arrays([part.to_struct_array(), pa.array(digests, pa.binary())], ["row", "digest"]).filter(mine)
 
     def with_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in blocks(batches, "text", 4_000_000):
-            found = list(map(spans_of, part.column(at).to_pylist(), part.column(part.num_columns - 1).to_pylist()))
-            yield make(part.select(list(range(part.num_columns - 1))), found)
-
-    few = told.withColumnsRenamed({"digest": "__digest", "terms": "__terms"}).hint("shuffle_merge").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    travelling = documents.mapInArrow(told_ones, T.StructType([*documents.schema.fields, T.StructField("__digest", T.BinaryType())]))
-    # copies of one text are dealt out
-    dealt = travelling.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
-    joined = dealt.join(few, ["__digest", "__salt"], "left").select(*(F.col(f"`{c}`") for c in documents.columns), "__terms")
+        for batch in batches:
+            own = pa.RecordBatch.from_struct_array(batch.column(0))
+            lo = 0
+            for part in cut(own, "text", 4_000_000):
+                terms = batch.column(1).slice(lo, part.num_rows).to_pylist()
+                lo += part.num_rows
+                yield make(part, list(map(spans_of, part.column(at).to_pylist(), terms)))
+
+    few = told.hint("shuffle_merge").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # a row's own columns travel in a struct, whatever their names; copies of one text are dealt out
+    travelling = documents.mapInArrow(told_ones, T.StructType([T.StructField("row", documents.schema), T.StructField("digest", T.BinaryType())]))
+    dealt = travelling.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    joined = dealt.join(few, ["digest", "salt"], "left").select("row", "terms")
     return documents.mapInArrow(plain, schema).unionByName(joined.mapInArrow(with_terms, schema))
 
 
