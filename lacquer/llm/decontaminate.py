@@ -113,8 +113,8 @@ def search(batch: pa.RecordBatch, tests: dict, window: int, longest: bool = True
 
 
 def benchmark_blocks(benchmark: DataFrame, most_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
-    """The items in blocks of about most_bytes, each fetched by itself; one item longer than that is a block."""
-    own = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    """The distinct items in blocks of about most_bytes, each fetched by itself; one item longer than that is a block."""
+    own = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     total = own.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.coalesce(F.octet_length("item_id"), F.lit(0)))).first()[0] or 0
     n = max(1, -(-2 * total // most_bytes)) if total > most_bytes else 1
     for k in range(n):
@@ -152,8 +152,9 @@ def matches(documents: DataFrame, benchmark: DataFrame, window: int = 10, shard_
     texts, parts = numbered.select("id", "text"), None
     for items in benchmark_blocks(benchmark, block_bytes):
         part = one(texts, items)
-        # rows without a match are needed once
-        parts = part if parts is None else parts.unionByName(part.where(F.size("starts") > 0))
+        # rows without a match are needed once; each block's matches are written before the next block is sent
+        part = stored(part if parts is None else part.where(F.size("starts") > 0), "matches")
+        parts = part if parts is None else parts.unionByName(part)
     found = parts.groupBy("id").agg(F.max("n_words").alias("n_words"), *(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items", "longest")))
     return numbered.select("id", "doc_id").join(found, "id").drop("id")
 
@@ -183,19 +184,29 @@ def report(documents: DataFrame, benchmark: DataFrame, window: int = 10, **sizes
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10, shard_bytes: int = 4_000_000, block_bytes: int = 8_000_000) -> DataFrame:
     """The documents, all columns, without those that hold a window of any item.
 
-    Rows stay in their tasks and are judged by their own text: null and repeated
-    doc_ids are like others, and a text without words stays.
+    Rows are judged by their own text: null and repeated doc_ids are like others,
+    and a text without words stays. With one block of items rows stay in their
+    tasks; with more, what is left after a block is written before the next is
+    sent, and a row's own columns are not looked at.
     """
     spark = documents.sparkSession
     ship(spark)
-    kept = documents
-    for items in benchmark_blocks(benchmark, block_bytes):
+
+    def left(rows: DataFrame, items: list[tuple[str, str | None]]) -> DataFrame:
         tests = spark.sparkContext.broadcast(test_suffixes(items, window))
 
-        def run(batches: Iterator[pa.RecordBatch], tests=tests) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in blocks(batches, "text", shard_bytes):
                 own = pa.RecordBatch.from_arrays([pa.array(np.arange(part.num_rows)), part.column(part.schema.get_field_index("text"))], ["id", "text"])
                 yield part.filter(pc.equal(pc.list_value_length(search(own, tests.value, window, longest=False).column(2)), 0))
 
-        kept = kept.mapInArrow(run, documents.schema)
-    return kept
+        return rows.mapInArrow(run, rows.schema)
+
+    first_two = list(islice(benchmark_blocks(benchmark, block_bytes), 2))
+    if len(first_two) == 1:
+        return left(documents, first_two[0])
+    numbered = stored(documents.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("id")), "numbered")
+    clean = numbered.select("id", "text")
+    for items in benchmark_blocks(benchmark, block_bytes):
+        clean = stored(left(clean, items), "clean")
+    return numbered.select("row", "id").join(clean.select("id"), "id", "left_semi").select("row.*")

@@ -448,7 +448,7 @@ def test_disclosing_terms(spark):
 
 def brute_terms(texts, threshold=0.9, contexts=2):
     """Term spans of every row by mutual information over all pairs, from sets of whole texts."""
-    words = lambda t: {w.lower() for w in re.findall(r"[^\W_]{2,}", t) if not w.isdigit()}
+    words = lambda t: {w.lower() for w in re.findall(r"[^\W_]{2,}", t)}
     entities, terms, clear = [], [], []
     for t in texts:
         base, out = base_pii(t), list(t or "")
@@ -468,7 +468,9 @@ def brute_terms(texts, threshold=0.9, contexts=2):
     return [[(4, m.start(), m.end()) for m in re.finditer(r"[^\W_\x00]{2,}", c) if any((e, m[0].lower()) in told for e in own)] for c, own in zip(clear, entities, strict=True)]
 
 
-def test_terms_equal_brute_force(spark):
+@pytest.mark.parametrize("pairs", [1_000_000, 3])
+def test_terms_equal_brute_force(spark, monkeypatch, pairs):
+    monkeypatch.setattr(pii, "PAIRS", pairs)
     r = random.Random(12)
     people = [(f"user{i}@corp.example", [f"Name{i}", "李明", f"x{i}y"] if i == 3 else [f"Name{i}", f"Street{i % 4}"]) for i in range(9)]
     filler = lambda n: " ".join(r.choice(["Common", "words", "stand", "here", "12", "zeta", "eta"]) + r.choice(["", ",", "."]) for _ in range(n))
@@ -490,6 +492,33 @@ def test_terms_equal_brute_force(spark):
         assert clean[i].text == (pii.replaced(t, base_pii(t) + want[i]) if t else t) and clean[i].doc_id == ids[i]
 
 
+def test_numbers_disclose_and_columns_may_have_any_name(spark):
+    names = ["row", "salt", "terms", "digest", "__salt", "__digest", "part", "rank"]
+    rows = [(i, f"badge 4821377 mail bob@corp.example {i} text{i}", *names) for i in range(3)] + [(10 + i, f"other words {i}", *names) for i in range(20)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    out = pii.sanitise(df)
+    assert out.columns == df.columns
+    clean = {r.doc_id: r for r in out.collect()}
+    assert all(clean[i].text == f"[TERM] [TERM] [TERM] [EMAIL] {i} text{i}" and clean[i].salt == "salt" and clean[i]["__digest"] == "__digest" for i in range(3))
+    assert all(clean[10 + i].text == f"other words {i}" for i in range(20))
+
+
+def test_benchmarks_of_many_blocks_and_repeated_items(spark):
+    r = random.Random(14)
+    items = [(i, " ".join(f"q{r.randrange(10**6)}" for _ in range(14))) for i in range(12)]
+    bench = spark.createDataFrame(items * 3 + [(99, None), (None, items[0][1])], "item_id long, text string")
+    rows = [(i, f"a b {items[i][1]} c" if i < 12 else "plain words", "r", i) for i in range(30)] + [(None, None, "r", 0), (3, items[5][1], "r", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string, id int").repartition(4)
+    whole = decontaminate.decontaminate(docs, bench)
+    for size in (8_000_000, 300):
+        out = decontaminate.decontaminate(docs, bench, block_bytes=size)
+        assert out.columns == docs.columns
+        assert sorted(map(tuple, out.collect()), key=str) == sorted(((i, t, x, k) for i, t, x, k in rows if t is None or t == "plain words"), key=str)
+        found = sorted((-1 if r.doc_id is None else r.doc_id, r.n_items) for r in decontaminate.report(docs, bench, block_bytes=size).collect())
+        assert found == sorted([(i, int(i < 12)) for i in range(30)] + [(-1, 0), (3, 1)])
+    assert whole.count() == 19
+
+
 def test_rows_without_or_with_one_id_are_sanitised_alike(spark):
     rows = [(None, "mail bob@corp.example now"), (1, "mail ann@corp.example"), (1, "xxxxx y"), (2, "w" * 300 + " " + "v" * 300 + " eve@corp.example")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
