@@ -38,6 +38,9 @@ class Rendered(NamedTuple):
     level: int
 
 
+NOTHING = Rendered("", COMPLETE, 0, 0, 0, 0, 0, 0, 0, 0, 0)
+
+
 def render(policy: Policy, how: Render, data: str | bytes, *more, missing: int | None = 0) -> Rendered:
     """One value. JSON that is too large is replaced as a whole; of URIs, URLs and bodies a first part stays, with a marker."""
     limits, seen = policy.limits, P.Seen(policy)
@@ -141,7 +144,7 @@ def _udf(policy: Policy, how: Render, inspecting: bool):
         @F.arrow_udf(kind)
         def four(body: pa.Array, content_type: pa.Array, cut: pa.Array, total: pa.Array) -> pa.Array:
             rows = [
-                render(policy, how, b or b"", k, bool(c), missing=missing(len(b or b""), bool(c), t))
+                NOTHING if b is None else render(policy, how, b, k, bool(c), missing=missing(len(b), bool(c), t))
                 for b, k, c, t in zip(body.to_pylist(), content_type.to_pylist(), cut.to_pylist(), total.to_pylist(), strict=True)
             ]
             return _structs(rows, policy, inspecting)
@@ -150,7 +153,8 @@ def _udf(policy: Policy, how: Render, inspecting: bool):
 
     @F.arrow_udf(kind)
     def one(values: pa.Array) -> pa.Array:
-        return _structs([render(policy, how, v or "") for v in values.to_pylist()], policy, inspecting)
+        # a null's result is not looked at
+        return _structs([NOTHING if v is None else render(policy, how, v) for v in values.to_pylist()], policy, inspecting)
 
     return one
 

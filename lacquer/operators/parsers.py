@@ -99,6 +99,16 @@ class Seen:
         if large:
             raise LimitReached("traversal_limit_reached")
 
+    def scalars(self, values: list, depth: int) -> bool:
+        """Take a list of scalars at once, if that is what it is and none can be over a limit; otherwise they are to be visited one by one."""
+        kinds, limits, nodes = set(map(type, values)), self.policy.limits, self.nodes + len(values)
+        if kinds & {dict, list} or not values or nodes > min(limits.max_nodes, limits.max_json_nodes) or depth > min(limits.max_depth, limits.max_json_depth):
+            return False
+        if kinds & {str, Number} and 4 * max(len(v) for v in values if isinstance(v, str)) > min(limits.max_json_number_bytes, limits.max_json_string_bytes):
+            return False
+        self.nodes, self.depth = nodes, max(self.depth, depth)
+        return True
+
     def mask(self, level: int, text: str) -> str:
         self.level = max(self.level, level)
         return self.policy.mask(level, text) if level else text
@@ -129,7 +139,7 @@ def dump_json(value) -> str:
     if isinstance(value, dict):
         return "{" + ",".join(f"{_dump_text(k)}:{dump_json(v)}" for k, v in value.items()) + "}"
     if isinstance(value, list):
-        return "[" + ",".join(map(dump_json, value)) + "]"
+        return "[" + ",".join(value if set(map(type, value)) == {Number} else map(dump_json, value)) + "]"
     return json.dumps(value)
 
 
@@ -146,6 +156,8 @@ def redact_tree(value, seen: Seen, context: str | None, marker: str, key: str |
     if isinstance(value, dict):
         return {k: redact_tree(v, seen, context, marker, k, depth + 1) for k, v in value.items()}
     if isinstance(value, list):
+        if seen.scalars(value, depth + 1):
+            return [marker] * len(value) if policy.unkeyed_json == "redact" else value
         return [redact_tree(v, seen, context, marker, None, depth + 1) for v in value]
     if key is None and policy.unkeyed_json == "redact":
         return marker
