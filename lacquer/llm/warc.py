@@ -54,8 +54,8 @@ def record_id(page_id: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))), F.lit(">"))
 
 
-def records(pages: DataFrame, least: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """One WARC record text for each page, without the blank lines that end it.
+def records(pages: DataFrame, least: int = 0, date: str = "2024-01-01T00:00:00Z", sizes: tuple[int, int | None] = (0, None)) -> DataFrame:
+    """One WARC record text for each page, without the blank lines that end it; of pages whose payload has sizes[0] bytes or more and less than sizes[1].
 
     A page without page_id is a response with an empty X-Page-Id that nothing refers to.
     Rows that repeat a page_id with other payloads each have the record of their own payload.
@@ -63,6 +63,8 @@ def records(pages: DataFrame, least: int = 0, date: str = "2024-01-01T00:00:00Z"
     key = ["page_id", "payload_digest"]
     decided = headers(pages, least).drop("url", "payload_bytes").dropDuplicates(key).withColumnsRenamed({k: f"decided_{k}" for k in key})
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    own = own.where(F.octet_length("html") >= sizes[0]) if sizes[0] else own
+    own = own if sizes[1] is None else own.where(F.octet_length("html") < sizes[1])
     own = own.withColumn("payload_digest", base32_sha1(F.col("html").cast("binary")))
     full = own.join(decided, F.col("page_id").eqNullSafe(F.col("decided_page_id")) & (F.col("payload_digest") == F.col("decided_payload_digest")))
     length = F.octet_length("html")
@@ -85,9 +87,23 @@ def records(pages: DataFrame, least: int = 0, date: str = "2024-01-01T00:00:00Z"
     )
 
 
-def write_archives(pages: DataFrame, path: str, least: int = 0, per_file: int = 8192) -> None:
-    """Deduplicated .gz archives under path, at most per_file records in each."""
-    records(pages, least).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+#: Payload sizes from which on archives hold fewer records.
+CLASSES = (0, 1 << 13, 1 << 16, 1 << 20, 1 << 24)
+
+
+def write_archives(pages: DataFrame, path: str, least: int = 0, per_file: int = 8192, file_bytes: int = 1 << 26) -> None:
+    """Deduplicated .gz archives under path, each of pages of one class of payload sizes.
+
+    An archive has at most per_file records and file_bytes of payload, or one
+    larger record, so that what reads one whole needs bounded memory.
+    """
+    size = F.coalesce(F.octet_length(F.col("html").cast("string")), F.lit(0))
+    kind = sum(((size >= c).cast("int") for c in CLASSES[1:]), F.lit(0))
+    found = sorted(r[0] for r in pages.select(kind.alias("kind")).distinct().collect())
+    for k in found or [0]:
+        top = CLASSES[k + 1] if k + 1 < len(CLASSES) else None
+        most = min(per_file, max(1, file_bytes // top)) if top else 1
+        records(pages, least, sizes=(CLASSES[k], top)).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", most).mode("append").text(path)
 
 
 _HEAD = re.compile(rb"([^\r\n:]+):[ ]?([^\r\n]*)\r\n")

@@ -225,6 +225,19 @@ def test_archives(spark, tmp_path):
     assert warc.archived(pages.limit(0)).count() == 0
 
 
+def test_archives_are_cut_by_bytes(spark, tmp_path):
+    sizes = [10, 8191, 8192, 9000, 65_535, 65_536, 70_000, 1 << 20, (1 << 20) + 5, 3 << 20] * 2
+    rows = [(i, f"http://p/{i}", chr(97 + i) * n) for i, n in enumerate(sizes)] + [(100, "http://again", "a" * 10), (101, "http://again", "c" * 8192)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    path = str(tmp_path / "w")
+    warc.write_archives(pages, path, file_bytes=1 << 18)
+    held = [[len(block) for _, block in warc.parse(gzip.open(f).read())] for f in glob.glob(f"{path}/part-*")]
+    assert sum(map(len, held)) == len(rows) and all(len(x) == 1 or sum(x) <= (1 << 18) + 200 * len(x) for x in held)
+    got = {r.page_id: r for r in warc.read_archives(spark, path).collect()}
+    assert all(got[i].payload_ok and (got[i].payload_bytes, got[i].payload_digest) == (len(h), base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()) for i, _, h in rows)
+    assert {i for i, r in got.items() if r.record_type == "revisit"} == {100, 101}
+
+
 def test_archives_of_nameless_and_repeated_pages(spark):
     rows = [(None, "http://n", "<p>n</p>"), (None, "http://m", "<p>x</p>"), (None, None, None), (1, "http://a", "<p>x</p>"), (2, "http://b", "<p>x</p>"), (2, "http://b", "other"), (2, "http://c", "third"), (3, "http://d", "other")]
     got = warc.archived(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
