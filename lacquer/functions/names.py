@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections.abc import Callable
 from functools import lru_cache
 from typing import TYPE_CHECKING
@@ -72,12 +73,30 @@ def candidates_column(name: Column, by_suffix: bool = True) -> Column:
     return let(split, suffixes)
 
 
+#: Names that a literal of a set of names holds about; larger sets are dealt out by hash.
+LITERAL = 100
+
+
 def among(names: list[str]) -> Callable[[Column], Column]:
-    return lambda c: c.isin(names)
+    """Whether a canonical name is one of a set of any size: a search in one literal, of the set or of the name's share of it.
+
+    A line break ends each name, and no canonical name has one. So an expression
+    has as many parts for a hundred thousand names as for ten.
+    """
+    n = -(-len(names) // LITERAL)
+    line = lambda c: F.concat(F.lit("\n"), c, F.lit("\n"))
+    if n <= 1:
+        return lambda c: F.contains(F.lit("\n" + "\n".join(names) + "\n"), line(c))
+    shares: list[list[str]] = [[] for _ in range(n)]
+    for name in names:
+        shares[zlib.crc32(name.encode()) % n].append(name)
+    # one literal: Catalyst splits it once, when it folds constants
+    table = F.split(F.lit("\r".join("\n" + "\n".join(x) + "\n" for x in shares)), "\r", -1)
+    return lambda c: F.contains(F.get(table, (F.crc32(c.cast("binary")) % n).cast("int")), line(c))
 
 
 def rules_level(names: Column, rules: Rules, floor: bool) -> Column:
-    """0 to 4 for an array of candidates, by Rules.level. Sets of names become hash lookups."""
+    """0 to 4 for an array of candidates, by Rules.level."""
     strongest = F.lit(rules.unknown)
     for level in sorted({v for _, v in rules.sensitive}):
         strongest = F.when(F.exists(names, among([n for n, v in rules.sensitive if v == level])), F.lit(level)).otherwise(strongest)
@@ -85,9 +104,9 @@ def rules_level(names: Column, rules: Rules, floor: bool) -> Column:
         return strongest
     # the first candidate that has any rule decides whether the field is allowed
     known = [*(n for n, _ in rules.sensitive), *rules.allow_suffix]
-    allowed = F.get(names, F.lit(0)).isin(list(rules.allow_exact)) if rules.allow_exact else F.lit(False)
+    allowed = among(list(rules.allow_exact))(F.get(names, F.lit(0))) if rules.allow_exact else F.lit(False)
     if rules.allow_suffix:
-        allowed = allowed | F.get(F.filter(names, among(known)), F.lit(0)).isin(list(rules.allow_suffix))
+        allowed = allowed | among(list(rules.allow_suffix))(F.get(F.filter(names, among(known)), F.lit(0)))
     return F.when(F.coalesce(allowed, F.lit(False)), F.lit(0)).otherwise(strongest)
 
 

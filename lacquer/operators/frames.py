@@ -196,7 +196,8 @@ def rules_df(spark: SparkSession, policy: Policy) -> DataFrame:
 def classify_names(names: DataFrame, column: str, policy: Policy) -> DataFrame:
     """The application rules' verdict on a column of names: kind, rule and match (exact or token_suffix), by a join with the rules.
 
-    The rules are part of the policy, so their table has the policy's size and is sent to every task.
+    The rules' table has the policy's size: Spark sends it to every task if it is
+    small, and joins by shuffling the distinct names if it is not.
     """
     from ..functions.names import candidates_column
 
@@ -205,7 +206,7 @@ def classify_names(names: DataFrame, column: str, policy: Policy) -> DataFrame:
     rules = spark.createDataFrame(rows, "rule string, kind string")
     distinct = names.select(F.col(column).alias("name")).distinct()
     exploded = distinct.select("name", F.posexplode(candidates_column(F.col("name"), policy.rules.by_suffix)).alias("at", "rule"))
-    hits = exploded.join(F.broadcast(rules), "rule").where("kind <> 'exact' or at = 0")
+    hits = exploded.join(rules, "rule").where("kind <> 'exact' or at = 0")
     # an exact allowance comes before a level of the same name
     order = F.struct("at", F.when(F.col("kind") == "sensitive", 1).otherwise(0))
     first = hits.groupBy("name").agg(F.min_by(F.struct("rule", "kind", "at"), order).alias("hit"))

@@ -147,8 +147,11 @@ def _entry_text(e: Column, kind: T.MapType, policy: Policy, name: str, least: in
         return F.lit(f'"{policy.opaque(4)}"')
 
     def by(level: Column) -> Column:
-        low = F.when(level >= 3, F.concat(F.lit('"'), opaque(level, policy), F.lit('"'))).otherwise(quoted(let(own, lambda t: F.when(level == 1, written(t, policy.masks[0])).otherwise(written(t, policy.masks[1])))))
-        return F.when(level == 0, own).otherwise(low)
+        def shown(t: Column) -> Column:
+            hidden = F.when(level == 1, written(t, policy.masks[0])).when(level == 2, written(t, policy.masks[1])).otherwise(opaque(level, policy))
+            return F.when(level == 0, t).when(level >= 3, F.concat(F.lit('"'), hidden, F.lit('"'))).otherwise(quoted(hidden))
+
+        return let(own, shown)
 
     return let(F.greatest(level_column(e["key"].cast("string"), policy), F.lit(least)), by)
 

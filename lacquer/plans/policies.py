@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.masks import bounded, masked
 from ..functions.names import level_column
-from ..functions.policy import HIGH, LOW, MEDIUM, PRESETS, SECRET, Mask, application_default, disabled, replace_application_default, rules_of, standard, strict, validate_field_name
+from ..functions.policy import HIGH, LOW, MEDIUM, PRESETS, SECRET, Mask, Policy, application_default, disabled, replace_application_default, rules_of, standard, strict, validate_field_name
 from ..operators import fields, formats, frames
 from .tables import LOW_WRITTEN, STANDARD_NAMES, table
 
@@ -18,6 +18,14 @@ def preset_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", name.alias("name"), level_column(name, standard()).alias("level"))
 
 
+def large_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A policy of a hundred thousand names, with allowances among them, on names that are data."""
+    levels = {f"code{i}": 1 + i % 4 for i in range(100_000) if i % 5}
+    policy = Policy(rules=rules_of(levels, allow_suffix=tuple(f"code{i}" for i in range(0, 100_000, 5))), floor=None)
+    name = F.concat(F.lit("app-Code"), F.col("l_orderkey") % 120_000)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", level_column(name, policy).alias("level"))
+
+
 def exact_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names behind a single dash count as a whole only."""
     name = F.when(F.col("o_orderstatus") == "P", "token").otherwise("my-token")
@@ -120,7 +128,7 @@ def output_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ALL = (
-    preset_levels, exact_names, rule_views, strict_customer, strict_bodies, disabled_customer, built_policy, context_rules, uri_policy, bounded_masks, json_limits, input_limits,
+    preset_levels, large_rules, exact_names, rule_views, strict_customer, strict_bodies, disabled_customer, built_policy, context_rules, uri_policy, bounded_masks, json_limits, input_limits,
     output_limits,
 )
 
@@ -131,6 +139,7 @@ SQL = {
     "preset_levels": f"""
         WITH n AS (SELECT name, level, row_number() OVER (ORDER BY name) - 1 AS at, count(*) OVER () AS n FROM ({STANDARD_NAMES}))
         SELECT p_partkey, 'app.' || name AS name, level FROM part JOIN n ON p_partkey % n.n = n.at""",
+    "large_rules": "SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 120000 >= 100000 OR l_orderkey % 5 = 0 THEN 0 ELSE 1 + l_orderkey % 120000 % 4 END AS level FROM lineitem",
     "exact_names": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 AND o_orderstatus <> 'P' THEN 0 ELSE 3 END AS level FROM orders",
     "rule_views": """
         WITH r AS (SELECT * FROM (VALUES ('application', 'click', 1), ('application', 'purchase', 3), ('allow_exact', 'view', NULL), ('allow_suffix', 'error', NULL), ('floor', 'signup', 4)) v(layer, name, level))

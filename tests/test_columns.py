@@ -244,3 +244,16 @@ def test_builders_check_what_they_are_given():
     policy = P.standard()
     policy.sensitivity_for("token")
     assert P.Policy.from_json(policy.to_json()) == policy and pickle.loads(pickle.dumps(policy)) == policy
+
+
+def test_sets_of_names_of_any_size(spark):
+    import random
+
+    r = random.Random(11)
+    for n in (1, 3, 100, 101, 5000):
+        names = {f"{r.choice(['code', 'Key', 'x_y', 'ключ'])}{r.randrange(10**5)}": r.randint(1, 4) for _ in range(n)}
+        allowed = tuple(P.canonical(x) for x in r.sample(sorted(names), n // 5))
+        policy = P.Policy(rules=P.rules_of(names, allow_suffix=allowed, allow_exact=tuple(P.canonical(x) for x in r.sample(sorted(names), n // 7))), floor=None)
+        asked = [*r.sample(sorted(names), min(n, 60)), *(f"app-{x}" for x in r.sample(sorted(names), min(n, 60))), "", "_", "other", "code", "\n", "code1\ncode2"]
+        got = spark.createDataFrame([(x,) for x in asked], "x string").select("x", level_column(F.col("x"), policy).alias("n")).collect()
+        assert [(g.x, g.n) for g in got] == [(x, policy.sensitivity_for(x)) for x in asked]
