@@ -20,7 +20,7 @@ from .annotations import Redaction, declared, field_level, own_redaction, part_l
 from .fields import CUT, bounded_text, field_text
 from .formats import redact_json
 from .results import BIT, COMPLETE, EXHAUSTED, TRUNCATED, inspection, result, usage
-from .structures import NESTED, count_of, cut_pieces, exceeds, is_name, may_exceed, pieces_of, rendered
+from .structures import NESTED, count_of, cut_pieces, exceeds, is_name, may_exceed, pieces_of, rendered, rendered_text
 
 
 def redact_columns(df: DataFrame, policy: Policy, masks: dict[str, Redaction] | None = None) -> DataFrame:
@@ -128,7 +128,7 @@ def debug_text(value: Column, kind: T.DataType, policy: Policy, name: str = "Rec
     Where its nodes, items or depth go over their limits it ends there with a
     marker, and over the output limit its end gives way to one.
     """
-    return let(rendered(value, kind, policy, name)["text"], lambda t: bounded_text(t, policy))
+    return let(rendered_text(value, kind, policy, name), lambda t: bounded_text(t, policy))
 
 
 def schema_level(kind: T.DataType, policy: Policy) -> int:

@@ -312,12 +312,24 @@ def cut_pieces(pieces: Column, policy: Policy) -> Column:
     return let(pieces, joined)
 
 
+def _cut(value: Column, kind: T.DataType, policy: Policy, name: str) -> Column:
+    return cut_pieces(pieces_of(value, kind, policy, name), policy)
+
+
+def rendered_text(value: Column, kind: T.DataType, policy: Policy, name: str) -> Column:
+    """The log-safe text, cut where the structural limits end."""
+    text, count = let(text_of(value, kind, policy, name), escaped), count_of(value, kind, policy)
+    if policy.disabled or not may_exceed(count, policy):
+        return text
+    return F.when(exceeds(count, policy), let(_cut(value, kind, policy, name)["text"], escaped)).otherwise(text)
+
+
 def rendered(value: Column, kind: T.DataType, policy: Policy, name: str) -> Column:
-    """struct(text, refused, deep, nodes, items, depth): the log-safe text, cut where the structural limits end."""
-    text = let(text_of(value, kind, policy, name), escaped)
-    count = count_of(value, kind, policy)
-    whole = lambda t: F.struct(t.alias("text"), F.lit(False).alias("refused"), F.lit(False).alias("deep"), count.nodes.alias("nodes"), count.items.alias("items"), count.depth.alias("depth"))
+    """struct(text, refused, deep, nodes, items, depth): the text, and what it took of the limits."""
+    text, count = let(text_of(value, kind, policy, name), escaped), count_of(value, kind, policy)
+    whole = F.struct(text.alias("text"), F.lit(False).alias("refused"), F.lit(False).alias("deep"), count.nodes.alias("nodes"), count.items.alias("items"), count.depth.alias("depth"))
     if policy.disabled or not may_exceed(count, policy):
-        return whole(text)
-    cut = let(cut_pieces(pieces_of(value, kind, policy, name), policy), lambda c: F.struct(let(c["text"], escaped).alias("text"), F.lit(True).alias("refused"), c["deep"].alias("deep"), c["nodes"].alias("nodes"), c["items"].alias("items"), F.least(count.depth, _int(policy.limits.max_depth)).alias("depth")))
-    return F.when(exceeds(count, policy), cut).otherwise(whole(text))
+        return whole
+    depth = F.least(count.depth, _int(policy.limits.max_depth))
+    cut = let(_cut(value, kind, policy, name), lambda c: F.struct(let(c["text"], escaped).alias("text"), F.lit(True).alias("refused"), c["deep"].alias("deep"), c["nodes"].alias("nodes"), c["items"].alias("items"), depth.alias("depth")))
+    return F.when(exceeds(count, policy), cut).otherwise(whole)
