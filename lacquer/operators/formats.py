@@ -16,6 +16,7 @@ from pyspark.sql import Column, functions as F
 from ..functions.policy import SECRET, Policy
 from ..functions.ship import ship
 from . import parsers as P
+from .bodies import Body, can_be_plain
 from .results import BIT, COMPLETE, EXHAUSTED, INSPECTION, RESULT, TRUNCATED
 
 #: text, names of reasons; of a value cut to the input limit, and what the walk saw.
@@ -206,13 +207,22 @@ def _body(body: Column, content_type: Column | None, source_truncated: Column |
     return body.cast("binary"), kind, cut, total
 
 
+def _http_body(inspecting: bool, policy: Policy, body: Column, kind: Column, cut: Column, total: Column) -> Column:
+    """Forms, texts, bytes and unknown types as Columns, the rest by the parser."""
+    if not can_be_plain(policy):
+        return _apply(policy, body_text, inspecting, body, kind, cut, total)
+    own = Body(body, kind, cut, policy)
+    plain = own.plain()
+    return F.when(plain, own.shown(inspecting)).otherwise(_apply(policy, body_text, inspecting, F.when(~plain, body), kind, cut, total))
+
+
 def redact_http_body(body: Column, policy: Policy, content_type: Column | None = None, source_truncated: Column | None = None, total_len: Column | None = None) -> Column:
     """A body by its content type; without one, JSON is recognised by its first character.
 
     Of a captured prefix, total_len says how long the source was; it makes usage.omitted known.
     """
-    return _apply(policy, body_text, False, *_body(body, content_type, source_truncated, total_len))
+    return _http_body(False, policy, *_body(body, content_type, source_truncated, total_len))
 
 
 def inspect_http_body(body: Column, policy: Policy, content_type: Column | None = None, source_truncated: Column | None = None, total_len: Column | None = None) -> Column:
-    return _apply(policy, body_text, True, *_body(body, content_type, source_truncated, total_len))
+    return _http_body(True, policy, *_body(body, content_type, source_truncated, total_len))
