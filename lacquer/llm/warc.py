@@ -88,7 +88,7 @@ def records(pages: DataFrame, least: int = 0, date: str = "2024-01-01T00:00:00Z"
 
 
 #: Payload sizes from which on archives hold fewer records.
-CLASSES = (0, 1 << 13, 1 << 16, 1 << 20, 1 << 24)
+CLASSES = (0, 1 << 16, 1 << 20, 1 << 24)
 
 
 def write_archives(pages: DataFrame, path: str, least: int = 0, per_file: int = 8192, file_bytes: int = 1 << 26) -> None:
