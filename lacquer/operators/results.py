@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.policy import Policy
 
@@ -51,5 +51,21 @@ def merge_summaries(r: str) -> list[Column]:
     ]
 
 
+PARTIAL = ("presented", "inspected", "output", "nodes", "items")
+
+
+def partial_summaries(df: DataFrame, keys: list[str], r: str) -> DataFrame:
+    """A row per group that can be stored and merged with others: what merge_summaries gives, with the count of results and of unknown omissions."""
+    unknown = F.count_if(F.col(r).isNotNull() & F.col(f"{r}.usage.omitted").isNull()).alias("n_unknown")
+    known = F.coalesce(F.sum(F.col(f"{r}.usage.omitted")), F.lit(0)).alias("known_omitted")
+    return df.groupBy(*keys).agg(F.count(r).alias("n_results"), *merge_summaries(r)[:-1], known, unknown)
+
+
+def merge_partials(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """The summaries of all results behind partial ones, in whatever parts they were taken: one unknown omission hides the sum for good."""
+    omitted = F.when(F.sum("n_unknown") == 0, F.sum("known_omitted")).alias("omitted")
+    return parts.groupBy(*keys).agg(F.sum("n_results").alias("n_results"), F.max("completion").alias("completion"), F.bit_or("reasons").alias("reasons"), *(F.sum(c).alias(c) for c in PARTIAL), F.max("depth").alias("depth"), omitted)
+
+
 def reason_names(reasons: Column) -> Column:
     return F.filter(F.array(*(F.when(reasons.bitwiseAND(F.lit(BIT[n])) != 0, F.lit(n)) for n in REASONS)), lambda x: x.isNotNull())

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..functions.policy import HIGH, LOW, MEDIUM, SECRET, Policy, rules_of, standard
 from ..operators import fields, formats, frames, groups
-from ..operators.results import merge_summaries
+from ..operators.results import merge_partials, merge_summaries, partial_summaries
 from .tables import LOW_WRITTEN, table
 
 PASSING = standard().builder().http(text_body="pass_through").build()
@@ -242,9 +242,19 @@ def merged_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("role", F.col("completion").cast("int").alias("completion"), "reasons", "output", "omitted")
 
 
+def stored_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from partial summaries of every eight turns, of which some don't know what was left out."""
+    tight = Policy(rules=rules_of({"system": SECRET, "user": HIGH}), limits=standard().limits.__class__(max_output_bytes=300))
+    turn, text = F.col("turn"), F.col("text")
+    body = formats.redact_http_body(text, tight, F.lit("text/plain"), source_truncated=(turn % 5 == 4) & (F.col("role") == "assistant"))
+    results = table(spark, sf_dir, "conversations").select("role", (turn % 8).alias("part"), F.when(turn % 2 == 0, fields.redact_field("note", text, tight)).otherwise(body).alias("r"))
+    merged = merge_partials(partial_summaries(results, ["role", "part"], "r"), ["role"])
+    return merged.select("role", "n_results", F.col("completion").cast("int").alias("completion"), "reasons", "presented", "omitted")
+
+
 ALL = (
     json_value, nested_urls, json_bodies, ndjson_bodies, multipart_bodies, other_bodies, debug_shapes, structure_limits, structure_limits_json, deep_structures, keyed_maps, typed_columns, shaped_json, inspections, batch_formats, composed_formats, composed_row,
-    resolved_handles, merged_summaries,
+    resolved_handles, merged_summaries, stored_summaries,
 )
 
 #: Of each order the tags, lines and deep structure of _basket, and where the limits end: 1 in the tags, 2 before a line, 3 in the third line, 4 at the deep structure's field, 5 at its depth, 0 nowhere.
@@ -310,6 +320,10 @@ SQL = {
     "resolved_handles": """
         WITH h AS (SELECT conv_id, turn + 1 AS turn FROM conversations), i AS (SELECT conv_id, turn, role FROM conversations WHERE conv_id % 5 <> 0)
         SELECT h.conv_id, h.turn, role AS text, CASE WHEN h.conv_id % 5 = 0 THEN 'different_batch' WHEN role IS NULL THEN 'missing_item' END AS error FROM h LEFT JOIN i USING (conv_id, turn)""",
+    "stored_summaries": f"""
+        WITH c AS (SELECT role, turn % 2 = 0 AS own, turn % 5 = 4 AND role = 'assistant' AS cut, strlen({ESCAPED.format("text")}) AS n, strlen(text) AS raw FROM conversations)
+        SELECT role, count(*) AS n_results, max(CASE WHEN own AND n > 300 THEN 2 WHEN NOT own AND cut THEN 1 ELSE 0 END) AS completion, bit_or(CASE WHEN own AND n > 300 THEN 2 WHEN NOT own AND cut THEN 16 ELSE 0 END) AS reasons,
+        sum(CASE WHEN own THEN 0 ELSE raw END)::BIGINT AS presented, CASE WHEN bool_or(NOT own AND cut) THEN NULL ELSE 0 END AS omitted FROM c GROUP BY role""",
     "merged_summaries": f"""
         WITH c AS (SELECT role, strlen({ESCAPED.format("text")}) AS n FROM conversations)
         SELECT role, max(CASE WHEN n > 300 THEN 2 ELSE 0 END) AS completion, bit_or(CASE WHEN n > 300 THEN 2 ELSE 0 END) AS reasons, sum(CASE WHEN n > 300 THEN 0 ELSE n END)::BIGINT AS output, 0 AS omitted FROM c GROUP BY role""",
