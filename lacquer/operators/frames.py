@@ -11,6 +11,8 @@ read from a file.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.masks import escaped, opaque, written
@@ -146,6 +148,36 @@ def inspect_columns(df: DataFrame, policy: Policy) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "column string, max_sensitivity int")
 
 
+def discover_json(df: DataFrame, column: str, policy: Policy) -> DataFrame:
+    """path, kind and max_sensitivity (null if none) of everything in a JSON column: one aggregate over it, and rules applied to the paths it finds.
+
+    Names are joined by dots, [] stands for an array's elements. A path has the
+    strongest level of the names on it. Where values of one path have shapes that
+    don't go together its kind is VARIANT: it may hold anything, and what is below
+    it is not listed. Text that is no JSON is left out.
+    """
+    found = df.select(F.schema_of_variant_agg(F.try_parse_json(F.col(column).cast("string"))).alias("kind")).first()
+    # backquoted names may look like anything
+    ddl = re.sub(r"`(?:[^`]|``)*`|OBJECT<", lambda m: "STRUCT<" if m[0] == "OBJECT<" else m[0], (found.kind if found else None) or "VOID")
+    rows: list[tuple[str, str, int | None]] = []
+
+    def walk(kind: T.DataType, path: str, level: int) -> None:
+        if isinstance(kind, T.StructType):
+            for f in kind.fields:
+                inner, own = f"{path}.{f.name}" if path else f.name, max(level, policy.sensitivity_for(f.name))
+                rows.append((inner, f.dataType.simpleString().partition("<")[0].upper(), own or None))
+                walk(f.dataType, inner, own)
+        elif isinstance(kind, T.ArrayType):
+            rows.append((f"{path}[]", kind.elementType.simpleString().partition("<")[0].upper(), level or None))
+            walk(kind.elementType, f"{path}[]", level)
+
+    root = T.StructType.fromDDL(f"root {ddl}")["root"].dataType
+    if not isinstance(root, (T.StructType, T.ArrayType, T.NullType)):
+        rows.append(("", root.simpleString().upper(), None))
+    walk(root, "", 0)
+    return df.sparkSession.createDataFrame(rows, "path string, kind string, max_sensitivity int")
+
+
 def inspect_struct(value: Column, kind: T.DataType, policy: Policy) -> Column:
     """The inspection of a structured value: its schema's level, that of the keys of its maps, and whether it is within the limits."""
     levels = F.greatest(F.lit(schema_level(kind, policy)), *_map_levels(value, kind, policy), F.lit(0))

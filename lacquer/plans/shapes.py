@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..functions.policy import HIGH, LOW, MEDIUM, SECRET, Policy, rules_of, standard
 from ..operators import fields, formats, frames, groups
 from ..operators.results import merge_partials, merge_summaries, partial_summaries
-from .tables import LOW_WRITTEN, table
+from .tables import LOW_WRITTEN, STANDARD_NAMES, table
 
 PASSING = standard().builder().http(text_body="pass_through").build()
 STATUS = Policy(rules=rules_of({"status": LOW, "priority": MEDIUM}))
@@ -252,9 +252,18 @@ def stored_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("role", "n_results", F.col("completion").cast("int").alias("completion"), "reasons", "presented", "omitted")
 
 
+def discovered_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of a JSON column whose rows have different fields, with the levels of their names."""
+    turn, conv = F.col("turn"), F.col("conv_id")
+    tags = F.when(turn % 3 == 1, F.array(F.struct(F.col("role").alias("name"), turn.alias("api_key")), F.struct(F.col("role").alias("name"), (turn + 1).alias("api_key"))))
+    value = F.struct(F.col("role"), turn.alias("turn"), F.struct(conv.alias("session_id"), tags.alias("tags")).alias("meta"), F.when(conv % 2 == 0, F.struct(turn.alias("n"), F.array(conv).alias("ids"))).alias("credentials"))
+    talks = table(spark, sf_dir, "conversations").select(F.to_json(value).alias("j"))
+    return frames.discover_json(talks, "j", standard()).select("path", F.col("max_sensitivity").alias("level"))
+
+
 ALL = (
     json_value, nested_urls, json_bodies, ndjson_bodies, multipart_bodies, other_bodies, debug_shapes, structure_limits, structure_limits_json, deep_structures, keyed_maps, typed_columns, shaped_json, inspections, batch_formats, composed_formats, composed_row,
-    resolved_handles, merged_summaries, stored_summaries,
+    resolved_handles, merged_summaries, stored_summaries, discovered_json,
 )
 
 #: Of each order the tags, lines and deep structure of _basket, and where the limits end: 1 in the tags, 2 before a line, 3 in the third line, 4 at the deep structure's field, 5 at its depth, 0 nowhere.
@@ -320,6 +329,12 @@ SQL = {
     "resolved_handles": """
         WITH h AS (SELECT conv_id, turn + 1 AS turn FROM conversations), i AS (SELECT conv_id, turn, role FROM conversations WHERE conv_id % 5 <> 0)
         SELECT h.conv_id, h.turn, role AS text, CASE WHEN h.conv_id % 5 = 0 THEN 'different_batch' WHEN role IS NULL THEN 'missing_item' END AS error FROM h LEFT JOIN i USING (conv_id, turn)""",
+    "discovered_json": f"""
+        WITH j AS (SELECT '{{"role":"' || role || '","turn":' || turn || ',"meta":{{"session_id":' || conv_id || CASE WHEN turn % 3 = 1 THEN ',"tags":[{{"name":"' || role || '","api_key":' || turn || '}}]' ELSE '' END || '}}'
+            || CASE WHEN conv_id % 2 = 0 THEN ',"credentials":{{"n":' || turn || ',"ids":[' || conv_id || ']}}' ELSE '' END || '}}' AS j FROM conversations),
+        p AS (SELECT DISTINCT regexp_replace(substr(t.fullkey, 3), '[[][0-9]+[]]', '[]', 'g') AS path FROM j, json_tree(j.j) t WHERE t.fullkey <> '$'), s AS (SELECT replace(name, '_', '') AS name, level FROM ({STANDARD_NAMES})),
+        n AS (SELECT path, replace(unnest(string_split(replace(path, '[]', ''), '.')), '_', '') AS name FROM p)
+        SELECT path, max(level)::INTEGER AS level FROM n LEFT JOIN s USING (name) GROUP BY path""",
     "stored_summaries": f"""
         WITH c AS (SELECT role, turn % 2 = 0 AS own, turn % 5 = 4 AND role = 'assistant' AS cut, strlen({ESCAPED.format("text")}) AS n, strlen(text) AS raw FROM conversations)
         SELECT role, count(*) AS n_results, max(CASE WHEN own AND n > 300 THEN 2 WHEN NOT own AND cut THEN 1 ELSE 0 END) AS completion, bit_or(CASE WHEN own AND n > 300 THEN 2 WHEN NOT own AND cut THEN 16 ELSE 0 END) AS reasons,

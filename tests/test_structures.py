@@ -137,3 +137,14 @@ def test_a_cut_keeps_replacement_characters(spark):
         assert got == [x.encode()[:most].decode("utf-8", "ignore") for x in texts]
     tight = P.standard().builder().limits(max_output_bytes=16).build()
     assert spark.range(1).select(fields.bounded_text(F.lit("ab�cdefghijklmnop"), tight).alias("t")).collect()[0].t == "ab�<truncated>"
+
+
+def test_paths_of_json(spark):
+    rows = ['{"a b":1,"c":[{"d":2},{"d":"x"}],"OBJECT<":{"g":null},"h`i":1.5,"token":{"x":[true]}}', '{"a b":2.5,"c":[],"z":{"password":"x"}}', "nope", None]
+    got = {tuple(r) for r in frames.discover_json(spark.createDataFrame([(x,) for x in rows], "j string"), "j", P.standard()).collect()}
+    assert got == {
+        ("a b", "DECIMAL(21,1)", None), ("c", "ARRAY", None), ("c[]", "STRUCT", None), ("c[].d", "VARIANT", None), ("OBJECT<", "STRUCT", None), ("OBJECT<.g", "VOID", None), ("h`i", "DECIMAL(2,1)", None),
+        ("token", "STRUCT", P.HIGH), ("token.x", "ARRAY", P.HIGH), ("token.x[]", "BOOLEAN", P.HIGH), ("z", "STRUCT", None), ("z.password", "STRING", P.SECRET),
+    }
+    one = lambda *texts: [tuple(r) for r in frames.discover_json(spark.createDataFrame([(x,) for x in texts], "j string"), "j", P.standard()).collect()]
+    assert one("nope", None) == [] and one("[1]", '{"a":1}') == [("", "VARIANT", None)] and one("[1,2]") == [("[]", "BIGINT", None)] and one() == []
