@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.scratch import stored
 from ..functions.ship import ship
@@ -44,7 +44,8 @@ def scanned(df: DataFrame, keys: list[str], order: list[str | Column], values: d
     spark = df.sparkSession
     ship(spark)
     names, folds = list(values), [FOLDS[v] for v in values.values()]
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), *(f"`{v}_run` long" for v in names), "`__part` int, `__row` long, `__first` boolean"])
+    own = [*((f"{v}_run", T.LongType()) for v in names), ("__part", T.IntegerType()), ("__row", T.LongType()), ("__first", T.BooleanType())]
+    fields = T.StructType([*df.schema.fields, *(T.StructField(n, kind) for n, kind in own)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row, first, last, carried = TaskContext.get().partitionId(), 0, True, None, [0] * len(names)
@@ -67,9 +68,9 @@ def scanned(df: DataFrame, keys: list[str], order: list[str | Column], values: d
             opening = (np.cumsum(new) == 0) if first else np.zeros(n, bool)
             first = first and not new.any()
             last = [batch.column(batch.schema.get_field_index(k))[n - 1].as_py() for k in keys]
-            own = [pa.array(np.full(n, part, np.int32)), pa.array(row + np.arange(n)), pa.array(opening)]
+            where = [pa.array(np.full(n, part, np.int32)), pa.array(row + np.arange(n)), pa.array(opening)]
             row += n
-            yield pa.RecordBatch.from_arrays([*batch.columns, *out, *own], [*batch.schema.names, *(f"{v}_run" for v in names), "__part", "__row", "__first"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *out, *where], fields.names)
 
     columns = [c if isinstance(c, Column) else F.col(c) for c in [*keys, *order]]
     local = stored(df.repartitionByRange(*columns).sortWithinPartitions(*columns).mapInArrow(run, fields), "scan")
