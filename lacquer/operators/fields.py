@@ -6,11 +6,16 @@ binary columns; they are replaced as secret.
 
 from __future__ import annotations
 
+from itertools import accumulate, islice
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 from ..functions.masks import by_level, escaped, masked, opaque, quoted, utf8_start, written
-from ..functions.names import let, level_column
+from ..functions.names import let, level_column, levels_column
 from ..functions.policy import SECRET, Policy
+from ..functions.ship import ship
 from .results import BIT, COMPLETE, EXHAUSTED, TRUNCATED, inspection, result, usage
 
 CUT = "<truncated>"
@@ -70,20 +75,24 @@ def _text(value: Column) -> Column:
     return F.try_validate_utf8(value.cast("string"))
 
 
-def pair_text(name: Column, value: Column, policy: Policy) -> Column:
+def pair_text(name: Column, value: Column, policy: Policy, level: Column | None = None) -> Column:
     """NAME=value, both log-safe; a side that is not UTF-8 makes the value secret."""
     n, v = _text(name), _text(value)
-    value_text = let(level_column(n, policy), lambda level: let(by_level(v, level, policy), escaped))
+    value_text = let(level_column(n, policy) if level is None else level, lambda own: let(by_level(v, own, policy), escaped))
     shown = F.when(n.isNull() | v.isNull(), F.lit(policy.opaque(SECRET))).otherwise(value_text)
     return F.when(name.isNotNull() & value.isNotNull(), F.concat(escaped(F.make_valid_utf8(name.cast("string"))), F.lit("="), shown))
 
 
 def _bounded(text: Column, policy: Policy, too_much: Column | None = None, size: Column | None = None) -> Column:
-    """The text, or <truncated> if it is over the output limit or its input over the input limits."""
-    limits = policy.limits
-    over = F.octet_length(text) > limits.max_output_bytes
+    """The text, or <truncated> if it is over the output limit or its input over the input limits. All three are computed once."""
     too_much = F.lit(False) if too_much is None else F.coalesce(too_much, F.lit(False))
     size = F.lit(0) if size is None else F.coalesce(size, F.lit(0))
+    return let(F.struct(text.alias("text"), too_much.alias("too_much"), size.alias("size")), lambda x: _judged(x["text"], policy, x["too_much"], x["size"]))
+
+
+def _judged(text: Column, policy: Policy, too_much: Column, size: Column) -> Column:
+    limits = policy.limits
+    over = F.octet_length(text) > limits.max_output_bytes
     heavy = size > limits.max_input_bytes
     reasons = F.when(over, BIT["output_limit_reached"]).otherwise(0) + F.when(too_much, BIT["traversal_limit_reached"]).otherwise(0) + F.when(heavy, BIT["input_limit_reached"]).otherwise(0)
     bad = over | too_much | heavy
@@ -108,9 +117,14 @@ def _total(items: Column, size) -> Column:
     return F.aggregate(items, F.lit(0), lambda s, x: s + F.coalesce(size(x), F.lit(0)))
 
 
+def _pair_levels(pairs: Column, policy: Policy) -> Column:
+    """The level of each pair's name; 0 where that is no text."""
+    return levels_column(F.transform(pairs, lambda p: _text(p["name"])), policy)
+
+
 def env_pairs_text(pairs: Column, policy: Policy) -> Column:
     """["A=x", "B=y"] of an array of name and value structs, in order and with repetitions."""
-    shown = F.transform(pairs, lambda p: quoted(F.coalesce(pair_text(p["name"], p["value"], policy), F.lit(""))))
+    shown = F.zip_with(pairs, _pair_levels(pairs, policy), lambda p, level: quoted(F.coalesce(pair_text(p["name"], p["value"], policy, level), F.lit(""))))
     return F.concat(F.lit("["), F.array_join(shown, ", "), F.lit("]"))
 
 
@@ -120,7 +134,7 @@ def redact_env_pairs(pairs: Column, policy: Policy) -> Column:
 
 
 def inspect_env_pairs(pairs: Column, policy: Policy) -> Column:
-    level = F.array_max(F.transform(pairs, lambda p: F.when(_text(p["name"]).isNull() | _text(p["value"]).isNull(), F.lit(SECRET)).otherwise(level_column(_text(p["name"]), policy))))
+    level = F.array_max(F.zip_with(pairs, _pair_levels(pairs, policy), lambda p, own: F.when(_text(p["name"]).isNull() | _text(p["value"]).isNull(), F.lit(SECRET)).otherwise(own)))
     over = F.size(pairs) > policy.limits.max_items
     return F.when(pairs.isNotNull(), inspection(F.coalesce(level, F.lit(0)), policy, ~over, F.when(over, BIT["traversal_limit_reached"]).otherwise(0)))
 
@@ -154,44 +168,76 @@ def redact_argv(items: Column, policy: Policy) -> Column:
     return _bounded(argv_text(items, policy), policy, F.size(items) > policy.limits.max_items, _total(items, lambda i: F.octet_length(i["value"].cast("string"))))
 
 
+#: Stands for a level that the next item is masked with unread.
+UNREAD = 5
+
+
+def _taken_apart(raw: bytes | None, policy: Policy) -> tuple[str | None, bool, bool, str, str, int]:
+    """An item's text (None if it is not UTF-8), whether it is an assignment or an option, what stands before a masked value, that value, and the level of the name that decides."""
+    try:
+        v = raw.decode() if raw is not None else None
+    except UnicodeDecodeError:
+        v = None
+    if v is None:
+        return None, False, False, "", "", 0
+    left, equals, right = v.partition("=")
+    assigned, double, bare = bool(equals), v.startswith("--"), left.lstrip("-")
+    option = not assigned and v.startswith("-") and bare != ""
+    if assigned and not double:
+        name = left[2:] if v.startswith("-D") else "" if v.startswith("-") else left
+    else:
+        name = bare
+    # a word that is neither option nor assignment has no name
+    level = policy.sensitivity_for(name if assigned or option else "", exact=option and not double)
+    return v, assigned, option, left, right, level
+
+
 def _scan(items: Column, policy: Policy) -> Column:
     """Array of struct(text, level): a scan from left to right in which a sensitive option masks the item after it.
 
-    The state between items is the level that the next item is masked with; 5 stands for one that is masked unread.
+    The state between items is the level that the next item is masked with; UNREAD
+    stands for one that is masked unread. Each distinct item of a batch is taken
+    apart once.
     """
-    state = F.struct(F.lit(0).alias("pending"), F.array().cast("array<struct<text:string,level:int>>").alias("out"))
-
-    def taken_apart(item: Column) -> Column:
-        """The item's text, the name in it that decides, what stands before a masked value, and that value."""
-        v = _text(item["value"])
-        left = F.substring_index(v, "=", 1)
-        assigned = F.contains(v, F.lit("="))
-        bare = F.regexp_replace(left, "^-+", "")
-        jvm = assigned & v.startswith("-D") & ~v.startswith("--")
-        name = F.when(jvm, F.substring(left, 3, 1 << 30)).when(assigned & ~v.startswith("-"), left).when(~assigned | v.startswith("--"), bare)
-        option = ~assigned & v.startswith("-") & (bare != "")
-        single = option & ~v.startswith("--")
-        # a word that is neither option nor assignment has no name
-        level = level_column(F.when((assigned | option) & (name != ""), name), policy, exact=F.coalesce(single, F.lit(False)))
-        return F.struct(
-            v.alias("v"), assigned.alias("assigned"), option.alias("option"), left.alias("left"), F.substring(v, F.length(left) + 2, 1 << 30).alias("right"),
-            level.alias("level"), _level_number(item["sensitivity"]).alias("tag"), item["sensitivity"].isNotNull().alias("tagged"),
-        )
-
-    def step(acc: Column, x: Column) -> Column:
-        pending = acc["pending"]
-        mine = F.when(x["tagged"], x["tag"]).when(x["v"].isNull() | (pending == 5), F.lit(SECRET)).when(pending > 0, pending).when(x["assigned"], x["level"]).otherwise(F.lit(0))
-        unread = x["v"].isNull() | ((pending == 5) & ~x["tagged"])
-        inside = x["assigned"] & ~x["tagged"] & (pending == 0) & (x["level"] > 0)
-        text = F.when(unread, F.lit(policy.opaque(SECRET))).when(inside, F.concat(x["left"], F.lit("="), by_level(x["right"], x["level"], policy))).otherwise(by_level(x["v"], mine, policy))
-        after = F.when(x["tagged"], 0).when(x["v"].isNull(), 5).when(x["option"], x["level"]).otherwise(0)
-        return F.struct(after.cast("int").alias("pending"), F.concat(acc["out"], F.array(F.struct(text.alias("text"), mine.cast("int").alias("level")))).alias("out"))
-
-    return F.aggregate(F.transform(items, taken_apart), state, step, lambda acc: acc["out"])
+    ship()
+
+    @F.arrow_udf("array<struct<text:string,level:int>>")
+    def scan(lists: pa.Array) -> pa.Array:
+        values, tags, tagged = lists.flatten().flatten()
+        distinct = values.dictionary_encode()
+        parts = [_taken_apart(x, policy) for x in distinct.dictionary.to_pylist()]
+        missing = _taken_apart(None, policy)
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_pylist()
+        rows = zip([missing if k is None else parts[k] for k in distinct.indices.to_pylist()], tags.to_pylist(), tagged.to_pylist(), strict=True)
+        texts, levels = [], []
+        for size in sizes:
+            pending = 0
+            for (v, assigned, option, left, right, level), tag, has_tag in islice(rows, size):
+                if has_tag:
+                    mine = tag
+                elif v is None or pending == UNREAD:
+                    mine = SECRET
+                else:
+                    mine = pending or (level if assigned else 0)
+                if v is None or pending == UNREAD and not has_tag:
+                    text = policy.opaque(SECRET)
+                elif assigned and not has_tag and not pending and level:
+                    text = f"{left}={policy.mask(level, right)}"
+                else:
+                    text = v if mine == 0 else policy.mask(mine, v) if mine is not None and 0 < mine <= SECRET else None
+                texts.append(text)
+                levels.append(mine)
+                pending = 0 if has_tag else UNREAD if v is None else level if option else 0
+        offsets = pa.array(accumulate(sizes, initial=0), pa.int32())
+        shown = pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(levels, pa.int32())], ["text", "level"])
+        return pa.ListArray.from_arrays(offsets, shown, mask=lists.is_null())
+
+    plain = F.transform(items, lambda i: F.struct(i["value"].cast("binary").alias("value"), _level_number(i["sensitivity"]).alias("tag"), i["sensitivity"].isNotNull().alias("tagged")))
+    return scan(plain)
 
 
 def heuristic_argv_text(items: Column, policy: Policy) -> Column:
-    return _list(F.transform(_scan(items, policy), lambda x: x["text"]))
+    return F.concat(F.lit("["), F.array_join(F.transform(_scan(items, policy), lambda x: quoted(x["text"])), ", "), F.lit("]"))
 
 
 def redact_heuristic_argv(items: Column, policy: Policy) -> Column:
@@ -217,10 +263,14 @@ def redact_process(program: Column, args: Column, env: Column, policy: Policy) -
     size = _total(items, lambda i: F.octet_length(i["value"].cast("string"))) + _total(env, lambda p: F.octet_length(p["name"].cast("string")) + F.octet_length(p["value"].cast("string")))
     # the budget of items is one for the whole process
     many = F.size(items) + F.size(env) > policy.limits.max_items
-    over = (F.octet_length(text) > policy.limits.max_output_bytes) & ~many
-    shown = F.when(many, F.lit("")).when(over, F.lit(CUT)).otherwise(text)
-    reasons = F.when(many, BIT["traversal_limit_reached"]).when(over, BIT["output_limit_reached"]).otherwise(0)
-    return result(shown, policy, F.when(many | over, TRUNCATED).otherwise(COMPLETE), reasons, usage(presented=size, output=F.octet_length(shown)))
+
+    def whole(x: Column) -> Column:
+        over = (F.octet_length(x["text"]) > policy.limits.max_output_bytes) & ~x["many"]
+        shown = F.when(x["many"], F.lit("")).when(over, F.lit(CUT)).otherwise(x["text"])
+        reasons = F.when(x["many"], BIT["traversal_limit_reached"]).when(over, BIT["output_limit_reached"]).otherwise(0)
+        return result(shown, policy, F.when(x["many"] | over, TRUNCATED).otherwise(COMPLETE), reasons, usage(presented=x["size"], output=F.octet_length(shown)))
+
+    return let(F.struct(text.alias("text"), many.alias("many"), size.alias("size")), whole)
 
 
 def inspect_process(program: Column, args: Column, env: Column, policy: Policy) -> Column:

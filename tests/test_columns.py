@@ -257,3 +257,12 @@ def test_sets_of_names_of_any_size(spark):
         asked = [*r.sample(sorted(names), min(n, 60)), *(f"app-{x}" for x in r.sample(sorted(names), min(n, 60))), "", "_", "other", "code", "\n", "code1\ncode2"]
         got = spark.createDataFrame([(x,) for x in asked], "x string").select("x", level_column(F.col("x"), policy).alias("n")).collect()
         assert [(g.x, g.n) for g in got] == [(x, policy.sensitivity_for(x)) for x in asked]
+
+
+def test_lists_are_rendered_once(spark):
+    """Of arguments and processes the plan holds one rendering, and none of the work on names that lambdas would repeat for every item."""
+    items = "array<struct<value:binary,sensitivity:string>>"
+    df = spark.createDataFrame([([(b"--api-key", None), (b"x", None)], [(b"A", b"b")])], f"args {items}, env array<struct<name:binary,value:binary>>")
+    for column in (fields.redact_heuristic_argv(F.col("args"), P.standard()), fields.redact_process(F.lit("c"), F.col("args"), F.col("env"), P.standard())):
+        plan = df.select(column.alias("r"))._jdf.queryExecution().optimizedPlan().toString()
+        assert "ArrowEvalPython" in plan and plan.count("array_join(") <= 2 and "IsUppercase" not in plan
