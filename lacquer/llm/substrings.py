@@ -65,16 +65,22 @@ class Windows:
         lo = np.minimum(self.anchors[which], self.positions[which] + self.window - length)
         return mix(rolling(self.symbols, lo, lo + length) + np.uint64(level)) if len(which) else np.zeros(0, np.uint64)
 
-    def grouped(self, split: np.ndarray) -> np.ndarray:
-        """The key of each window: of the shortest prefix that is not among those that are split."""
-        every = np.arange(len(self.positions))
-        key = self.keys(0, every)
-        for level in range(1, len(self.lengths)):
-            again = np.flatnonzero(np.isin(key, split)) if len(split) else np.zeros(0, np.int64)
+    def grouped(self, split: np.ndarray, further: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The key of each window, of the shortest prefix that is not among those that are split, and its level.
+
+        `split` has the split keys of the first level, a bit filter those of the
+        longer ones. What the filter takes for split by mistake is split in every
+        text, so equal windows stay together.
+        """
+        key, level = self.keys(0, np.arange(len(self.positions))), np.zeros(len(self.positions), np.int8)
+        again = np.flatnonzero(np.isin(key, split)) if len(split) else np.zeros(0, np.int64)
+        for k in range(1, len(self.lengths)):
             if not len(again):
                 break
-            key[again] = self.keys(level, again)
-        return key
+            key[again], level[again] = self.keys(k, again), k
+            # a whole window is never split: its suffixes are equal
+            again = again[flagged(further, key[again].view(np.int64))] if further is not None else again[:0]
+        return key, level
 
     def runs(self, key: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First (an index into which) and number of neighbouring windows of one key."""
@@ -86,6 +92,7 @@ class Windows:
 
 
 COUNTS = "level int, key long, doc_id long, version long, n int"
+TOTALS = "level int, key long, a long, b long, n long"
 
 
 def _counts(level: int, key: np.ndarray, docs: np.ndarray, part: pa.RecordBatch) -> pa.RecordBatch:
@@ -97,9 +104,15 @@ def _counts(level: int, key: np.ndarray, docs: np.ndarray, part: pa.RecordBatch)
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(first), level, np.int32)), pa.array(key[first].view(np.int64)), *(part.column(k).take(pa.array(docs[first])) for k in (0, 2)), pa.array(n)], ["level", "key", *ROW, "n"])
 
 
+def _summed(tables: list[pa.Table]) -> list[pa.Table]:
+    """One table (level, key, a, b, n) with a row for each key: its smallest and largest doc_id and its number of runs."""
+    own = pa.concat_tables(tables).group_by(["level", "key"]).aggregate([("a", "min"), ("b", "max"), ("n", "sum")])
+    return [own.select(["level", "key", "a_min", "b_max", "n_sum"]).rename_columns(["level", "key", "a", "b", "n"])]
+
+
 def _totals(rows: DataFrame, most: int) -> DataFrame:
-    """The prefixes in more than one document, and whether their suffixes are too many for one group."""
-    totals = rows.groupBy("level", "key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.sum("n").alias("n")).where("a < b")
+    """The prefixes in more than one document, and whether their suffixes are too many for one group, from (level, key, a, b, n)."""
+    totals = rows.groupBy("level", "key").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sum("n").alias("n")).where("a < b")
     return totals.select("level", "key", (F.col("n") > most).alias("split"))
 
 
@@ -108,54 +121,72 @@ def versions(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("version"))
 
 
-def partitions(documents: DataFrame, window: int, most: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Rows (doc_id, version) with the prefixes that group their suffixes with those of other documents (`keys`) and the shorter ones that are split (`split`); and the written tables that this reads."""
+def partitions(documents: DataFrame, window: int, most: int, summed: int = 500_000) -> tuple[DataFrame, list[DataFrame]]:
+    """Rows (doc_id, version) with the shortest prefixes that group their suffixes with those of other documents (`keys`) and that are split (`split`); and the written tables of this.
+
+    If any prefix is split, the third table has the longer ones that are found
+    there (level, key, split). They are counted in the tasks, up to `summed` of
+    them at a time, so that copies add up before they travel.
+    """
     documents = versions(documents)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches, "text", 4_000_000):
             w = Windows(part, window)
-            key = w.grouped(np.zeros(0, np.uint64))
+            key = w.keys(0, np.arange(len(w.positions)))
             at, _ = w.runs(key, np.arange(len(key)))
             yield _counts(0, key[at], w.docs[at], part)
 
     def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
         for part in blocks(batches, "text", 4_000_000):
             w = Windows(part.select([0, 1]), window)
             split = np.unique(pc.list_flatten(part.column(3)).to_numpy(zero_copy_only=False)).view(np.uint64)
-            which = np.flatnonzero(np.isin(w.grouped(np.zeros(0, np.uint64)), split))
+            which = np.flatnonzero(np.isin(w.keys(0, np.arange(len(w.positions))), split))
             for level in range(1, len(w.lengths)):
                 key = w.keys(level, which)
                 at, _ = w.runs(key, which)
-                yield _counts(level, key[at], w.docs[which[at]], part)
+                if len(at):
+                    ids = part.column(0).take(pa.array(w.docs[which[at]]))
+                    held.append(pa.table([pa.array(np.full(len(at), level, np.int32)), pa.array(key[at].view(np.int64)), ids, ids, pa.array(np.ones(len(at), np.int64))], ["level", "key", "a", "b", "n"]))
+            if sum(t.num_rows for t in held) > summed:
+                held = _summed(held)
+                if held[0].num_rows > summed // 2:
+                    yield from held.pop().to_batches()
+        if held:
+            yield from _summed(held)[0].to_batches()
 
     rows = stored(documents.mapInArrow(first, COUNTS), "prefixes")
-    found = _totals(rows, most)
+    found = _totals(rows.select("level", "key", F.col("doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("n").cast("long").alias("n")), most)
     split = stored(found.where("split").select("level", "key"), "split")
-    pairs, tables = rows.join(found, ["level", "key"]), [rows, split]
+    tables = [rows, split]
     if not split.isEmpty():
         wide = rows.join(split, ["level", "key"]).groupBy(*ROW).agg(F.collect_set("key").alias("split"))
-        tables.append(more := stored(documents.join(wide, ROW).select("doc_id", "text", "version", "split").mapInArrow(longer, COUNTS), "prefixes"))
-        # a whole window is never split: its suffixes are equal
-        last = len([p for p in PREFIXES if p < window])
-        pairs = pairs.unionByName(more.join(_totals(more, most).withColumn("split", F.col("split") & (F.col("level") < last)), ["level", "key"]))
+        tables.append(stored(_totals(documents.join(wide, ROW).select("doc_id", "text", "version", "split").mapInArrow(longer, TOTALS), most), "longer"))
+    pairs = rows.join(found, ["level", "key"])
     return pairs.groupBy(*ROW).agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("split"), F.col("key"))).alias("split")), tables
 
 
-def stretches(own: DataFrame, window: int, remembered: int = 400_000) -> DataFrame:
-    """From (doc_id, text, version, keys, split): stretches of text with n suffixes of one group each.
+def stretches(own: DataFrame, window: int, further: DataFrame | None = None, remembered: int = 400_000) -> DataFrame:
+    """From (doc_id, text, version, keys, split), and the longer prefixes (level, key, split) if there are any: stretches of text with n suffixes of one group each.
 
     Where the task has seen the same stretch in a smaller document, its content
     stays behind: such a row says that all its windows are to be removed.
     """
+    filters = None if further is None else (bit_filter(further.select("key")), bit_filter(further.where("split").select("key")))
+    held = own.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
+        shared, again = held.value or (None, None)
         for part in blocks(batches, "text", 4_000_000):
             w = Windows(part.select([0, 1]), window)
             keys, split = (np.unique(pc.list_flatten(part.column(k)).to_numpy(zero_copy_only=False).astype(np.int64)).view(np.uint64) for k in (3, 4))
-            group = w.grouped(split)
-            which = np.flatnonzero(np.isin(group, keys))
+            group, level = w.grouped(split, again)
+            wanted = np.isin(group, keys) & (level == 0)
+            if shared is not None:
+                wanted |= (level > 0) & flagged(shared, group.view(np.int64))
+            which = np.flatnonzero(wanted)
             if not len(which):
                 continue
             first, n = w.runs(group[which], which)
@@ -296,7 +327,7 @@ def without_repeats(documents: DataFrame, window: int = 50, most: int = 2_000, w
     own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     named = own.where("doc_id is not null")
     wanted, tables = partitions(named, window, most)
-    front = stored(stretches(versions(named).join(wanted, ROW).select("doc_id", "text", "version", "keys", "split"), window), "stretches")
+    front = stored(stretches(versions(named).join(wanted, ROW).select("doc_id", "text", "version", "keys", "split"), window, *tables[2:]), "stretches")
     runs = F.collect_set(F.struct("start", "n"))
     gone = stored(removals(front, window).groupBy(*ROW).agg(runs.alias("runs")).select(*ROW, F.col("runs.start").alias("starts"), F.col("runs.n").alias("ns")), "removals")
     for table in (front, *tables):

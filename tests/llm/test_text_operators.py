@@ -554,3 +554,14 @@ def test_forests_of_sets():
                 low, high = sorted((g[a], g[b]))
                 g[:] = [low if x == high else x for x in g]
         assert group == want and sum(len(u) for u, _ in edges) == len(lists) - len(set(want))
+
+
+def test_longer_prefixes_of_copies_are_counted_in_the_tasks(spark):
+    words = " ".join(map(str, range(300)))
+    df = spark.createDataFrame([(i, f"{words} {i}") for i in range(80)], "doc_id long, text string").repartition(2)
+    _, tables = substrings.partitions(df, 50, 1)
+    rows = [x for x in tables[2].collect() if x.level]
+    # a row for each prefix, not for each prefix of each copy
+    assert 0 < len(rows) == len({(x.level, x.key) for x in rows})
+    got = {x.doc_id: x.n_removed for x in substrings.without_repeats(df, 50, 1).collect()}
+    assert got == {i: 300 if i else 0 for i in range(80)}
