@@ -64,8 +64,15 @@ def _escaped_char(c: Column) -> Column:
 
 def escaped(value: Column) -> Column:
     """Text safe for one log line: unsafe characters as \\n, \\r, \\t, \\0 or \\u{hex}; backslashes and quotes stay."""
-    chars = F.transform(F.split(value, ""), lambda c: F.when(c.rlike(UNSAFE), _escaped_char(c)).otherwise(c))
-    return F.when(value.rlike(UNSAFE), F.array_join(chars, "")).otherwise(value)
+    short = value
+    for char, shown in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\0", "\\0")):
+        short = F.replace(short, F.lit(char), F.lit(shown))
+
+    # only what is rare goes character by character
+    def rest(text: Column) -> Column:
+        return F.when(text.rlike(UNSAFE), F.array_join(F.transform(F.split(text, ""), lambda c: F.when(c.rlike(UNSAFE), _escaped_char(c)).otherwise(c)), "")).otherwise(text)
+
+    return let(short, rest)
 
 
 def quoted(value: Column) -> Column:

@@ -23,9 +23,24 @@ CUT = "<truncated>"
 
 def redact_field(name: str | Column, value: Column, policy: Policy) -> Column:
     """The value of a named field. With the name known when the plan is built, a high or secret value is never read."""
+    level = _field_level(name, policy)
+    if isinstance(level, int) and (level < 3 or policy.disabled):
+
+        def whole(raw: Column) -> Column:
+            over = F.octet_length(raw) > policy.limits.max_output_bytes
+            return result(_plain_field(raw, level, policy), policy, F.when(over, EXHAUSTED).otherwise(COMPLETE), F.when(over, BIT["output_limit_reached"]).otherwise(0))
+
+        return let(escaped(value.cast("string")), whole)
     return result(field_text(name, value, policy), policy, *_field_status(name, value, policy))
 
 
+def _plain_field(raw: Column, level: int, policy: Policy) -> Column:
+    """The log-safe text of a field of a known level below high, empty if it or its mask is over the output limit."""
+    most = policy.limits.max_output_bytes
+    text = raw if not level or policy.disabled else written(raw, policy.masks[level - 1])
+    return F.when((F.octet_length(raw) <= most) & (F.octet_length(text) <= most), text).when(raw.isNotNull(), F.lit(""))
+
+
 def _field_level(name: str | Column, policy: Policy) -> int | Column:
     return policy.sensitivity_for(name) if isinstance(name, str) else level_column(name, policy)
 
@@ -36,9 +51,7 @@ def field_text(name: str | Column, value: Column, policy: Policy) -> Column:
     if isinstance(level, int):
         if level >= 3 and not policy.disabled:
             return F.lit(policy.opaque(level)) if len(policy.opaque(level).encode()) <= most else F.lit("")
-        raw = escaped(value.cast("string"))
-        text = raw if not level or policy.disabled else written(raw, policy.masks[level - 1])
-        return F.when((F.octet_length(raw) <= most) & (F.octet_length(text) <= most), text).when(value.isNotNull(), F.lit(""))
+        return let(escaped(value.cast("string")), lambda raw: _plain_field(raw, level, policy))
     raw = escaped(value.cast("string"))
     if policy.disabled:
         return F.when(F.octet_length(raw) <= most, raw).when(value.isNotNull(), F.lit(""))

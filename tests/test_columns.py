@@ -41,7 +41,7 @@ def test_masks_as_columns(spark):
 
 
 def test_escapes(spark):
-    text = "a\n\r\t\0\x1b\x7f؜‎ ‮⁦\\\"\U0001f600"
+    text = "a\n\r\t\0\x1b\x7f؜‎\u2028\u202e⁦\\\"\U0001f600"
     r = spark.createDataFrame([(text,)], "v string").select(escaped(F.col("v")).alias("e"), quoted(F.lit('a"b\\c\n​')).alias("q")).first()
     assert r.e == "a\\n\\r\\t\\0\\u{1b}\\u{7f}\\u{61c}\\u{200e}\\u{2028}\\u{202e}\\u{2066}\\\"\U0001f600"
     assert r.q == '"a\\"b\\\\c\\n\\u{200b}"'
@@ -203,7 +203,7 @@ def test_summaries_merge(spark):
 def test_names_as_columns_and_in_python_agree(spark):
     """Of names of any blanks, separators, cases and scripts."""
     r = random.Random(11)
-    parts = ["api", "key", "Token", "password", "PASSWORD", "x", "HTTP", "9", "É", "Σ", "ς", "ǅ", "İ", "一", "²", "_", "-", ".", "[", "]", " ", "\t", "\u0085", " ", " ", "　", " ", " ", "\x1c", "\x1f", "​", "﻿"]
+    parts = ["api", "key", "Token", "password", "PASSWORD", "x", "HTTP", "9", "É", "Σ", "ς", "ǅ", "İ", "一", "²", "_", "-", ".", "[", "]", " ", "\t", "\u0085", " ", " ", "　", " ", "\u2028", "\x1c", "\x1f", "​", "﻿"]
     names = ["".join(r.choice(parts) for _ in range(r.randint(0, 6))) for _ in range(1500)]
     names += ["api key", "api　key", "API\u0085KEY", "x password", "api\x1ckey", "apiKey", "", " "]
     policy = P.standard().builder().fields(lambda b: b.allow_exact("x password").allow_suffix("xtoken").low("é", "σ", "x")).build()
@@ -266,3 +266,12 @@ def test_lists_are_rendered_once(spark):
     for column in (fields.redact_heuristic_argv(F.col("args"), P.standard()), fields.redact_process(F.lit("c"), F.col("args"), F.col("env"), P.standard())):
         plan = df.select(column.alias("r"))._jdf.queryExecution().optimizedPlan().toString()
         assert "ArrowEvalPython" in plan and plan.count("array_join(") <= 6 and "IsUppercase" not in plan
+
+
+def test_a_long_field_is_escaped_once(spark):
+    text = "a\tb\n\r\0c\u2028\u202e\\n\"" * 3
+    df = spark.createDataFrame([(text,), ("",), (None,), ("x" * 20_000,)], "t string")
+    out = df.select(fields.redact_field("body", F.col("t"), P.standard()).alias("r"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("\\p{Cc}") <= 2
+    got = [x.r and (x.r.text, x.r.completion) for x in out.collect()]
+    assert got == [("a\\tb\\n\\r\\0c\\u{2028}\\u{202e}\\n\"" * 3, 0), ("", 0), None, ("", 2)]
