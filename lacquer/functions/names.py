@@ -80,6 +80,8 @@ def candidates_column(name: Column, by_suffix: bool = True) -> Column:
 
 #: Names that a literal of a set of names holds about; larger sets are dealt out by hash.
 LITERAL = 100
+#: Names of a larger set's share, which is searched from its start.
+SHARE = 8
 
 
 def among(names: list[str]) -> Callable[[Column], Column]:
@@ -88,7 +90,7 @@ def among(names: list[str]) -> Callable[[Column], Column]:
     A line break ends each name, and no canonical name has one. So an expression
     has as many parts for a hundred thousand names as for ten.
     """
-    n = -(-len(names) // LITERAL)
+    n = 1 if len(names) <= LITERAL else -(-len(names) // SHARE)
     line = lambda c: F.concat(F.lit("\n"), c, F.lit("\n"))
     if n <= 1:
         return lambda c: F.contains(F.lit("\n" + "\n".join(names) + "\n"), line(c))

@@ -275,3 +275,13 @@ def test_a_long_field_is_escaped_once(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("\\p{Cc}") <= 2
     got = [x.r and (x.r.text, x.r.completion) for x in out.collect()]
     assert got == [("a\\tb\\n\\r\\0c\\u{2028}\\u{202e}\\n\"" * 3, 0), ("", 0), None, ("", 2)]
+
+
+def test_a_share_of_a_large_set_is_short(spark):
+    from lacquer.functions.names import among
+
+    names = [f"code{i}" for i in range(2_000)]
+    found = among(names)(F.col("name"))
+    assert max(len(x.split("\n")) for x in str(found).split("\r")) < 40
+    rows = spark.createDataFrame([(n,) for n in (*names, "code", "code2000", "ode1", "")], "name string")
+    assert rows.where(found).count() == 2_000
