@@ -1,12 +1,15 @@
 """Near-duplicates by verified similarity: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Minima of 64 hash functions over a set, in 16 bands of 4, put documents into
-buckets; two of similarity s share one with probability 1 - (1 - s^4)^16, 0.9998
-at 0.8. Equal sets are one node. Two nodes of a bucket are candidates if they
-agree in enough of all 64 minima. What candidates join, directly or through
-others, is a group; the texts of a group, and of no other node, travel once to be
-compared as whole sets. Both steps hand on spanning forests, not pairs. Of the
-documents that links join, the one of the smallest doc_id stays.
+Equal sets are one node. Candidates are the links of operator 9: fingerprints of
+the sets (SimHash) within 4 bits, found by its partitions, thresholds and probes.
+Sets of a similarity near 0.8 are further apart, so that there are candidates by
+minima as well: those of 64 hash functions over a set, in 16 bands of 4, put nodes
+into buckets; two of similarity s share one with probability 1 - (1 - s^4)^16,
+0.9998 at 0.8, and are candidates if they agree in enough of all 64 minima. What
+candidates join, directly or through others, is a group; the texts of a group, and
+of no other node, travel once to be compared as whole sets. All steps hand on
+spanning forests, not pairs. Of the documents that links join, the one of the
+smallest doc_id stays.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import BLANKS, LOWER, bit_filter, blocks, cut, drop, flagged, give_back, mix, rolling, ship, stored, utf8, word_hashes, words
 from .components import components, linked
+from .simhash import links as within, majorities
 
 BANDS, ROWS = 16, 4
 _FLIPS, _ODDS = np.random.default_rng(20240301).integers(1, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -162,6 +166,13 @@ def candidates(cells: DataFrame, least: float) -> DataFrame:
     return by_cell(cells.select("bucket", "cell", "id", "bits"), ["bucket"], edges)
 
 
+def alike(nodes: DataFrame, distance: int) -> DataFrame:
+    """Edges whose closure is that of all pairs of nodes (id, fp) with fingerprints within the distance, by operator 9's search; equal ones are joined by a star."""
+    own = stored(nodes.groupBy("fp").agg(F.min("id").alias("id")), "fingerprints")
+    equal = nodes.join(own.select("fp", F.col("id").alias("v")), "fp").where("id <> v").select(F.col("id").alias("u"), "v")
+    return equal.unionByName(within(own, distance))
+
+
 def links(cells: DataFrame, width: int, least: float) -> DataFrame:
     """Edges whose closure is that of all links of each cell of rows (group, cell, id, bits, text)."""
 
@@ -174,7 +185,7 @@ def links(cells: DataFrame, width: int, least: float) -> DataFrame:
 
 
 def sketches(documents: DataFrame, width: int) -> DataFrame:
-    """From (doc_id, text, version): doc_id, version, the bytes of the text, node (a hash of its shingle set), the set's buckets and bits of its minima."""
+    """From (doc_id, text, version): doc_id, version, the bytes of the text, node (a hash of its shingle set), the set's fingerprint, its buckets and bits of its minima."""
     ship(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,9 +198,9 @@ def sketches(documents: DataFrame, width: int) -> DataFrame:
             raw, places = bits.tobytes(), BANDS * ROWS * full
             binary = pa.array([raw[a:b] for a, b in zip(places[:-1].tolist(), places[1:].tolist(), strict=True)], pa.binary())
             sizes = pa.array(np.diff(utf8(part.column(1))[1]))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), sizes, pa.array(nodes.view(np.int64)), lists, binary], ["doc_id", "version", "size", "node", "hashes", "bits"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), sizes, pa.array(nodes.view(np.int64)), pa.array(majorities(sets, at).view(np.int64)), lists, binary], ["doc_id", "version", "size", "node", "fp", "hashes", "bits"])
 
-    return documents.mapInArrow(run, "doc_id long, version long, size long, node long, hashes array<long>, bits binary")
+    return documents.mapInArrow(run, "doc_id long, version long, size long, node long, fp long, hashes array<long>, bits binary")
 
 
 def _flagged(rows: DataFrame, flags, hit: bool) -> DataFrame:
@@ -208,7 +219,7 @@ def version() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
-def deduplicate(documents: DataFrame, width: int = 5, least: float = 0.8, most: int = 2_000, held: int = 16_000) -> DataFrame:
+def deduplicate(documents: DataFrame, width: int = 5, least: float = 0.8, most: int = 2_000, held: int = 16_000, distance: int = 4) -> DataFrame:
     """All columns of the documents but those that links of this similarity join, directly or through others, to one of smaller doc_id.
 
     Each row is judged by its own text, whatever other rows its doc_id has. Of a
@@ -221,12 +232,14 @@ def deduplicate(documents: DataFrame, width: int = 5, least: float = 0.8, most:
     spark = documents.sparkSession
     texts = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), version().alias("version"))
     own = stored(sketches(texts, width), "sketches")
-    first = F.min_by(F.struct("doc_id", "version", "size", "hashes", "bits"), F.struct("doc_id", "version"))
+    first = F.min_by(F.struct("doc_id", "version", "size", "fp", "hashes", "bits"), F.struct("doc_id", "version"))
     nodes = stored(own.groupBy("node").agg(first.alias("first")).select(F.col("node").alias("id"), "first.*"), "nodes")
     rows = nodes.select("id", "bits", F.explode("hashes").alias("bucket"))
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     live = stored(rows.join(sizes, "bucket"), "buckets")
-    found = components(linked(live, ["bucket"], lambda cells: candidates(cells, least), most, live.agg(F.max("n")).first()[0] or 0))
+    banded = linked(live, ["bucket"], lambda cells: candidates(cells, least), most, live.agg(F.max("n")).first()[0] or 0)
+    # texts without words are one node, alike to no other
+    found = components(alike(nodes.where(F.size("hashes") > 0).select("id", "fp"), distance).unionByName(banded))
     joined = nodes.join(found.select(F.col("node").alias("id"), F.col("component").alias("group")), "id").select("id", "bits", "version", "size", "group")
     weight = F.greatest(F.count("*"), F.ceil(F.sum("size") / held)).alias("n")
     wanted = stored(joined.join(joined.groupBy("group").agg(weight), "group"), "wanted")

@@ -46,6 +46,17 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
+def majorities(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The fingerprint of each set hashes[at[i]:at[i + 1]]: a bit is 1 if it is set in over half of the hashes; that of an empty set is 0."""
+    sizes = np.diff(at)
+    full = np.flatnonzero(sizes)
+    out = np.zeros(len(sizes), np.uint64)
+    for bit in range(WIDTH if len(full) else 0):
+        ones = np.add.reduceat((hashes >> np.uint64(bit)) & np.uint64(1), at[:-1][full])
+        out[full] |= (2 * ones > sizes[full].astype(np.uint64)).astype(np.uint64) << np.uint64(bit)
+    return out
+
+
 def fingerprints(documents: DataFrame, shingle: int = 4) -> DataFrame:
     """doc_id and fp, a signed long of the fingerprint's bits. Texts without words, and null ones, have fp 0."""
     ship(documents.sparkSession)
