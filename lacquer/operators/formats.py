@@ -154,8 +154,9 @@ def _udf(policy: Policy, how: Render, inspecting: bool):
 
     @F.arrow_udf(kind)
     def one(values: pa.Array) -> pa.Array:
-        # a null's result is not looked at
-        return _structs([NOTHING if v is None else render(policy, how, v) for v in values.to_pylist()], policy, inspecting)
+        # each distinct text of a batch is parsed once; a null's result is not looked at
+        distinct = values.dictionary_encode()
+        return _structs([render(policy, how, v) for v in distinct.dictionary.to_pylist()], policy, inspecting).take(distinct.indices)
 
     return one
 

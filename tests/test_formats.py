@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -159,3 +160,22 @@ def test_as_columns(spark):
     assert got[2].r.text == "a=1" and got[2].i.ok
     value = df.select(M.redact_json_value(F.struct(F.lit("x").alias("token")), S)["text"].alias("t"), M.inspect_http_url(F.lit("http://u@h/"), S)["max_sensitivity"].alias("u"), M.inspect_uri(F.lit("s3://user@bucket/key"), S)["max_sensitivity"].alias("n")).first()
     assert (value.t, value.u, value.n) == ('{"token":"****"}', P.HIGH, None)
+
+
+def test_each_distinct_text_of_a_batch_is_parsed_once(spark):
+    taken = []
+
+    def how(text, seen, cut):
+        taken.append(text)
+        return M.json_text(text, seen, cut)
+
+    texts = ['{"password":"x"}', None, "[1]", '{"password":"x"}', "", "[1]", None, "broken", "[1]"]
+    for inspecting in (False, True):
+        taken.clear()
+        got = M._udf(P.standard(), how, inspecting).func(pa.array(texts, pa.string()))
+        assert taken == ['{"password":"x"}', "[1]", "", "broken"] and len(got) == len(texts)
+        alone = [M._udf(P.standard(), how, inspecting).func(pa.array([t], pa.string())).to_pylist()[0] for t in texts]
+        assert [a for a, t in zip(got.to_pylist(), texts, strict=True) if t is not None] == [a for a, t in zip(alone, texts, strict=True) if t is not None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1)
+    shown = [r.text for r in df.orderBy("i").select(M.redact_json(F.col("t"), P.standard())["text"].alias("text")).collect()]
+    assert shown == ['{"password":"<redacted>"}', None, "[1]", '{"password":"<redacted>"}', "<redacted>", "[1]", None, "<redacted>", "[1]"]
