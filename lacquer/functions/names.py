@@ -12,7 +12,7 @@ from typing import TYPE_CHECKING
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from .ship import ship
 
@@ -138,6 +138,14 @@ def level_column(name: Column, policy: Policy, context: str | None = None, exact
     return let(every, strongest)
 
 
+def key_level(key: Column, kind: T.DataType, policy: Policy) -> Column:
+    """The level of a map's key. Integers and days have no letters: where no rule has such a name they pass, and are not looked up."""
+    layers = [r for r in (policy.rules, policy.floor) if r is not None]
+    if isinstance(kind, (T.IntegralType, T.DateType)) and not any(r.unknown or any(re.fullmatch(r"[0-9+]*", n) for n, _ in r.sensitive) for r in layers):
+        return F.lit(0)
+    return level_column(key.cast("string"), policy)
+
+
 def levels_column(names: Column, policy: Policy, context: str | None = None) -> Column:
     """The levels of an array of names that are data, as by level_column; a null name has level 0. Each distinct name of a batch is looked up once.
 

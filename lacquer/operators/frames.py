@@ -16,7 +16,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.masks import escaped, opaque, written
-from ..functions.names import let, level_column
+from ..functions.names import key_level, let, level_column
 from ..functions.policy import SECRET, Policy
 from .annotations import Redaction, declared, field_level, own_redaction, part_level, register_redaction as register_redaction
 from .fields import CUT, bounded_text, field_text
@@ -89,7 +89,7 @@ def shaped(value: Column, kind: T.DataType, policy: Policy, json: bool = False)
         if not is_name(kind.keyType):  # keys that are no names may hold anything, and say nothing about their values
             return F.when(value.isNotNull(), F.lit(policy.opaque(SECRET)))
         plain = (lambda v: F.to_json(shaped(v, kind.valueType, policy))) if isinstance(kind.valueType, NESTED) else lambda v: shaped(v, kind.valueType, policy).cast("string")
-        return F.transform_values(value, lambda k, v: let(level_column(k.cast("string"), policy), lambda n: F.when(v.isNull(), F.lit(None)).when(n == 0, plain(v)).otherwise(opaque(n, policy))))
+        return F.transform_values(value, lambda k, v: let(key_level(k, kind.keyType, policy), lambda n: F.when(v.isNull(), F.lit(None)).when(n == 0, plain(v)).otherwise(opaque(n, policy))))
     if isinstance(kind, T.VariantType):
         return redact_json(F.to_json(value), policy)["text"]
     return value
@@ -197,7 +197,7 @@ def _map_levels(value: Column, kind: T.DataType, policy: Policy) -> list[Column]
     if isinstance(kind, T.ArrayType):
         return _levels_within(value, kind.elementType, policy)
     if isinstance(kind, T.MapType):
-        own = F.array_max(F.transform(F.map_keys(value), lambda k: level_column(k.cast("string"), policy))) if is_name(kind.keyType) else F.when(F.size(value) > 0, F.lit(SECRET))
+        own = F.array_max(F.transform(F.map_keys(value), lambda k: key_level(k, kind.keyType, policy))) if is_name(kind.keyType) else F.when(F.size(value) > 0, F.lit(SECRET))
         return [own, *_levels_within(F.map_values(value), kind.valueType, policy)]
     return []
 

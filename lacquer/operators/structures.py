@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, functions as F, types as T
 
 from ..functions.masks import escaped, opaque, quoted, written
-from ..functions.names import let, level_column
+from ..functions.names import key_level, let
 from ..functions.policy import Policy
 from .annotations import declared, field_level, own_redaction, part_level
 from .formats import redact_json
@@ -153,7 +153,7 @@ def _entry_text(e: Column, kind: T.MapType, policy: Policy, name: str, least: in
 
         return let(own, shown)
 
-    return let(F.greatest(level_column(e["key"].cast("string"), policy), F.lit(least)), by)
+    return let(F.greatest(key_level(e["key"], kind.keyType, policy), F.lit(least)), by)
 
 
 # ---- what it takes
@@ -269,7 +269,7 @@ def pieces_of(value: Column, kind: T.DataType, policy: Policy, name: str, depth:
             if not isinstance(kind.valueType, NESTED) or not is_name(kind.keyType) and not policy.disabled:
                 return whole
             free = F.concat(comma, _piece(key, items=1, refused="field"), pieces_of(e["value"], kind.valueType, policy, name, depth))
-            return free if policy.disabled else F.when(F.greatest(level_column(e["key"].cast("string"), policy), F.lit(entries)) == 0, free).otherwise(whole)
+            return free if policy.disabled else F.when(F.greatest(key_level(e["key"], kind.keyType, policy), F.lit(entries)) == 0, free).otherwise(whole)
 
         return F.when(value.isNull(), none).otherwise(F.concat(_piece("{"), F.flatten(F.transform(F.map_entries(value), entry)), _piece("}")))
     return _piece(text_of(value, kind, policy, name))

@@ -156,10 +156,9 @@ def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keyed_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values under keys of numbers and days are redacted as under names; where keys are structures all of the map is a secret."""
     rows = _keyed(spark, sf_dir)
-    shaped = frames.redact_columns(rows, standard())
-    out = shaped.select("o_orderkey", F.to_json("v").alias("shaped"), F.to_json(F.col("vs")[0]).alias("item"))
-    text = rows.select("o_orderkey", frames.debug_text(F.col("v"), KEYED, standard(), "Keyed").alias("text"), frames.inspect_struct(F.col("v"), KEYED, standard())["max_sensitivity"].cast("int").alias("level"))
-    return out.join(text, "o_orderkey")
+    text, found = frames.debug_text(F.col("v"), KEYED, standard(), "Keyed"), frames.inspect_struct(F.col("v"), KEYED, standard())
+    shaped = frames.redact_columns(rows.withColumns({"text": text, "level": found["max_sensitivity"].cast("int")}), standard())
+    return shaped.select("o_orderkey", F.to_json("v").alias("shaped"), F.to_json(F.col("vs")[0]).alias("item"), "text", "level")
 
 
 def typed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

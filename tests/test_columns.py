@@ -8,7 +8,7 @@ from pyspark.sql import functions as F, types as T
 
 from lacquer.functions import policy as P
 from lacquer.functions.masks import by_level, escaped, masked, quoted, written
-from lacquer.functions.names import candidates, candidates_column, canonical, canonical_column, level_column
+from lacquer.functions.names import candidates, candidates_column, canonical, canonical_column, key_level, level_column
 from lacquer.operators import fields, frames, groups
 from lacquer.operators.results import BIT, merge_summaries, reason_names
 from lacquer.sources import read_redacted, write_redacted
@@ -285,3 +285,13 @@ def test_a_share_of_a_large_set_is_short(spark):
     assert max(len(x.split("\n")) for x in str(found).split("\r")) < 40
     rows = spark.createDataFrame([(n,) for n in (*names, "code", "code2000", "ode1", "")], "name string")
     assert rows.where(found).count() == 2_000
+
+
+def test_keys_without_letters_are_looked_up_only_for_rules_of_such_names(spark):
+    df = spark.sql("select 7 as n, -12L as l, date'2020-02-02' as d, 'api_key' as s")
+    kinds = {"n": T.IntegerType(), "l": T.LongType(), "d": T.DateType(), "s": T.StringType()}
+    for own in (P.standard(), P.standard().builder().fields(lambda r: r.high("7").low("12").secret("0202")).build(), P.standard().builder().floor(lambda r: r.medium("20200202")).build()):
+        got = df.select(*(key_level(F.col(c), k, own).alias(c) for c, k in kinds.items())).first()
+        assert got == df.select(*(level_column(F.col(c).cast("string"), own).alias(c) for c in kinds)).first()
+    plan = df.select(key_level(F.col("n"), T.IntegerType(), P.standard()).alias("n"))._jdf.queryExecution().analyzed().toString()
+    assert "split" not in plan and "transform" not in plan
