@@ -75,12 +75,17 @@ def escaped(value: Column) -> Column:
     return let(short, rest)
 
 
-def quoted(value: Column) -> Column:
-    """Text in double quotes with backslashes, quotes and unprinted characters escaped."""
-    doubled = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+def enclosed(value: Column) -> Column:
+    """Text in double quotes with backslashes and quotes escaped."""
+    return F.concat(F.lit('"'), F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+
 
-    def whole(plain: Column) -> Column:
-        chars = F.transform(F.split(plain, ""), lambda c: F.when(c.rlike(UNPRINTED), _escaped_char(c)).otherwise(c))
-        return F.concat(F.lit('"'), F.when(plain.rlike(UNPRINTED), F.array_join(chars, "")).otherwise(plain), F.lit('"'))
+def printed(text: Column) -> Column:
+    """Text with unprinted characters escaped, each by itself, so that a whole list can be shown at once."""
+    chars = F.transform(F.split(text, ""), lambda c: F.when(c.rlike(UNPRINTED), _escaped_char(c)).otherwise(c))
+    return F.when(text.rlike(UNPRINTED), F.array_join(chars, "")).otherwise(text)
 
-    return let(doubled, whole)
+
+def quoted(value: Column) -> Column:
+    """Text in double quotes with backslashes, quotes and unprinted characters escaped."""
+    return let(enclosed(value), printed)

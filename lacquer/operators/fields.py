@@ -6,13 +6,12 @@ binary columns; they are replaced as secret.
 
 from __future__ import annotations
 
-from itertools import accumulate, islice
-
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
-from ..functions.masks import by_level, escaped, masked, opaque, quoted, utf8_start, written
+from ..functions.masks import by_level, enclosed, escaped, masked, opaque, printed, utf8_start, written
 from ..functions.names import let, level_column, levels_column
 from ..functions.policy import SECRET, Policy
 from ..functions.ship import ship
@@ -137,8 +136,7 @@ def _pair_levels(pairs: Column, policy: Policy) -> Column:
 
 def env_pairs_text(pairs: Column, policy: Policy) -> Column:
     """["A=x", "B=y"] of an array of name and value structs, in order and with repetitions."""
-    shown = F.zip_with(pairs, _pair_levels(pairs, policy), lambda p, level: quoted(F.coalesce(pair_text(p["name"], p["value"], policy, level), F.lit(""))))
-    return F.concat(F.lit("["), F.array_join(shown, ", "), F.lit("]"))
+    return _list(F.zip_with(pairs, _pair_levels(pairs, policy), lambda p, level: F.coalesce(pair_text(p["name"], p["value"], policy, level), F.lit(""))))
 
 
 def redact_env_pairs(pairs: Column, policy: Policy) -> Column:
@@ -168,7 +166,7 @@ def _level_number(level: Column) -> Column:
 
 
 def _list(texts: Column) -> Column:
-    return F.concat(F.lit("["), F.array_join(F.transform(texts, quoted), ", "), F.lit("]"))
+    return let(F.concat(F.lit("["), F.array_join(F.transform(texts, enclosed), ", "), F.lit("]")), printed)
 
 
 def argv_text(items: Column, policy: Policy) -> Column:
@@ -205,63 +203,105 @@ def _taken_apart(raw: bytes | None, policy: Policy) -> tuple[str | None, bool, b
     return v, assigned, option, left, right, level
 
 
+#: How an item stands in its list: after one that masks it with a level up to UNREAD, or tagged by the caller with a level or (UNREAD) an unknown one.
+TAGGED, STATES = UNREAD + 1, 2 * (UNREAD + 1)
+
+
+def _shown(part: tuple[str | None, bool, bool, str, str, int], state: int, policy: Policy) -> tuple[str | None, int]:
+    """Text, in quotes, and level of an item in a state; of an unknown tag there is no text."""
+    v, assigned, _, left, right, level = part
+    if state >= TAGGED:
+        mine = state - TAGGED
+    else:
+        mine = SECRET if v is None or state == UNREAD else state or (level if assigned else 0)
+    if v is None or state == UNREAD:
+        text = policy.opaque(SECRET)
+    elif assigned and state == 0 and level:
+        text = f"{left}={policy.mask(level, right)}"
+    elif mine == UNREAD:
+        return None, 0
+    else:
+        text = policy.mask(mine, v) if mine else v
+    return '"' + text.replace("\\", "\\\\").replace('"', '\\"') + '"', mine
+
+
 def _scan(items: Column, policy: Policy) -> Column:
-    """Array of struct(text, level): a scan from left to right in which a sensitive option masks the item after it.
+    """struct(text, plain, level, n, size): a quoted list, whether it is printable ASCII, its strongest level, its items and their bytes, by a scan from left to right in which a sensitive option masks the item after it.
 
-    The state between items is the level that the next item is masked with; UNREAD
-    stands for one that is masked unread. Each distinct item of a batch is taken
-    apart once.
+    Unprinted characters are left as they are, for _scanned_text. The state between items is the level
+    that the next item is masked with; UNREAD stands for one that is masked unread.
+    It depends on the item before alone, so that a batch is scanned by arrays, and
+    each distinct item of a batch is taken apart, and shown in each state, once.
     """
     ship()
 
-    @F.arrow_udf("array<struct<text:string,level:int>>")
+    @F.arrow_udf("struct<text:string,plain:boolean,level:int,n:int,size:bigint>")
     def scan(lists: pa.Array) -> pa.Array:
         values, tags, tagged = lists.flatten().flatten()
         distinct = values.dictionary_encode()
-        parts = [_taken_apart(x, policy) for x in distinct.dictionary.to_pylist()]
-        missing = _taken_apart(None, policy)
-        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_pylist()
-        rows = zip([missing if k is None else parts[k] for k in distinct.indices.to_pylist()], tags.to_pylist(), tagged.to_pylist(), strict=True)
-        texts, levels = [], []
-        for size in sizes:
-            pending = 0
-            for (v, assigned, option, left, right, level), tag, has_tag in islice(rows, size):
-                if has_tag:
-                    mine = tag
-                elif v is None or pending == UNREAD:
-                    mine = SECRET
-                else:
-                    mine = pending or (level if assigned else 0)
-                if v is None or pending == UNREAD and not has_tag:
-                    text = policy.opaque(SECRET)
-                elif assigned and not has_tag and not pending and level:
-                    text = f"{left}={policy.mask(level, right)}"
-                else:
-                    text = v if mine == 0 else policy.mask(mine, v) if mine is not None and 0 < mine <= SECRET else None
-                texts.append(text)
-                levels.append(mine)
-                pending = 0 if has_tag else UNREAD if v is None else level if option else 0
-        offsets = pa.array(accumulate(sizes, initial=0), pa.int32())
-        shown = pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(levels, pa.int32())], ["text", "level"])
-        return pa.ListArray.from_arrays(offsets, shown, mask=lists.is_null())
-
-    plain = F.transform(items, lambda i: F.struct(i["value"].cast("binary").alias("value"), _level_number(i["sensitivity"]).alias("tag"), i["sensitivity"].isNotNull().alias("tagged")))
-    return scan(plain)
+        parts = [_taken_apart(x, policy) for x in [*distinct.dictionary.to_pylist(), None]]
+        item = pc.fill_null(distinct.indices, len(parts) - 1).to_numpy(zero_copy_only=False).astype(np.int64)
+        tag, has_tag = pc.fill_null(tags, -1).to_numpy(zero_copy_only=False), tagged.to_numpy(zero_copy_only=False).astype(bool)
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        some = sizes > 0
+        heads = (ends - sizes)[some]
+
+        after = np.array([UNREAD if v is None else level if option else 0 for v, _, option, _, _, level in parts])[item]
+        after[has_tag] = 0
+        before = np.zeros_like(item)
+        before[1:] = after[:-1]
+        before[heads] = 0
+        state = np.where(has_tag, TAGGED + np.where((tag >= 0) & (tag <= SECRET), tag, UNREAD), before)
+
+        ways = pa.array(item * STATES + state).dictionary_encode()
+        shown = [_shown(parts[k // STATES], k % STATES, policy) for k in ways.dictionary.to_pylist()]
+        way = ways.indices.to_numpy(zero_copy_only=False)
+        odd = np.array([text is not None and not (text.isascii() and text.isprintable()) for text, _ in shown], bool)[way]
+        has_text = np.array([text is not None for text, _ in shown], bool)[way]
+        edges = np.r_[0, ends]
+        offsets = np.r_[0, np.cumsum(has_text)][edges].astype(np.int32)
+        texts = pa.array([text for text, _ in shown], pa.string()).take(pa.array(way[has_text]))
+        text = pc.binary_join_element_wise("[", pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), texts), ", "), "]", "")
+
+        level = np.zeros(len(sizes), np.int32)
+        if len(heads):
+            level[some] = np.maximum.reduceat(np.where(has_tag, np.maximum(tag, 0), np.array([own for _, own in shown])[way]), heads)
+        lengths = np.r_[pc.binary_length(distinct.dictionary).to_numpy(zero_copy_only=False), 0]
+        size = np.diff(np.r_[0, np.cumsum(lengths[item], dtype=np.int64)][edges])
+        plain = np.diff(np.r_[0, np.cumsum(odd)][edges]) == 0
+        return pa.StructArray.from_arrays([text, *map(pa.array, (plain, level, sizes, size))], ["text", "plain", "level", "n", "size"], mask=lists.is_null())
+
+    def passed(item: Column) -> Column:
+        has_tag = item["sensitivity"].isNotNull()
+        return F.struct(item["value"].cast("binary").alias("value"), F.when(has_tag, _level_number(item["sensitivity"])).alias("tag"), has_tag.alias("tagged"))
+
+    return scan(F.transform(items, passed))
+
+
+def _scanned_text(scanned: Column) -> Column:
+    """The list that _scan gives, with unprinted characters escaped."""
+    return F.when(scanned["plain"], scanned["text"]).otherwise(printed(scanned["text"]))
 
 
 def heuristic_argv_text(items: Column, policy: Policy) -> Column:
-    return F.concat(F.lit("["), F.array_join(F.transform(_scan(items, policy), lambda x: quoted(x["text"])), ", "), F.lit("]"))
+    return _scanned_text(_scan(items, policy))
 
 
 def redact_heuristic_argv(items: Column, policy: Policy) -> Column:
     """redact_argv, with assignments, options and JVM properties of sensitive names masked as well."""
-    return _bounded(heuristic_argv_text(items, policy), policy, F.size(items) > policy.limits.max_items, _total(items, lambda i: F.octet_length(i["value"].cast("string"))))
+    scanned = _scan(items, policy)
+    return _bounded(_scanned_text(scanned), policy, scanned["n"] > policy.limits.max_items, scanned["size"])
 
 
 def inspect_argv(items: Column, policy: Policy, heuristic: bool = False) -> Column:
-    levels = F.transform(_scan(items, policy), lambda x: x["level"]) if heuristic else F.transform(items, lambda i: F.coalesce(_level_number(i["sensitivity"]), F.lit(0)))
-    over = F.size(items) > policy.limits.max_items
-    return F.when(items.isNotNull(), inspection(F.coalesce(F.array_max(levels), F.lit(0)), policy, ~over, F.when(over, BIT["traversal_limit_reached"]).otherwise(0)))
+    if heuristic:
+        scanned = _scan(items, policy)
+        level, n = scanned["level"], scanned["n"]
+    else:
+        level, n = F.array_max(F.transform(items, lambda i: F.coalesce(_level_number(i["sensitivity"]), F.lit(0)))), F.size(items)
+    over = n > policy.limits.max_items
+    return F.when(items.isNotNull(), inspection(F.coalesce(level, F.lit(0)), policy, ~over, F.when(over, BIT["traversal_limit_reached"]).otherwise(0)))
 
 
 def _command(program: Column, args: Column) -> Column:
@@ -272,10 +312,11 @@ def _command(program: Column, args: Column) -> Column:
 def redact_process(program: Column, args: Column, env: Column, policy: Policy) -> Column:
     """A heuristic argument list of program and args, followed by the environment list; empty if they hold too many items."""
     items = _command(program, args)
-    text = F.concat(heuristic_argv_text(items, policy), env_pairs_text(env, policy))
-    size = _total(items, lambda i: F.octet_length(i["value"].cast("string"))) + _total(env, lambda p: F.octet_length(p["name"].cast("string")) + F.octet_length(p["value"].cast("string")))
+    scanned = _scan(items, policy)
+    text = F.concat(_scanned_text(scanned), env_pairs_text(env, policy))
+    size = scanned["size"] + _total(env, lambda p: F.octet_length(p["name"].cast("string")) + F.octet_length(p["value"].cast("string")))
     # the budget of items is one for the whole process
-    many = F.size(items) + F.size(env) > policy.limits.max_items
+    many = scanned["n"] + F.size(env) > policy.limits.max_items
 
     def whole(x: Column) -> Column:
         over = (F.octet_length(x["text"]) > policy.limits.max_output_bytes) & ~x["many"]

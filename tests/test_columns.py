@@ -268,6 +268,25 @@ def test_lists_are_rendered_once(spark):
         assert "ArrowEvalPython" in plan and plan.count("array_join(") <= 6 and "IsUppercase" not in plan
 
 
+def test_lists_are_scanned_by_batches(spark):
+    """No lambda quotes or measures single items of a heuristic list; lists of a batch do not reach into one another."""
+    lists = [
+        [("a", None), ("--password", None)], [("b", None)], None, [], [("--token", None)], [(None, None), ("c", None)], [("d", "low"), ("e", "bogus"), ("f", "0")],
+        [("-p\u0301", None), ('q"\\\n', None)], [("--password", "0"), ("longer", "low"), ("A_TOKEN=x", None)], [("x", None)] * 3,
+    ]
+    df = spark.createDataFrame(list(enumerate(lists)), "k int, args array<struct<value:string,sensitivity:string>>").coalesce(1)
+    policy = P.standard().builder().limits(max_items=2).build()
+    out = df.select("k", fields.redact_heuristic_argv(F.col("args"), P.standard()).alias("r"), fields.redact_heuristic_argv(F.col("args"), policy).alias("few"), fields.inspect_argv(F.col("args"), P.standard(), True).alias("i"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "replace(" not in plan and "aggregate(" not in plan
+    got = sorted(out.collect())
+    texts = ['["a", "--password"]', '["b"]', None, "[]", '["--token"]', '["<redacted>", "<redacted>"]', '["****", "f"]', r'["-p\u{301}", "q\"\\\n"]', '["--password", "lo****er", "A_TOKEN=****"]', '["x", "x", "x"]']
+    assert [g.r and g.r.text for g in got] == texts
+    assert [g.r and g.r.usage.presented for g in got] == [11, 1, None, 0, 7, 1, 3, 8, 25, 3]
+    assert [g.i and g.i.max_sensitivity for g in got] == [None, None, None, None, None, P.SECRET, P.LOW, None, P.HIGH, None]
+    assert [g.few and g.few.text for g in got] == [t if t is None or len(x) <= 2 else "<truncated>" for x, t in zip(lists, texts, strict=True)]
+
+
 def test_a_long_field_is_escaped_once(spark):
     text = "a\tb\n\r\0c\u2028\u202e\\n\"" * 3
     df = spark.createDataFrame([(text,), ("",), (None,), ("x" * 20_000,)], "t string")
